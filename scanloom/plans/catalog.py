@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from scanloom.plans import clouds, tracks
+from scanloom.sources import adapters
+
+PARTS = (clouds, tracks)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clouds.flagship(adapters.table(spark, sf_dir, "points"))
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in PARTS for k, v in part.REG.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.REG.oracles.items()}
