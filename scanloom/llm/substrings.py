@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.llm import text as tx
@@ -78,33 +78,52 @@ def _minimisers(window: int, m: int):
 
 
 def _pack(window: int, m: int):
-    """Packed strings of the super-k-mers whose minimiser is among those of their row that repeat."""
+    """Packed strings of the super-k-mers whose minimiser is among those of their row that repeat, with their places.
+
+    Equal strings of a batch travel once, so copies of a text cost their places only.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], list[dict[str, int]]] = {}
+        size = 0
+
+        def batch_of() -> pa.RecordBatch:
+            rows = [hashlib.blake2b(p + b"%d %d" % (at[0]["id"], at[0]["start"]), digest_size=8).digest() for (_, p), at in held.items()]
+            names = [int.from_bytes(x, "little", signed=True) for x in rows]
+            return pa.RecordBatch.from_arrays([pa.array([v for v, _ in held], pa.int64()), pa.array(names, pa.int64()), pa.array([p for _, p in held], pa.binary()), pa.array(list(held.values()), _PLACES)], ["minimiser", "name", "packed", "places"])
+
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             wanted = batch.column(2)
             flags, bounds = wanted.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
-            for low, high, data, starts, ends, _, owner, hashes in _split(batch.column(1)):
+            for low, high, data, starts, ends, first, owner, hashes in _split(batch.column(1)):
                 value, begin, count = super_kmers(hashes, owner, window, m)
                 value, row = tx.signed(value), owner[begin]
                 keep = np.zeros(len(begin), bool)
+                edges = np.searchsorted(row, np.arange(high - low + 1))
                 for r in range(high - low):
-                    a, b = np.searchsorted(row, [r, r + 1])
+                    a, b = edges[r], edges[r + 1]
                     keep[a:b] = np.isin(value[a:b], flags[bounds[low + r] : bounds[low + r + 1]])
-                raw, out = data.tobytes(), []
-                shift = np.searchsorted(owner, np.arange(high - low))
+                raw = data.tobytes()
                 for v, b, c, r in zip(value[keep].tolist(), begin[keep].tolist(), count[keep].tolist(), row[keep].tolist(), strict=True):
                     last = b + c + window - 1
                     packed = b" ".join([raw[x:y] for x, y in zip(starts[b:last].tolist(), ends[b:last].tolist(), strict=True)])
-                    name = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
-                    out.append((v, name, int(keys[low + r]), b - int(shift[r]), packed))
-                columns = list(zip(*out, strict=True)) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["minimiser", "name", "id", "start", "packed"])
+                    if (v, packed) not in held:
+                        held[v, packed] = []
+                        size += len(packed)
+                    held[v, packed].append({"id": int(keys[low + r]), "start": b - int(first[r])})
+                if size > BUCKET_BYTES:
+                    yield batch_of()
+                    held, size = {}, 0
+        if held:
+            yield batch_of()
 
     return emit
 
 
+_PLACES = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64())]))
+
+
 def _window_keys(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """128 bits of the words of each window of the strings, in two numbers, and the string of each window."""
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in packed])]).astype(np.int64)
@@ -132,15 +151,27 @@ def first_seen(packed: list[bytes], least: list[int], window: int) -> list[np.nd
     return np.split(out, np.cumsum(np.bincount(string, minlength=len(packed)))[:-1])
 
 
+def _cuts(places: list[list[dict[str, int]]], first: list[np.ndarray]) -> pa.RecordBatch:
+    """(id, start, marks): the windows of each place, counted from its start, that an earlier text holds."""
+    out = []
+    for at, least in zip(places, first, strict=True):
+        for p in at:
+            marks = np.flatnonzero(least < p["id"])
+            if len(marks):
+                out.append((p["id"], p["start"], marks.astype(np.int32)))
+    columns = list(zip(*out, strict=True)) if out else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["id", "start", "marks"])
+
+
 def _count(window: int):
     """Buckets come whole and in order; some are sorted together, up to a size."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list[tuple[int, int, bytes, int]] = []
+        now: list[tuple[int, bytes, list]] = []
 
         def close() -> pa.RecordBatch:
-            first = first_seen([x[2] for x in now], [x[3] for x in now], window)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in now]), pa.array([x[1] for x in now]), pa.array([x.tolist() for x in first], pa.list_(pa.int64()))], ["minimiser", "name", "first"])
+            first = first_seen([x[1] for x in now], [min(p["id"] for p in x[2]) for x in now], window)
+            return _cuts([x[2] for x in now], first)
 
         size = 0
         for batch in batches:
@@ -149,13 +180,18 @@ def _count(window: int):
                     yield close()
                     now, size = [], 0
                 now.append(row)
-                size += len(row[2])
+                size += len(row[1])
         if now:
             yield close()
 
     return emit
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _cuts(batch.column(0).to_pylist(), [np.array(x, np.int64) for x in batch.column(1).to_pylist()])
+
+
 def _windows(window: int):
     """Single windows of the strings of large buckets, for Spark to sort."""
 
@@ -192,6 +228,9 @@ def _keep(window: int):
     return emit
 
 
+_CUTS = "id long, start long, marks array<int>"
+
+
 def drop_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: n_words, n_removed, kept_sha256 and kept (the words that stay, joined by spaces).
 
@@ -204,17 +243,15 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     pairs = pairs.repartition("minimiser")
     repeat = pairs.groupBy("minimiser").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("minimiser")
     wanted = pairs.join(repeat, "minimiser").groupBy("id").agg(F.collect_set("minimiser").alias("wanted"))
-    occurs = rows.join(wanted.hint("shuffle_merge"), "id").select("id", "text", "wanted").mapInArrow(_pack(window, minimiser), "minimiser long, name long, id long, start long, packed binary")
-    strings = occurs.groupBy("minimiser", "name", "packed").agg(F.min("id").alias("least"))
-    large = strings.groupBy("minimiser").agg(F.sum(F.length("packed")).alias("size")).where(F.col("size") > bucket_bytes).select("minimiser", F.lit(True).alias("large"))
-    dealt = strings.join(large, "minimiser", "left")
-    columns = ("minimiser", "name", "packed", "least")
-    usual = dealt.where("large is null").select(*columns).repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count(window), "minimiser long, name long, first array<long>")
-    single = dealt.where("large").select(*columns).mapInArrow(_windows(window), "a long, b long, minimiser long, name long, place long, least long")
+    packed = rows.join(wanted.hint("shuffle_merge"), "id").select("id", "text", "wanted").mapInArrow(_pack(window, minimiser), "minimiser long, name long, packed binary, places array<struct<id:long,start:long>>")
+    strings = tx.stored(packed).withColumn("least", F.array_min("places.id"))
+    sized = strings.withColumn("size", F.sum(F.length("packed")).over(Window.partitionBy("minimiser")))
+    usual = sized.where(F.col("size") <= bucket_bytes).select("minimiser", "packed", "places").mapInArrow(_count(window), _CUTS)
+    large = sized.where(F.col("size") > bucket_bytes)
+    single = large.select("minimiser", "name", "packed", "least").mapInArrow(_windows(window), "a long, b long, minimiser long, name long, place long, least long")
     seen = single.groupBy("a", "b").agg(F.min("least").alias("seen"))
-    rest = single.join(seen, ["a", "b"]).groupBy("minimiser", "name").agg(F.array_sort(F.collect_list(F.struct("place", "seen"))).alias("all")).select("minimiser", "name", F.col("all.seen").alias("first"))
-    verdict = occurs.select("minimiser", "name", "id", "start").join(usual.unionByName(rest), ["minimiser", "name"])
-    marks = F.filter(F.sequence(F.lit(0), F.size("first") - 1), lambda i: F.element_at("first", i + 1) < F.col("id"))
-    cuts = verdict.select("id", "start", marks.alias("marks")).where(F.size("marks") > 0).groupBy("id").agg(F.collect_list(F.struct("start", "marks")).alias("cuts"))
+    first = single.join(seen, ["a", "b"]).groupBy("minimiser", "name").agg(F.array_sort(F.collect_list(F.struct("place", "seen"))).alias("all"))
+    rest = large.join(first, ["minimiser", "name"]).select("places", F.col("all.seen").alias("first")).mapInArrow(_compare, _CUTS)
+    cuts = usual.unionByName(rest).groupBy("id").agg(F.collect_list(F.struct("start", "marks")).alias("cuts"))
     out = rows.join(cuts.hint("shuffle_merge"), "id", "left").select("id", "text", "cuts").mapInArrow(_keep(window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", key)

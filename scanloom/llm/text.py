@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,14 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capital letters of Latin-1 lower-cased, in UTF-8."""
+    data = lower(data)
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    return np.where(after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), data + np.uint8(0x20), data)
+
+
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -169,9 +178,33 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def carried(df: DataFrame, carry: bool) -> list:
-    """The whole row as one struct, so that no name in it can clash, if it is to come along."""
-    return [F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")] if carry else []
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder, read back. Cuts the lineage like checkpoint, at less disk."""
+    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sample_by_hash(df: DataFrame, key: str, seed: int, n: int, spare: int = 1) -> DataFrame:
+    """Rows whose key's hash (column turn) is small: about spare n of them in the mean, all if there are fewer.
+
+    The cut is a share of the number of rows, so that no task sends on more than its share of the sample.
+    """
+    total = df.select(key).count()
+    share = min(1.0, 1.5 * spare * n / max(total, 1))
+    turn = F.xxhash64(F.col(key), F.lit(seed))
+    return df.withColumn("turn", turn).where(F.pmod("turn", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+
+
+def carried(df: DataFrame, carry: bool, text: str) -> list:
+    """The text, or the whole row as one struct (so that no name in it can clash) if it is to come along."""
+    return [F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")] if carry else [F.col(text).alias("text")]
+
+
+def text_of(batch: pa.RecordBatch, column: int, place: int | None) -> pa.Array:
+    """The texts of a batch: a column, or the field of the row that came along at this place."""
+    held = batch.column(column)
+    return held if place is None else held.field(place)
 
 
 def with_row(schema: str, df: DataFrame, carry: bool) -> T.StructType:
