@@ -28,16 +28,8 @@ WALKS, SAMPLES, PLACES = 4, 15, 3
 INDEX_BYTES = 8 << 20
 
 
-def fold(data: np.ndarray) -> np.ndarray:
-    """A-Z and the capital letters of Latin-1 lower-cased, in UTF-8."""
-    data = tx.lower(data)
-    after = np.zeros(len(data), bool)
-    after[1:] = data[:-1] == 0xC3
-    return np.where(after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), data + np.uint8(0x20), data)
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = fold(data)
+    data = tx.fold(data)
     starts, ends, first = tx.words(data, offsets, tx.ALNUM)
     return tx.Hashes(data, 17).of(starts, ends), first
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from scanloom.llm import text as tx
 
 LENGTH, END_ID = 2048, 1
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Pieces of words whose ids a task remembers.
+REMEMBERED = 600_000
 
 
 def default_tokenizer() -> str:
@@ -31,17 +31,37 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """Ids of texts, found once a word: the tokenizer drops white space, and no token spans it."""
+    """Ids of texts by a byte-level BPE vocabulary with word ends, merged for all new pieces of words at once.
+
+    The tokenizer's own rules cut words into runs of letters, single digits and runs of marks; as white space is
+    dropped, no token spans it. Words with anything beyond ASCII and the letters of Latin-1, or with an apostrophe,
+    or very long pieces, go through the tokenizer itself. A piece is merged once a task.
+    """
 
     _open: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.held: dict[str, int] = {}
-        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary = model["vocab"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255 in order
+        rest = [b for b in range(256) if b not in plain]
+        sign = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        end = model.get("end_of_word_suffix") or ""
+        self.inner = np.array([vocabulary[sign[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocabulary[sign[b] + end] for b in range(256)], np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.pairs, self.rank = keys[order], order
+        self.merged = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
+        self._forget()
 
     @classmethod
     def open(cls, path: str) -> WordIds:
@@ -49,49 +69,156 @@ class WordIds:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.held) + len(words) > REMEMBERED:
-            self.held, self.ids, self.bounds = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        new = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        at = len(self.held)
-        self.held.update(zip(words, range(at, at + len(words)), strict=True))
-        ends = np.cumsum([len(x) for x in new]) + self.bounds[-1]
-        self.ids = np.concatenate([self.ids, np.array([i for x in new for i in x], np.uint32)])
-        self.bounds = np.concatenate([self.bounds, ends])
+    def _forget(self) -> None:
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _merge(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (flat) and their number for each row of initial symbols: the pair of least rank, leftmost first, until none is left."""
+        n = len(symbols)
+        count = np.zeros(n, np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = np.arange(n)
+        while len(rows):
+            width = symbols.shape[1]
+            if width > 1:
+                key = symbols[:, :-1] << 20 | symbols[:, 1:]
+                at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+                rank = np.where(self.pairs[at] == key, self.rank[at], len(self.pairs))
+                place = rank.argmin(1)
+                best = rank[np.arange(len(rows)), place]
+                more = best < len(self.pairs)
+            else:
+                more = np.zeros(len(rows), bool)
+            count[rows[~more]] = width
+            done.append((rows[~more], symbols[~more]))
+            rows = rows[more]
+            if len(rows):
+                symbols, place = symbols[more], place[more]
+                symbols[np.arange(len(rows)), place] = self.merged[best[more]]
+                keep = np.arange(width) != (place + 1)[:, None]
+                symbols = symbols[keep].reshape(len(rows), width - 1)
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        flat = np.empty(bounds[-1], np.uint32)
+        for at, held in done:
+            if len(at):
+                flat[bounds[at][:, None] + np.arange(held.shape[1])] = held
+        return flat, count
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> None:
+        if len(self.known) + len(hashes) > REMEMBERED:
+            self._forget()
+        length = ends - starts
+        odd = odd | (length > 40)
+        order, flats, counts = [], [], []
+        for size in np.unique(length[~odd]).tolist():
+            own = np.flatnonzero(~odd & (length == size))
+            letters = data[starts[own][:, None] + np.arange(size)]
+            symbols = self.inner[letters]
+            symbols[:, -1] = self.final[letters[:, -1]]
+            flat, count = self._merge(symbols)
+            order.append(own)
+            flats.append(flat)
+            counts.append(count)
+        own = np.flatnonzero(odd)
+        if len(own):
+            text = [raw[a:b].tobytes().decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+            said = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+            order.append(own)
+            flats.append(np.array([i for x in said for i in x], np.uint32))
+            counts.append(np.array([len(x) for x in said], np.int64))
+        first = len(self.bounds) - 1
+        at = np.concatenate(order)
+        self.ids = np.concatenate([self.ids, *flats])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(counts))])
+        known = np.concatenate([self.known, hashes[at]])
+        entry = np.concatenate([self.entry, first + np.arange(len(at))])
+        turn = np.argsort(known)
+        self.known, self.entry = known[turn], entry[turn]
+
+    def encode_bytes(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and the place of each text's first (with their number at the end)."""
+        starts, ends, first = tx.words(raw, offsets, tx.NOT_SPACE)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        data = tx.fold(raw)
+        kind = _KIND[data]
+        lead = np.zeros(len(data), bool)
+        lead[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        kind[lead] = 1
+        kind[1:][lead[:-1]] = 1
+        bad = np.concatenate([[0], np.cumsum(kind == 0)])
+        odd_word = bad[ends] > bad[starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[~odd_word]] += 1
+        np.add.at(inside, ends[~odd_word], -1)
+        cut = np.cumsum(inside[:-1]) > 0
+        begins = cut.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        begins[starts] = True
+        begin = np.flatnonzero(begins)
+        word = np.searchsorted(starts, begin, "right") - 1
+        end = np.minimum(np.append(begin[1:], len(data)), ends[word])
+        odd = odd_word[word]
+        name = tx.Hashes(data, 19).of(begin, end)
+        if odd.any():  # such words keep their case and are told apart from pieces
+            name[odd] = tx.Hashes(raw, 20).of(begin[odd], end[odd])
+        unique, at, back = np.unique(name, return_index=True, return_inverse=True)
+        seen = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
+        new = self.known[seen] != unique if len(self.known) else np.ones(len(unique), bool)
+        if new.any():
+            if len(self.known) + new.sum() > REMEMBERED:
+                self._forget()
+                new[:] = True
+            self._learn(unique[new], data, raw, begin[at[new]], end[at[new]], odd[at[new]])
+        entry = self.entry[np.searchsorted(self.known, unique)][back]
+        count = self.bounds[entry + 1] - self.bounds[entry]
+        done = np.concatenate([[0], np.cumsum(count)])
+        flat = self.ids[np.arange(done[-1]) + np.repeat(self.bounds[entry] - done[:-1], count)]
+        return flat, done[np.searchsorted(begin, np.append(starts, len(data)))][first]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        need = set().union(*split) - {""}
-        fresh = [w for w in need if w not in self.held]
-        if fresh:
-            if len(self.held) + len(fresh) > REMEMBERED:
-                fresh = list(need)
-            self._learn(fresh)
-        out = []
-        look = self.held
-        for words in split:
-            rows = np.array([look[w] for w in words if w], np.int64)
-            starts, count = self.bounds[rows], self.bounds[rows + 1] - self.bounds[rows]
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.arange(total) + np.repeat(starts - (ends - count), count)])
-        return out
+        held = [t.encode() for t in texts]
+        flat, bounds = self.encode_bytes(np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64))
+        return np.split(flat, bounds[1:-1])
+
+
+def _kinds() -> np.ndarray:
+    """0 what the tokenizer itself must see, 1 letters, 2 digits, 3 marks, 4 white space."""
+    out = np.zeros(256, np.int8)
+    out[0x21:0x7F] = 3
+    out[0x61:0x7B] = 1
+    out[0x30:0x3A] = 2
+    out[0x27] = 0
+    out[[*range(0x09, 0x0E), 0x20]] = 4
+    return out
+
+
+_KIND = _kinds()
 
 
 def token_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     return lambda texts: WordIds.open(path).encode(texts)
 
 
-def _pieces(encode: Callable[[list[str]], list[np.ndarray]], length: int, end: int):
+def _pieces(encode: Callable[[list[str]], list[np.ndarray]] | str, length: int, end: int):
+    """Rows of pieces; encode is a function of texts, or the path of a vocabulary."""
+
+    def ids_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(encode, str):
+            return WordIds.open(encode).encode_bytes(data, offsets)
+        raw = data.tobytes()
+        said = encode([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        return np.concatenate([np.zeros(0, np.uint32), *said]), np.concatenate([[0], np.cumsum([len(x) for x in said])])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.zeros(length + 1, np.int64)
         for batch in batches:
-            for low, high, data, offsets in tx.slices(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            for low, _, data, offsets in tx.slices(batch.column(1)):
+                flat, bounds = ids_of(data, offsets)
                 rows = []
-                for row, ids in enumerate(encode(texts)):
-                    ids = np.append(ids, end).astype("<u4")
+                for row in range(len(offsets) - 1):
+                    ids = np.append(flat[bounds[row] : bounds[row + 1]], end).astype("<u4")
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length]
                         rows.append((low + row, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), int(turn[len(piece)])))
@@ -166,13 +293,13 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]] | None = None, length: int = LENGTH, end: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]] | str | None = None, length: int = LENGTH, end: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed each on their own; an empty table gives
+    encode is a function of texts, or the path of a vocabulary (default: words of 49,408 ids). A null or empty text is the end id alone. Repeated rows are packed each on their own; an empty table gives
     an empty one; further columns are not read. Ties between pieces of one length go by task and place in it.
     """
-    encode = encode or token_ids(default_tokenizer())
+    encode = encode or default_tokenizer()
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     cut = rows.mapInArrow(_pieces(encode, length, end), "id long, start long, length long, ids_crc32 long, doc_tokens long, turn long")
     # The task's number is kept with the rows, so that both uses below see the same ranks.
