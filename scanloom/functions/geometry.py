@@ -199,7 +199,7 @@ def utm_epsg(lat, lon, prefer_sirgas: bool = True) -> Column:
     return F.when(inside & (lat < 0), 31960 + utm_zone(lon)).when(inside, 31954 + utm_zone(lon)).otherwise(world)
 
 
-def _kruger(f: float) -> tuple[float, list[float], list[float]]:
+def _kruger(f: float) -> tuple[float, list[float], list[float], list[float]]:
     n = f / (2 - f)
     scale = (1 + n**2 / 4 + n**4 / 64 + n**6 / 256) / (1 + n)
     alpha = [
@@ -214,13 +214,19 @@ def _kruger(f: float) -> tuple[float, list[float], list[float]]:
         17 * n**3 / 480 - 37 * n**4 / 840,
         4397 * n**4 / 161280,
     ]
-    return scale, alpha, beta
+    delta = [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    ]
+    return scale, alpha, beta, delta
 
 
 def to_utm(lat, lon, zone: Column | int, south: Column | bool, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
     """Easting and northing in metres by Krüger's series."""
     a, f = ELLIPSOIDS[ellipsoid]
-    scale, alpha, _ = _kruger(f)
+    scale, alpha, _, _ = _kruger(f)
     e = math.sqrt(f * (2 - f))
     zone = zone if isinstance(zone, Column) else F.lit(zone)
     south = south if isinstance(south, Column) else F.lit(south)
@@ -237,8 +243,7 @@ def to_utm(lat, lon, zone: Column | int, south: Column | bool, ellipsoid: str =
 def from_utm(east, north, zone: Column | int, south: Column | bool, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
     """Latitude and longitude in degrees."""
     a, f = ELLIPSOIDS[ellipsoid]
-    scale, _, beta = _kruger(f)
-    e2 = f * (2 - f)
+    scale, _, beta, delta = _kruger(f)
     zone = zone if isinstance(zone, Column) else F.lit(zone)
     south = south if isinstance(south, Column) else F.lit(south)
     xi = (col(north) - F.when(south, 1e7).otherwise(0.0)) / (0.9996 * a * scale)
@@ -247,14 +252,11 @@ def from_utm(east, north, zone: Column | int, south: Column | bool, ellipsoid: s
     for j, c in enumerate(beta, 1):
         x = x - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         y = y - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    target = F.sin(x) / F.sqrt(F.sinh(y) * F.sinh(y) + F.cos(x) * F.cos(x))  # tangent of the conformal latitude
-    tau = target
-    for _ in range(3):  # Newton's method; the third step is below a nanometre
-        sigma = F.sinh(math.sqrt(e2) * F.atanh(math.sqrt(e2) * tau / F.sqrt(1 + tau * tau)))
-        now = tau * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + tau * tau)
-        slope = (1 + (1 - e2) * tau * tau) / ((1 - e2) * F.sqrt(1 + tau * tau) * F.sqrt(1 + now * now))
-        tau = tau + (target - now) * slope
-    return F.degrees(F.atan(tau)), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + zone * 6 - 183
+    chi = F.asin(F.sin(x) / F.cosh(y))  # conformal latitude
+    phi = chi
+    for j, c in enumerate(delta, 1):
+        phi = phi + c * F.sin(2 * j * chi)
+    return F.degrees(phi), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + zone * 6 - 183
 
 
 def tile_xyz(lat, lon, zoom: int) -> tuple[Column, Column]:

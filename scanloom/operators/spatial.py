@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
@@ -70,30 +72,8 @@ def cov_sums(*values: Column | str) -> list[Column]:
     return [c.alias(k) for k, c in named.items()]
 
 
-def eigen3(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> tuple[Column, Column, Column]:
-    """Eigenvalues, ascending, of the symmetric matrix [[a b c] [b d e] [c e f]], in closed form."""
-    q = (a + d + f) / 3
-    p = F.sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * (b * b + c * c + e * e)) / 6)
-    safe = F.when(p > 0, p).otherwise(1.0)
-    aa, dd, ff, bb, cc, ee = (a - q) / safe, (d - q) / safe, (f - q) / safe, b / safe, c / safe, e / safe
-    half = (aa * (dd * ff - ee * ee) - bb * (bb * ff - ee * cc) + cc * (bb * ee - dd * cc)) / 2
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3
-    high = q + 2 * p * F.cos(phi)
-    low = q + 2 * p * F.cos(phi + 2.0943951023931953)
-    return low, 3 * q - low - high, high
-
-
-def normal3(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column, low: Column) -> list[Column]:
-    """The unit eigenvector of an eigenvalue: the longest cross product of two rows of the shifted matrix."""
-    rows = [(a - low, b, c), (b, d - low, e), (c, e, f - low)]
-    cross = [(u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]) for u, v in ((rows[0], rows[1]), (rows[0], rows[2]), (rows[1], rows[2]))]
-    best = F.greatest(*[F.struct((x * x + y * y + z * z).alias("n"), x.alias("x"), y.alias("y"), z.alias("z")) for x, y, z in cross])
-    size = F.sqrt(best["n"])
-    return [F.when(size > 0, best[k] / size) for k in "xyz"]
-
-
 def plane_fit(rows: DataFrame, keys: Sequence[str], names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Centroid, eigenvalues l0 <= l1 <= l2 of the covariance (over n) and the absolute normal of each group.
+    """Centroid, eigenvalues l0 <= l1 <= l2 of the covariance (over n) and the normal of each group.
 
     Nine sums in one aggregation, taken about the group's first point, so that map coordinates cost no precision.
     """
@@ -103,10 +83,19 @@ def plane_fit(rows: DataFrame, keys: Sequence[str], names: Sequence[str] = ("x",
     m = [F.col(f"s{c}") / F.col("n") for c in "xyz"]
     cov = [F.col(f"s{'xyz'[i]}{'xyz'[j]}") / F.col("n") - m[i] * m[j] for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]
     named = sums.select(*keys, "n", *[(v + F.col(f"_o{c}")).alias(f"c{k}") for v, c, k in zip(m, names, "xyz", strict=True)], *[c.alias(f"_{k}") for c, k in zip(cov, "abcdef", strict=True)])
-    values = eigen3(*[F.col(f"_{k}") for k in "abcdef"])
-    out = named.withColumns({f"l{k}": F.greatest(v, F.lit(0.0)) for k, v in enumerate(values)})
-    n = normal3(*[F.col(f"_{k}") for k in "abcdef"], F.col("l0"))
-    return out.withColumns({f"n{c}": v for c, v in zip("xyz", n, strict=True)}).drop(*[f"_{k}" for k in "abcdef"])
+    kinds = dict(named.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "n", "cx", "cy", "cz")) + ", " + ", ".join(f"{c} double" for c in ("l0", "l1", "l2", "nx", "ny", "nz"))
+    return named.mapInPandas(_eigen, schema)
+
+
+def _eigen(batches):
+    """Eigenvalues, ascending, and the least one's vector (its largest part positive) of a batch of covariances at once."""
+    for rows in batches:
+        a, b, c, d, e, f = (rows.pop(f"_{k}").to_numpy(float) for k in "abcdef")
+        values, vectors = np.linalg.eigh(np.stack([np.stack([a, b, c], 1), np.stack([b, d, e], 1), np.stack([c, e, f], 1)], 1))
+        normal = vectors[:, :, 0]
+        normal = normal * np.where(np.take_along_axis(normal, np.abs(normal).argmax(1)[:, None], 1) < 0, -1.0, 1.0)
+        yield rows.assign(**{f"l{k}": np.maximum(values[:, k], 0.0) for k in range(3)}, nx=normal[:, 0], ny=normal[:, 1], nz=normal[:, 2])
 
 
 def octree_planes(points: DataFrame, size: float, layers: int, least: int, threshold: float) -> DataFrame:
@@ -261,4 +250,4 @@ def greedy_cap(pairs: DataFrame, cap: int, keys: Sequence[str] = ("session",)) -
             said.append(ok)
         return rows.assign(accepted=said)
 
-    return pairs.groupBy(*keys).applyInPandas(walk, pairs.schema.add("accepted", "boolean"))
+    return pairs.groupBy(*keys).applyInPandas(walk, T.StructType([*pairs.schema.fields, T.StructField("accepted", T.BooleanType())]))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.functions import geometry as geo
 
@@ -365,4 +366,4 @@ def separated_peaks(scores: DataFrame, separation: float, n: int, keys: Sequence
         return rows.loc[kept].assign(rank=range(1, len(kept) + 1))
 
     by = list(keys) or [F.lit(0).alias("_all")]
-    return scores.groupBy(*by).applyInPandas(choose, scores.schema.add("rank", "long"))
+    return scores.groupBy(*by).applyInPandas(choose, T.StructType([*scores.schema.fields, T.StructField("rank", T.LongType())]))

@@ -97,6 +97,8 @@ def oracle(sql: str, *names: str) -> str:
         need += [n for n in (*USES.get(name, ()), name) if n not in need]
     parts = ",\n".join(f"{n} AS ({_filled(SQL[n], _DUCK).replace('AS STRING', 'AS VARCHAR')})" for n in need)
     rest = sql.strip()
+    if not parts:
+        return rest
     recursive = rest.upper().startswith("WITH RECURSIVE ")
     if rest.upper().startswith("WITH "):
         rest = rest[len("WITH RECURSIVE ") if recursive else 5 :]
