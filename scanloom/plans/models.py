@@ -120,7 +120,7 @@ _H = """ha AS (SELECT CAST(floor((epoch_us(ts) - 1704067200000000) / 3600e6) AS
 _SHIFTED = lambda t: _hourly(t, "view", 5).withColumn("value", F.col("value") + (F.col("k") - 5) % 7)
 add("j18_lag_join", lambda t: rounded(reg.lag_join(_hourly(t, "view"), _SHIFTED(t), range(-12, 13)).groupBy("lag").agg(F.corr("va", "vb").alias("r"), F.count("*").alias("n")).withColumn("lag", F.col("lag").cast("long")), "r"), f"WITH {_H} SELECT lag, n, {r('r', 'r')} FROM lg")
 add("a26_lag_correlation", lambda t: rounded(reg.lag_correlation(_hourly(t, "view"), _SHIFTED(t), range(-12, 13)).select("session", F.col("best_lag").cast("long").alias("best_lag"), "overlap", "score", "runner_up", "reason", "accepted"), "score", "runner_up"),
-    f"""WITH {_H}, b AS (SELECT arg_max(lag, r) AS best, max(r) AS score, arg_max(n, r) AS n FROM lg) SELECT CAST(0 AS BIGINT) AS session, best AS best_lag, any_value(b.n) AS overlap, {r('any_value(score)', 'score')}, {r('max(r)', 'runner_up')}, 'ok' AS reason, TRUE AS accepted FROM lg, b WHERE abs(lag - best) >= 2 GROUP BY best""")
+    f"""WITH {_H}, ok AS (SELECT * FROM lg WHERE n >= 20 AND n >= 0.5 * (SELECT count(*) FROM ha)), b AS (SELECT arg_max(lag, r) AS best, max(r) AS score, arg_max(n, r) AS n FROM ok) SELECT CAST(0 AS BIGINT) AS session, best AS best_lag, any_value(b.n) AS overlap, {r('any_value(score)', 'score')}, {r('max(r) FILTER (abs(lag - best) >= 2)', 'runner_up')}, 'ok' AS reason, TRUE AS accepted FROM ok, b GROUP BY best""")
 add("a27_search_offset", lambda t: reg.search_offset(t("trajectory").where("session < 3").select("session", (F.col("t") - 600).alias("t"), (F.col("px") * 2).alias("cx"), (F.col("py") * 2).alias("cy"), (F.col("pz") * 2).alias("cz")), t("trajectory"), [0.0, 300.0, 600.0, 900.0]).where("rank = 1").select("session", "dt", F.round("s", 4).alias("s")),
     "SELECT session, 600.0::DOUBLE AS dt, 0.5::DOUBLE AS s FROM (SELECT DISTINCT session FROM trajectory WHERE session < 3)", "trajectory")
 add("a46_blocked_cv", lambda t: rounded(reg.blocked_cv(t("trajectory").select("session", "t", F.col("px").alias("sx"), F.col("py").alias("sy"), F.col("pz").alias("sz"), (2 * F.col("px") + 1).alias("tx"), (2 * F.col("py")).alias("ty"), (2 * F.col("pz") + F.col("px") % 3 / 10).alias("tz"), F.col("t").alias("id"))).select("session", "fold", "n", "rmse"), "rmse", digits=4))
