@@ -23,8 +23,12 @@ from scanloom.llm import text as tx
 
 #: Buckets of a sketch (a power of two), bands of it, bits of mantissa.
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
+#: Buckets of the finer sketch that texts get whose buckets still span several components after the pivots.
+FINE = 512
 #: Defaults of stages on word shingles: words of a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 80
+#: Ids (8 bytes each) up to which texts are picked by a broadcast of the ids; beyond, by a shuffle.
+PICKED = 500_000
 #: Members of a block that is compared with another at once.
 BLOCK = 256
 
@@ -47,10 +51,10 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarra
         yield low, out
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def registers(shingles: np.ndarray, size: int = REGISTERS) -> np.ndarray:
     """The sketch of a sorted set of hashes: 0 where a bucket is empty, else leading zeros and mantissa, and 1."""
-    out = np.zeros(REGISTERS, np.uint16)
-    bits = REGISTERS.bit_length() - 1
+    out = np.zeros(size, np.uint16)
+    bits = size.bit_length() - 1
     bucket = (shingles >> np.uint64(64 - bits)).astype(np.int64)
     filled, at = np.unique(bucket, return_index=True)
     value = shingles[at] << np.uint64(bits)
@@ -66,14 +70,19 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     equal = ((a == b) & (a > 0)).sum(-1)
     used = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
     ratio = n_a / np.maximum(n_b, 1)
-    chance = 0.169919487159739 * REGISTERS * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
+    chance = 0.169919487159739 * a.shape[-1] * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
     return (equal - chance) / used, used
 
 
 def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, share: float) -> np.ndarray:
-    """Pairs whose estimate is not five standard deviations below the share."""
+    """Pairs of fitting sizes whose estimate is not five standard deviations below the share.
+
+    The buckets used are a sample of the union without replacement; the larger its part of the union, the less it strays.
+    """
     found, used = estimate(a, b, n_a, n_b)
-    return found >= share - 5 * np.sqrt(share * (1 - share) / used) - 1 / used
+    left = np.clip(1 - used * (1 + share) / np.maximum(n_a + n_b, 1), 0, 1)
+    sizes = np.minimum(n_a, n_b) >= share * np.maximum(n_a, n_b) - 1e-9
+    return sizes & (found >= share - 5 * np.sqrt(share * (1 - share) / used * left) - 2 / used)
 
 
 _probes = (tx.seeded(REGISTERS * 64, 21) % np.uint64(REGISTERS)).astype(np.int64).reshape(REGISTERS, 64)
@@ -98,20 +107,20 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return tx.signed(out)
 
 
-def _sketch(n: int):
+def _sketch(n: int, width: int = REGISTERS):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, sets in shingle_sets(batch.column(1), n):
                 size = np.array([len(s) for s in sets])
                 whole = [np.array([x.sum(dtype=np.uint64), (tx.mix(x ^ np.uint64(0x5851F42D4C957F2D))).sum(dtype=np.uint64)]) for x in sets]
                 pair = tx.signed(np.array(whole, np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low : low + len(sets)], pa.array(size), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([registers(x).tobytes() if len(x) else None for x in sets], pa.binary())], ["id", "n", "fa", "fb", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low : low + len(sets)], pa.array(size), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([registers(x, width).tobytes() if len(x) else None for x in sets], pa.binary())], ["id", "n", "fa", "fb", "sketch"])
 
     return emit
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+def _matrix(column: pa.Array | list[bytes], width: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), np.uint16).reshape(-1, width)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +155,21 @@ def _verify(n: int, percent: int):
 
 
 def _blocks(share: float):
-    """Plausible pairs of different components between the two blocks of each key; the rows of a key come together."""
+    """Plausible pairs of different components between the two blocks of each key; the rows of a key come together.
+
+    A pair that meets in several bands is looked at in the first of them alone; where one of both is a pivot there,
+    it has been compared already.
+    """
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        sketch = _matrix([r[7] for r in rows], FINE)
         own, comp, rep, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
+        bands, band = band_keys(_matrix([r[8] for r in rows])), rows[0][0]
         low, high = rows[0][1], rows[0][2]
         for x in np.flatnonzero(own == low):
             others = np.flatnonzero((own == high) & (comp != comp[x]) & ((rep > rep[x]) | (low != high)))
+            shared = (bands[others] == bands[x]).argmax(1)
+            others = others[bands[x][shared] == band]
             for y in others[plausible(sketch[x], sketch[others], n[x], n[others], share)]:
                 yield min(int(rep[x]), int(rep[y])), max(int(rep[x]), int(rep[y]))
 
@@ -217,8 +233,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_sift(share), "a long, b long")
 
+    def only(ids: DataFrame) -> DataFrame:
+        """Texts of the ids, before any text is shuffled if the ids are few."""
+        ids = tx.checkpoint(ids.distinct())
+        return rows.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "id", "left_semi")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda k: rows.select(F.col("id").alias(k), F.col("text").alias(f"t_{k}"))
+        pairs = tx.checkpoint(pairs)
+        own = only(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+        side = lambda k: own.select(F.col("id").alias(k), F.col("text").alias(f"t_{k}"))
         return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(_verify(words, percent), "a long, b long")
 
     bands = reps.select("rep", "sketch").mapInArrow(_bands, "band long, rep long").repartition("band")
@@ -233,10 +256,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     apart = apart.select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     open_ = apart.groupBy("band").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = apart.join(open_.select("band", chunks.alias("chunks")), "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    placed = tx.checkpoint(apart.join(open_.select("band", chunks.alias("chunks")), "band"))
+    fine = only(placed.select(F.col("rep").alias("id"))).mapInArrow(_sketch(words, FINE), "id long, n long, fa long, fb long, sketch binary")
+    fine = fine.dropDuplicates(["id"]).select(F.col("id").alias("rep"), "sketch")
+    fine = fine.join(reps.select("rep", "n", F.col("sketch").alias("coarse")), "rep")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "comp", "rep")
-    placed = placed.join(reps, "rep").select("band", "lo", "hi", "own", "comp", "rep", "n", "sketch")
+    placed = placed.join(fine, "rep").select("band", "lo", "hi", "own", "comp", "rep", "n", "sketch", "coarse")
     more = placed.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_blocks(share), "a long, b long")
     more = tx.checkpoint(more.distinct())
     if not more.isEmpty():
