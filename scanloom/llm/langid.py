@@ -22,6 +22,8 @@ TABLE = 1 << 15
 TRAIN_DOCS, TRAIN_BYTES = 1600, 3000
 #: Words of a training sequence, sequences of a step, steps.
 SEQUENCE, BATCH, STEPS = 48, 64, 240
+#: Bytes of text whose features are held at once.
+SLICE = 1 << 19
 #: Words that the lexicon holds for each language, at most.
 LEXICON = 400
 
@@ -224,11 +226,10 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, n: int = TRAIN_DOCS,
 
     The bound is n documents of size characters each (a stretch from a place that the key's hash gives).
     """
-    usable = docs.where(~held_out(F.col(key)) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    turn = F.xxhash64(F.col(key), F.lit(11))
+    usable = tx.sample_by_hash(docs.select(key, text, lang), key, 11, n).where(~held_out(F.col(key)) & F.col(text).isNotNull() & F.col(lang).isNotNull())
     room = F.greatest(F.length(text) - size, F.lit(0)) + 1
     piece = F.substr(F.col(text), F.pmod(F.xxhash64(F.col(key), F.lit(12)), room).cast("int") + 1, F.lit(size))
-    rows = usable.select(turn.alias("turn"), F.col(lang).alias("lang"), piece.alias("piece")).orderBy("turn").limit(n).collect()
+    rows = usable.select("turn", F.col(lang).alias("lang"), piece.alias("piece")).orderBy("turn").limit(n).collect()
     return [(r["piece"], r["lang"]) for r in rows]
 
 
@@ -249,7 +250,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in tx.slices(batch.column(1)):
+            for low, high, data, offsets in tx.slices(tx.text_of(batch, 1, place), SLICE):
                 n, k = high - low, len(model.labels)
                 score, said, shares = np.zeros(n), np.full(n, "und", object), [[]] * n
                 if k:
@@ -265,7 +266,8 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                             best = int(total[row].argmax())
                             said[row], score[row] = model.labels[best], round(min(1.0, total[row, best] / count[row]), 6)
                             shares[row] = np.round(total[row] / count[row], 4).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(said, pa.string()), pa.array(score), pa.array(shares, pa.list_(pa.float64())), *(c[low:high] for c in batch.columns[2:])], ["key", "lang_pred", "score", "mix", *["row"] * carry])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(said, pa.string()), pa.array(score), pa.array(shares, pa.list_(pa.float64())), *(c[low:high] for c in batch.columns[1:] if carry)], ["key", "lang_pred", "score", "mix", *["row"] * carry])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *tx.carried(docs, carry))
+    place = docs.columns.index(text) if carry else None
+    rows = docs.select(F.col(key).cast("long").alias("key"), *tx.carried(docs, carry, text))
     return tx.arrow_map(rows, label, tx.with_row("key long, lang_pred string, score double, mix array<double>", docs, carry)).withColumnRenamed("key", key)
