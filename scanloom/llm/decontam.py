@@ -203,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: int = EDITS, key:
     for part in range(parts):
         own = said.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else said
         index = Index([(r["item"], r["text"]) for r in own.collect()], edits)  # bounded by index_bytes
-        found = rows.mapInArrow(_search(index), schema)
+        found = rows.mapInArrow(tx.lean(_search(index)), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": key, "item": item})
 

@@ -224,14 +224,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     share = percent / 100
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = tx.checkpoint(rows.mapInArrow(_sketch(words), "id long, n long, fa long, fb long, sketch binary"))
+    sketches = tx.checkpoint(rows.mapInArrow(tx.lean(_sketch(words)), "id long, n long, fa long, fb long, sketch binary"))
     classes = sketches.where("n > 0 and id is not null").groupBy("fa", "fb").agg(F.min("id").alias("rep"))
     held = sketches.join(classes.select(F.col("rep").alias("id"), F.col("fa").alias("ca"), F.col("fb").alias("cb")), "id").where("fa = ca and fb = cb")
     reps = tx.checkpoint(held.dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "sketch"))
 
     def sifted(pairs: DataFrame) -> DataFrame:
         side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_sift(share), "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(tx.lean(_sift(share)), "a long, b long")
 
     def only(ids: DataFrame) -> DataFrame:
         """Texts of the ids, before any text is shuffled if the ids are few."""
@@ -242,9 +242,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         pairs = tx.checkpoint(pairs)
         own = only(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
         side = lambda k: own.select(F.col("id").alias(k), F.col("text").alias(f"t_{k}"))
-        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(_verify(words, percent), "a long, b long")
+        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(tx.lean(_verify(words, percent)), "a long, b long")
 
-    bands = reps.select("rep", "sketch").mapInArrow(_bands, "band long, rep long").repartition("band")
+    bands = reps.select("rep", "sketch").mapInArrow(tx.lean(_bands), "band long, rep long").repartition("band")
     buckets = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
     crowded = tx.checkpoint(bands.join(buckets, "band"))
     pairs = crowded.where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
@@ -257,14 +257,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     open_ = apart.groupBy("band").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = tx.checkpoint(apart.join(open_.select("band", chunks.alias("chunks")), "band"))
-    fine = only(placed.select(F.col("rep").alias("id"))).mapInArrow(_sketch(words, FINE), "id long, n long, fa long, fb long, sketch binary")
+    fine = only(placed.select(F.col("rep").alias("id"))).mapInArrow(tx.lean(_sketch(words, FINE)), "id long, n long, fa long, fb long, sketch binary")
     fine = fine.dropDuplicates(["id"]).select(F.col("id").alias("rep"), "sketch")
     fine = fine.join(reps.select("rep", "n", F.col("sketch").alias("coarse")), "rep")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "comp", "rep")
     placed = placed.join(fine, "rep").select("band", "lo", "hi", "own", "comp", "rep", "n", "sketch", "coarse")
-    more = placed.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_blocks(share), "a long, b long")
+    more = placed.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(tx.lean(_blocks(share)), "a long, b long")
     more = tx.checkpoint(more.distinct())
     if not more.isEmpty():
         late = tx.checkpoint(confirmed(more))

@@ -301,7 +301,7 @@ def pack(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]] | str
     """
     encode = encode or default_tokenizer()
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    cut = rows.mapInArrow(_pieces(encode, length, end), "id long, start long, length long, ids_crc32 long, doc_tokens long, turn long")
+    cut = rows.mapInArrow(tx.lean(_pieces(encode, length, end)), "id long, start long, length long, ids_crc32 long, doc_tokens long, turn long")
     # The task's number is kept with the rows, so that both uses below see the same ranks.
     pieces = tx.checkpoint(cut.withColumn("task", F.spark_partition_id()))
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
@@ -325,7 +325,7 @@ def pack(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]] | str
                 offset[rows_] = own[at, 3]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*columns[:5], "sequence_id", "offset"])
 
-    out = ranked.select(*columns).mapInArrow(place, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = ranked.select(*columns).mapInArrow(tx.lean(place), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", key)
 
 

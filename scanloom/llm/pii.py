@@ -300,7 +300,7 @@ def labelled_windows(docs: DataFrame, key: str, text: str, at_most: int) -> tupl
 
     # Windows are cut from texts whose hash comes first; about one text in sixteen is thought to have a digit or @.
     rows = tx.sample_by_hash(docs.select(key, text), key, 31, at_most, 16).where(has_trigger(F.col(text))).select("turn", F.col(text).alias("text"))
-    found = rows.mapInArrow(cut, "turn long, x binary, y binary").orderBy("turn", "x").limit(at_most).collect()
+    found = rows.mapInArrow(tx.lean(cut), "turn long, x binary, y binary").orderBy("turn", "x").limit(at_most).collect()
     shape = lambda k: np.frombuffer(b"".join(bytes(r[k]) for r in found), np.int8).reshape(-1, WINDOW).astype(np.int64)
     return shape("x"), shape("y")
 

@@ -239,19 +239,19 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     remove from each other, a null key removes and loses nothing, and further columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    pairs = rows.where("id is not null").mapInArrow(_minimisers(window, minimiser), "minimiser long, id long")
+    pairs = rows.where("id is not null").mapInArrow(tx.lean(_minimisers(window, minimiser)), "minimiser long, id long")
     pairs = pairs.repartition("minimiser")
     repeat = pairs.groupBy("minimiser").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("minimiser")
     wanted = pairs.join(repeat, "minimiser").groupBy("id").agg(F.collect_set("minimiser").alias("wanted"))
-    packed = rows.join(wanted.hint("shuffle_merge"), "id").select("id", "text", "wanted").mapInArrow(_pack(window, minimiser), "minimiser long, name long, packed binary, places array<struct<id:long,start:long>>")
+    packed = rows.join(wanted.hint("shuffle_merge"), "id").select("id", "text", "wanted").mapInArrow(tx.lean(_pack(window, minimiser)), "minimiser long, name long, packed binary, places array<struct<id:long,start:long>>")
     strings = tx.stored(packed).withColumn("least", F.array_min("places.id"))
     sized = strings.withColumn("size", F.sum(F.length("packed")).over(Window.partitionBy("minimiser")))
-    usual = sized.where(F.col("size") <= bucket_bytes).select("minimiser", "packed", "places").mapInArrow(_count(window), _CUTS)
+    usual = sized.where(F.col("size") <= bucket_bytes).select("minimiser", "packed", "places").mapInArrow(tx.lean(_count(window)), _CUTS)
     large = sized.where(F.col("size") > bucket_bytes)
-    single = large.select("minimiser", "name", "packed", "least").mapInArrow(_windows(window), "a long, b long, minimiser long, name long, place long, least long")
+    single = large.select("minimiser", "name", "packed", "least").mapInArrow(tx.lean(_windows(window)), "a long, b long, minimiser long, name long, place long, least long")
     seen = single.groupBy("a", "b").agg(F.min("least").alias("seen"))
     first = single.join(seen, ["a", "b"]).groupBy("minimiser", "name").agg(F.array_sort(F.collect_list(F.struct("place", "seen"))).alias("all"))
-    rest = large.join(first, ["minimiser", "name"]).select("places", F.col("all.seen").alias("first")).mapInArrow(_compare, _CUTS)
+    rest = large.join(first, ["minimiser", "name"]).select("places", F.col("all.seen").alias("first")).mapInArrow(tx.lean(_compare), _CUTS)
     cuts = usual.unionByName(rest).groupBy("id").agg(F.collect_list(F.struct("start", "marks")).alias("cuts"))
-    out = rows.join(cuts.hint("shuffle_merge"), "id", "left").select("id", "text", "cuts").mapInArrow(_keep(window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = rows.join(cuts.hint("shuffle_merge"), "id", "left").select("id", "text", "cuts").mapInArrow(tx.lean(_keep(window)), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", key)
