@@ -224,7 +224,7 @@ class Tagger:
             padded = np.concatenate([own, np.zeros(max(0, WINDOW - len(own)), np.int64)])
             windows.append(padded[at[:, None] + np.arange(WINDOW)])
         rows = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.int64)
-        tags = np.concatenate([self.decode(rows[k : k + 2048]) for k in range(0, len(rows), 2048)]) if len(rows) and self.trained else np.zeros(rows.shape, np.int64)
+        tags = np.concatenate([self.decode(rows[k : k + 1024]) for k in range(0, len(rows), 1024)]) if len(rows) and self.trained else np.zeros(rows.shape, np.int64)
         out, done = [], 0
         inner = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))  # distance from the window's edge
         for own, at in zip(classes, starts, strict=True):
