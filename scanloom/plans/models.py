@@ -57,8 +57,8 @@ add("f15_border_radius", lambda t: rounded(op.border_radius(t("nation").select(F
 # Projection and consensus
 
 
-def _projected(t):
-    return op.project_views(t("points").where("point_id % 3 = 0"), t("views").withColumn("cy", F.col("cy") * 3), lambda x, y, z: geo.project_equirect(x, y, z, 2048.0, 1024.0), 6.0, 2048.0, 1024.0)
+def _projected(t, some="point_id % 3 = 0"):
+    return op.project_views(t("points").where(some), t("views").withColumn("cy", F.col("cy") * 3), lambda x, y, z: geo.project_equirect(x, y, z, 2048.0, 1024.0), 6.0, 2048.0, 1024.0)
 
 
 _PROJ = """pj AS (SELECT image_id, name, point_id, (atan2(r_, f_) / (2 * pi()) + 0.5) * 2048 AS u, (asin(d_ / sqrt(r_ * r_ + d_ * d_ + f_ * f_)) / pi() + 0.5) * 1024 AS v, sqrt(r_ * r_ + d_ * d_ + f_ * f_) AS depth, r, g, b FROM (
@@ -74,9 +74,9 @@ _TOP = "tp AS (SELECT * FROM (SELECT *, 1 / pow(greatest(depth, 0.5), 1.5) AS sc
 add("o3_top3", lambda t: op.top3(_SCORE(_projected(t))).select("point_id", "image_id", F.col("k").cast("long").alias("k")), f"WITH {_PROJ}, {_TOP} SELECT point_id, image_id, k FROM tp", "points", "views")
 
 
-def _tinted(t):
+def _tinted(t, some="point_id % 3 = 0"):
     tint = {c: (F.col(c) + F.col("image_id") * k % 90) % 256 for c, k in (("r", 7), ("g", 11), ("b", 5))}
-    return op.top3(_SCORE(_projected(t)).withColumns(tint))
+    return op.top3(_SCORE(_projected(t, some)).withColumns(tint))
 
 
 _MID = lambda c: f"list_sort([va.{c}, vb.{c}, vc.{c}])[2]"
@@ -91,6 +91,13 @@ add("a13_consensus", lambda t: rounded(op.consensus(_tinted(t)), *"rgb", digits=
 add("a14_coverage", lambda t: rounded(op.coverage(t("points").where("point_id % 3 = 0"), op.top3(_SCORE(_projected(t)))), "coverage"),
     f"WITH {_PROJ} SELECT count(*) AS n, {r('100 * avg(CASE WHEN s.point_id IS NULL THEN 0.0 ELSE 1 END)', 'coverage')} FROM points AS p LEFT JOIN (SELECT DISTINCT point_id FROM pv) AS s ON s.point_id = p.point_id WHERE p.point_id % 3 = 0", "points", "views")
 
+# As above, over every point instead of the subset that the SQL names
+add("j8_project_views_whole", lambda t: rounded(_projected(t, "true").select("image_id", "point_id", "u", "v", "depth"), "u", "v", "depth", digits=4))
+add("a12_visible_whole", lambda t: op.visible(_projected(t, "true"), 2048, 1024, 32, 16).select("image_id", "point_id"))
+add("o3_top3_whole", lambda t: op.top3(_SCORE(_projected(t, "true"))).select("point_id", "image_id", F.col("k").cast("long").alias("k")))
+add("a13_consensus_whole", lambda t: rounded(op.consensus(_tinted(t, "true")), *"rgb", digits=4))
+add("a14_coverage_whole", lambda t: rounded(op.coverage(t("points"), op.top3(_SCORE(_projected(t, "true")))), "coverage"))
+
 # Photometry
 add("a39_loo_targets", lambda t: rounded(op.loo_targets(t("observations")).select("obs", "point_id", "target_r", "target_g", "target_b"), "target_r", "target_g", "target_b"),
     "SELECT obs, point_id, " + ", ".join(r(f"(sum(weight * {c}) OVER w - weight * {c}) / nullif(CASE WHEN count(*) OVER w > 1 THEN sum(weight) OVER w - weight ELSE 0 END, 0)", f"target_{c}") for c in "rgb") + " FROM observations WINDOW w AS (PARTITION BY point_id)", "observations")

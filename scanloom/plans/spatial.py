@@ -68,6 +68,10 @@ def _some(t, k, at=0):
     return t("points").where(f"point_id % {k} = {at}").select("point_id", "x", "y", "z")
 
 
+def _whole(t, name="points"):
+    return t(name).select("point_id", "x", "y", "z")
+
+
 def _near(a, b, radius):
     """Pairs within a radius in the oracle, by cells."""
     return f"""nb AS (SELECT a.point_id AS point_id, b.point_id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM {a} AS a, {b} AS b
@@ -116,5 +120,11 @@ def _patches(t):
 add("a8_select_patches", lambda t: _patches(t)[1].select("point_id"))
 add("a9_score_patches", lambda t: (lambda p: rounded(op.score_patches(*[clouds.split_halves(p[0], 3).where(f"split = '{s}'") for s in ("train", "test")], p[1], 3.0, 8).select("patch", "n_train", "n_test", "rmse_mm", "p90_mm"), "rmse_mm", "p90_mm", digits=3))(_patches(t)))
 add("a10_a11_validate_same_records", lambda t: (lambda p: op.validate_same_records(p[0], p[0].withColumn("z", F.col("z") * 0.9), p[1], 3.0, 3))(_patches(t)))
-add("a7_normals", lambda t: rounded(op.normals(_some(t, 8), 10, 3.0).select("point_id", "n", "planar", "l0"), "l0", digits=5))
-add("j19_point_to_plane", lambda t: rounded(op.point_to_plane(_some(t, 4), op.plane_fit(t("points").withColumns({f"k{c}": F.floor(F.col(c) / 5).cast("long") for c in "xyz"}), ("kx", "ky", "kz")).where("n >= 8").withColumns({"radius": F.sqrt("l2"), "variance": F.col("l0") + 1e-4}), 5.0), "prob", "dist"))
+add("a7_normals", lambda t: rounded(op.normals(_whole(t), 10, 3.0).select("point_id", "n", "planar", "l0"), "l0", digits=5))
+add("j19_point_to_plane", lambda t: rounded(op.point_to_plane(_whole(t), op.plane_fit(t("points").withColumns({f"k{c}": F.floor(F.col(c) / 5).cast("long") for c in "xyz"}), ("kx", "ky", "kz")).where("n >= 8").withColumns({"radius": F.sqrt("l2"), "variance": F.col("l0") + 1e-4}), 5.0), "prob", "dist"))
+
+# The queries above that have SQL keep to the id subsets that their SQL names; these take every point of one or two clouds. Tests hold them against brute force
+add("j5_radius_join_whole", lambda t: op.radius_join(_whole(t), _whole(t), 1.5).groupBy("point_id").agg(F.count("*").alias("n"), F.min("point_id_b").alias("first"), F.round(F.sum("d") + 1.3e-8, 5).alias("total")))
+add("j6_nn_join_whole", lambda t: rounded(op.nn_join(_whole(t), _whole(t, "points_b"), 2.0).select("point_id", "point_id_b", "d"), "d"))
+add("j7_knn_join_whole", lambda t: rounded(op.knn_join(_whole(t), 5, 2.0).select("point_id", "point_id_b", "d", F.col("rank").cast("long").alias("rank")), "d"))
+add("a25_overlap_metrics_whole", lambda t: rounded(op.symmetric_overlap(_whole(t), _whole(t, "points_b"), 1.0), "overlap", "rms", "capped_rms"))
