@@ -1,16 +1,19 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides.
 
 Word classes come from the counts of all words of the corpus: the most frequent words each have a class,
-all others share classes by their ending. The network (position-wise embeddings, one hidden layer) is trained
-in numpy on a bounded sample; a text's score is the sum of log p(word | both sides) over all its words.
+all others share classes by their ending, where each has its share of the class's count. The network (position-wise
+embeddings, one hidden layer) is trained on all texts: groups of documents are fitted apart in numpy and averaged in
+Spark after each pass. A text's score is the sum of log p(word | both sides) over all its words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,12 @@ FREQUENT, ENDINGS = 191, 64
 REACH, HIDDEN = 2, 24
 #: The class of what lies beyond the text.
 EDGE = FREQUENT + ENDINGS
-#: Documents and bytes of each that training takes at most, passes, positions of a step.
-TRAIN_DOCS, TRAIN_BYTES, PASSES, BATCH = 500, 2400, 3, 512
+#: Passes over all texts, positions of a step, words of a group that is fitted apart (in the mean).
+PASSES, BATCH, GROUP = 3, 512, 4_000_000
+#: Weights that travel in one row.
+BLOCK = 1024
+#: Logarithms are summed in Spark as whole millionths, so that the order of the sum can't matter.
+MICRO = 1e6
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 600_000
 
@@ -62,14 +69,29 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Network:
-    def __init__(self, frequent: np.ndarray, types: np.ndarray, seed: int = 3):
+    def __init__(self, frequent: np.ndarray, mass: np.ndarray, seed: int = 3):
+        """mass: for each ending the words counted in it, plus one for each type and one for what was never seen."""
         rng = np.random.default_rng(seed)
         self.frequent = np.sort(frequent)
-        self.log_types = np.zeros(EDGE + 1, np.float32)  # log p(word | class): the words of an ending are taken as alike
-        self.log_types[FREQUENT:EDGE] = -np.log(np.maximum(types, 1))
+        self.log_mass = np.zeros(EDGE + 1, np.float32)  # log p(word | class) without the word's own count, which is joined in Spark
+        self.log_mass[FREQUENT:EDGE] = -np.log(np.maximum(mass, 1))
         self.embed = rng.normal(0, 0.1, (2 * REACH, EDGE + 1, HIDDEN)).astype(np.float32)
         self.hidden, self.out = np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, (HIDDEN, EDGE)).astype(np.float32)
         self.bias = np.zeros(EDGE, np.float32)
+        self.seen = [np.full(w.shape, 1e-4, np.float32) for w in self.weights()]
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.embed, self.hidden, self.out, self.bias]
+
+    def flat(self) -> np.ndarray:
+        """All weights and their sums of squared slopes in one row."""
+        return np.concatenate([x.ravel() for x in (*self.weights(), *self.seen)])
+
+    def put(self, flat: np.ndarray) -> None:
+        at = 0
+        for x in (*self.weights(), *self.seen):
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
 
     def classes(self, word: np.ndarray, ending: np.ndarray) -> np.ndarray:
         if not len(self.frequent):
@@ -80,7 +102,7 @@ class Network:
     def contexts(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """words x 2 REACH: the classes on both sides, EDGE beyond the text."""
         n, owner = len(classes), tx.owners(first)
-        out = np.full((n, 2 * REACH), EDGE, np.int32)
+        out = np.full((n, 2 * REACH), EDGE, np.uint8)
         for k, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
             at = np.arange(n) + d
             inside = (at >= 0) & (at < n)
@@ -95,75 +117,139 @@ class Network:
         h = np.tanh(x)
         return h, np.clip(h @ self.out + self.bias, -60, 60)
 
-    def fit(self, context: np.ndarray, target: np.ndarray, passes: int = PASSES, rate: float = 0.15) -> Network:
-        """Adagrad on the conditional log-likelihood."""
-        rng = np.random.default_rng(4)
-        weights = [self.embed, self.hidden, self.out, self.bias]
-        seen = [np.full(w.shape, 1e-4, np.float32) for w in weights]
-        for _ in range(passes):
-            order = rng.permutation(len(target))
-            for low in range(0, len(order), BATCH):
-                at = order[low : low + BATCH]
-                h, z = self._forward(context[at])
-                p = np.exp(z)
-                p /= -p.sum(1, keepdims=True)
-                p[np.arange(len(at)), target[at]] += 1
-                into = (p @ self.out.T) * (1 - h * h)
-                slope = np.zeros_like(self.embed)
-                for k in range(2 * REACH):
-                    np.add.at(slope[k], context[at, k], into)
-                for w, total, g in zip(weights, seen, (slope, into.sum(0), h.T @ p, p.sum(0)), strict=True):
-                    g = g / len(at)
-                    total += g * g
-                    w += rate * g / np.sqrt(total)
+    def fit(self, context: np.ndarray, target: np.ndarray, seed: int = 4, rate: float = 0.15) -> Network:
+        """One pass of Adagrad on the conditional log-likelihood, on from the present weights."""
+        order = np.random.default_rng(seed).permutation(len(target))
+        unit = np.arange(HIDDEN)
+        for low in range(0, len(order), BATCH):
+            at = order[low : low + BATCH]
+            near, own = context[at].astype(np.int64), target[at]
+            h, p = self._forward(near)
+            np.exp(p, out=p)
+            p /= -p.sum(1, keepdims=True)
+            p[np.arange(len(at)), own] += 1
+            into = (p @ self.out.T) * (1 - h * h)
+            slope = [np.bincount((near[:, k, None] * HIDDEN + unit).ravel(), into.ravel(), self.embed[k].size) for k in range(2 * REACH)]
+            slope = np.array(slope, np.float32).reshape(self.embed.shape)
+            for w, total, g in zip(self.weights(), self.seen, (slope, into.sum(0), h.T @ p, p.sum(0)), strict=True):
+                g = g / len(at)
+                total += g * g
+                w += rate * g / np.sqrt(total)
         return self
 
     def log_probs(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log p(word | both sides) of every word."""
+        """log p(class | both sides) of every word, and for classes by ending what log p(word | class) has besides the word's count."""
         context, out = self.contexts(classes, first), np.empty(len(classes))
         for low in range(0, len(classes), 4096):
             own = classes[low : low + 4096]
             _, z = self._forward(context[low : low + 4096])
             said = z[np.arange(len(own)), own]
             np.exp(z, out=z)
-            out[low : low + 4096] = said - np.log(z.sum(1)) + self.log_types[own]
+            out[low : low + 4096] = said - np.log(z.sum(1)) + self.log_mass[own]
         return out
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", docs_at_most: int = TRAIN_DOCS) -> Network:
-    """Classes from the counts of all words; weights from stretches of at most so many documents, by the order of the keys' hashes."""
+class Trained(NamedTuple):
+    network: Network
+    #: (word, micro): millionths of log(count + 1) of every word without a class of its own.
+    counts: DataFrame
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", passes: int = PASSES) -> Trained:
+    """Classes and shares from the counts of all words; weights from passes over all texts.
+
+    Documents fall into groups by the hash of key and text, about GROUP words each, whatever the partitions. In each
+    pass the groups go on from the same weights, and the next has the mean of theirs by words, summed in Spark.
+    """
     counts = tx.checkpoint(count_words(docs, text))
     frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     rest = counts.where(~F.col("word").isin(frequent)) if frequent else counts
-    types = np.zeros(ENDINGS)
-    for r in rest.groupBy("ending").agg(F.count("*").alias("n")).collect():  # one row an ending
-        types[r["ending"]] = r["n"]
-    model = Network(np.array(frequent, np.int64), types)
-    room = F.greatest(F.length(text) - TRAIN_BYTES, F.lit(0)) + 1
-    piece = F.substr(F.col(text), F.pmod(F.xxhash64(F.col(key), F.lit(42)), room).cast("int") + 1, F.lit(TRAIN_BYTES))
-    rows = tx.sample_by_hash(docs.select(key, text), key, 41, docs_at_most).where(F.col(text).isNotNull()).select("turn", piece.alias("piece")).orderBy("turn").limit(docs_at_most).collect()
-    raw = [r["piece"].encode() for r in rows]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    word, ending, first = _words(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
-    classes = model.classes(word, ending)
-    return model.fit(model.contexts(classes, first), classes)
-
-
-def score(docs: DataFrame, model: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
+    mass = np.ones(ENDINGS)
+    for r in rest.groupBy("ending").agg(F.sum(F.col("n") + 1).alias("n")).collect():  # one row an ending
+        mass[r["ending"]] += r["n"]
+    model = Network(np.array(frequent, np.int64), mass)
+    shares = rest.select("word", F.round(F.log(F.col("n") + 1) * MICRO).cast("long").alias("micro"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in tx.slices(batch.column(1)):
+                word, ending, first = _words(data, offsets)
+                held = model.classes(word, ending).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array([held[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], ["turn", "classes"])
+
+    turn = F.xxhash64(F.col(key), F.col(text), F.lit(41)).alias("turn")
+    rows = docs.where(F.col(text).isNotNull()).select(turn, F.col(text).alias("text")).mapInArrow(tx.lean(classify), "turn long, classes binary")
+    groups = tx.checkpoint(rows.repartition(-(-total // GROUP) or 1, "turn").sortWithinPartitions("turn", "classes"))
+    for turn_ in range(passes if total else 0):
+        model.put(_pass(groups, model, turn_))
+    return Trained(model, shares)
+
+
+def _pass(groups: DataFrame, model: Network, turn: int) -> np.ndarray:
+    """The mean of the groups' weights after one pass each, by their words."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for batch in batches for x in batch.column(1).to_pylist()]
+        classes = np.frombuffer(b"".join(held), np.uint8)
+        if len(classes):
+            first = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
+            value = model.fit(model.contexts(classes, first), classes, 4 + turn).flat()
+            parts = [value[low : low + BLOCK].tobytes() for low in range(0, len(value), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array([len(classes)] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "words", "value"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        words: dict[int, int] = {}
+        for batch in batches:
+            for block, n, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[block] = sums.get(block, 0.0) + np.frombuffer(value, np.float32).astype(np.float64) * n
+                words[block] = words.get(block, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([(v / words[k]).tobytes() for k, v in sums.items()], pa.binary())], ["block", "value"])
+
+    fitted = groups.mapInArrow(tx.lean(fit), "block long, words long, value binary").repartition("block")
+    means = fitted.mapInArrow(tx.lean(add), "block long, value binary").collect()  # the weights once
+    return np.concatenate([np.frombuffer(r["value"]) for r in sorted(means)])
+
+
+def score(docs: DataFrame, model: Trained, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, log_prob (the sum over all words) and mean_log_prob of every whole text.
 
-    A null text or one without words has log_prob 0 and a null mean. Rows with equal texts score alike; an empty
-    table gives an empty one; further columns are not read.
+    A word without a class of its own has the share (its count + 1) of its class's mass, one that the corpus doesn't
+    hold that of count 0; counts are joined in Spark. A null text or one without words has log_prob 0 and a null mean.
+    Rows with equal texts score alike; an empty table gives an empty one; further columns are not read.
     """
+    network = model.network
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for low, high, data, offsets in tx.slices(batch.column(1)):
                 word, ending, first = _words(data, offsets)
-                sums = np.concatenate([[0], np.cumsum(model.log_probs(model.classes(word, ending), first))])
+                classes = network.classes(word, ending)
+                sums = np.concatenate([[0], np.cumsum(np.rint(network.log_probs(classes, first) * MICRO).astype(np.int64))])
                 n, total = np.diff(first), sums[first[1:]] - sums[first[:-1]]
-                mean = pa.array(np.round(total / np.maximum(n, 1), 4), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(n), pa.array(np.round(total, 2)), mean], ["key", "n_words", "log_prob", "mean_log_prob"])
+                rows = task + done + np.arange(high - low)
+                done += high - low
+                # One row a text under a name that no word has but by chance, and then adds nothing to it (times is 0).
+                names, none = tx.signed(tx.mix(rows.astype(np.uint64))), np.zeros(high - low, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(names), pa.array(none), batch.column(0)[low:high], pa.array(n), pa.array(total)], _PARTS)
+                rare = np.flatnonzero(classes >= FREQUENT)
+                owner, said = tx.owners(first)[rare], word[rare]
+                order = np.lexsort((said, owner))
+                owner, said = owner[order], said[order]
+                begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (said[1:] != said[:-1]))[: len(owner)])
+                times = np.diff(np.append(begin, len(owner)))
+                for a in range(0, len(begin), 100_000):
+                    b = begin[a : a + 100_000]
+                    nulls = pa.nulls(len(b), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[b]]), pa.array(said[b]), pa.array(times[a : a + 100_000]), nulls, nulls, nulls], _PARTS)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return tx.arrow_map(rows, emit, "key long, n_words long, log_prob double, mean_log_prob double").withColumnRenamed("key", key)
+    parts = tx.arrow_map(rows, emit, ", ".join(f"{c} long" for c in _PARTS)).join(model.counts, "word", "left")
+    whole = parts.groupBy("row").agg(F.max("key").alias("key"), F.max("n_words").alias("n_words"), (F.sum(F.coalesce("total", F.lit(0)) + F.coalesce(F.col("micro") * F.col("times"), F.lit(0))) / MICRO).alias("sum"))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("sum") / F.col("n_words"), 4))
+    return whole.select(F.col("key").alias(key), "n_words", F.round("sum", 2).alias("log_prob"), mean.alias("mean_log_prob"))
+
+
+_PARTS = ["row", "word", "times", "key", "n_words", "total"]
