@@ -2,14 +2,14 @@
 
 Documents are tokenised, closed by an end id and cut at the sequence length; the rests vary in length. Only
 the histogram of lengths (at most one number a length) comes to the driver. There, lengths are placed
-longest first into the packing patterns that have the least room left which still holds them, counts of
-patterns being updated as a whole. Patterns are then joined back to pieces by each piece's rank among those of its length.
+longest first, each piece into a pack with the most room left (the shortest pack), counts of packs of one
+pattern being updated as a whole. Patterns are then joined back to pieces by each piece's rank among those of its length.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -232,8 +232,8 @@ def _pieces(encode: Callable[[list[str]], list[np.ndarray]] | str, length: int,
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[int, dict[int, int]]]:
     """(count, how often each length is in it) of each pattern; every length is placed as often as the histogram has it.
 
-    A length goes to the patterns with the least room that holds it; where it has fewer occurrences than such a
-    pattern has, the pattern is divided. What finds no room opens new patterns.
+    A piece goes to one of the packs with the most room, which then have less; where the length has fewer occurrences
+    left than such a pattern has packs, the pattern is divided. What finds no room opens new packs, filled one by one.
     """
     patterns: list[list] = []  # count, {length: times}
     by_room: dict[int, list[int]] = {}
@@ -250,21 +250,19 @@ def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[in
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         while left:
-            at = bisect_left(rooms, size)
-            if at == len(rooms):
+            if not rooms or rooms[-1] < size:
                 times = length // size
                 if left >= times:
                     put(left // times, {size: times}, length - times * size)
                 if left % times:
                     put(1, {size: left % times}, length - left % times * size)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             k = by_room[room].pop()
             if not by_room[room]:
-                del by_room[room], rooms[at]
+                del by_room[room], rooms[-1]
             count, pattern = patterns[k]
-            times = min(room // size, left)
-            use = min(count, left // times)
+            use = min(count, left)
             if use < count:
                 patterns[k][0] = count - use
                 if room not in by_room:
@@ -273,8 +271,8 @@ def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[in
                 by_room[room].append(k)
             else:
                 patterns[k] = [0, {}]
-            put(use, pattern | {size: pattern.get(size, 0) + times}, room - times * size)
-            left -= use * times
+            put(use, pattern | {size: pattern.get(size, 0) + 1}, room - size)
+            left -= use
     return [(count, pattern) for count, pattern in patterns if count]
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from scanloom.llm import lm
+from scanloom.llm import lm, packing
 
 
 def test_language_model_scores_are_sums_over_all_words(spark, monkeypatch):
@@ -27,3 +27,20 @@ def test_language_model_scores_are_sums_over_all_words(spark, monkeypatch):
     for k, total in enumerate(want):
         assert rows[k]["log_prob"] == pytest.approx(total, abs=0.02) and rows[k]["n_words"] == first[k + 1] - first[k]
     assert rows[0]["log_prob"] == rows[703]["log_prob"] and rows[700]["mean_log_prob"] is None
+
+
+def test_pieces_go_to_the_shortest_pack():
+    assert sorted(packing.shortest_pack_first({7: 1, 5: 1, 2: 1}, 10), key=str) == [(1, {5: 1, 2: 1}), (1, {7: 1})]
+    r = np.random.default_rng(3)
+    histogram = {int(k): int(n) for k, n in zip(r.choice(np.arange(1, 65), 40, False), r.integers(1, 60, 40), strict=True)}
+    packs: list[int] = []  # room of each, one piece at a time
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            at = max(range(len(packs)), key=packs.__getitem__, default=None)
+            if at is None or packs[at] < size:
+                packs.append(64 - size)
+            else:
+                packs[at] -= size
+    got = packing.shortest_pack_first(histogram, 64)
+    assert sorted(64 - sum(k * n for k, n in p.items()) for count, p in got for _ in range(count)) == sorted(packs)
+    assert all(sum(count * p.get(k, 0) for count, p in got) == n for k, n in histogram.items())
