@@ -35,7 +35,8 @@ class WordIds:
 
     The tokenizer's own rules cut words into runs of letters, single digits and runs of marks; as white space is
     dropped, no token spans it. Words with anything beyond ASCII and the letters of Latin-1, or with an apostrophe,
-    or very long pieces, go through the tokenizer itself. A piece is merged once a task.
+    or very long pieces, go through the tokenizer itself, as do whole texts that hold one of its added tokens. A piece
+    is merged once a task.
     """
 
     _open: dict[str, WordIds] = {}
@@ -46,9 +47,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            held = json.load(file)
+        model = held["model"]
+        self.added = [t["content"].encode() for t in held.get("added_tokens", ())]
         vocabulary = model["vocab"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255 in order
         rest = [b for b in range(256) if b not in plain]
@@ -138,6 +140,18 @@ class WordIds:
 
     def encode_bytes(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and the place of each text's first (with their number at the end)."""
+        flat, bounds = self._encode_words(raw, offsets)
+        held = raw.tobytes()
+        if not any(t in held for t in self.added):
+            return flat, bounds
+        said = np.split(flat, bounds[1:-1])
+        for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if any(held.find(t, a, b) >= 0 for t in self.added):
+                said[row] = np.array(self.tokenizer.encode(held[a:b].decode(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(said), np.concatenate([[0], np.cumsum([len(x) for x in said])])
+
+    def _encode_words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         starts, ends, first = tx.words(raw, offsets, tx.NOT_SPACE)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

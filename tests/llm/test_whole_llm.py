@@ -44,3 +44,14 @@ def test_pieces_go_to_the_shortest_pack():
     got = packing.shortest_pack_first(histogram, 64)
     assert sorted(64 - sum(k * n for k, n in p.items()) for count, p in got for _ in range(count)) == sorted(packs)
     assert all(sum(count * p.get(k, 0) for count, p in got) == n for k, n in histogram.items())
+
+
+def test_added_tokens_in_texts_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["plain text", "a<|endoftext|>b", "", "<|startoftext|>", "é <|endoftext|><|startoftext|> É's", "<|ENDOFTEXT|> <|endoftext |>", "b <|endoftext|"]
+    for _ in range(2):
+        for mine, text in zip(packing.WordIds.open(packing.default_tokenizer()).encode(texts), texts, strict=True):
+            assert mine.tolist() == own.encode(text, add_special_tokens=False).ids
+    assert 49407 in own.encode(texts[1], add_special_tokens=False).ids
