@@ -18,8 +18,10 @@ from scanloom.llm import text as tx
 
 #: Rows of the weight table that hashed features share.
 TABLE = 1 << 15
-#: Labelled documents that training takes, spread over the languages, and the bytes it takes of each.
+#: Labelled documents that training takes, in equal numbers by language, and the bytes it takes of each.
 TRAIN_DOCS, TRAIN_BYTES = 1600, 3000
+#: Documents of each language that it takes however many languages there are, if there are so many.
+LEAST_DOCS = 40
 #: Words of a training sequence, sequences of a step, steps.
 SEQUENCE, BATCH, STEPS = 48, 64, 240
 #: Bytes of text whose features are held at once.
@@ -222,19 +224,33 @@ class Model:
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str, n: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> list[tuple[str, str]]:
-    """(text, language) of at most n documents that may be learned from, in an order that the keys' hashes give.
+    """(text, language) of documents that may be learned from, for each language its part of n, in the order of the texts' hashes.
 
-    The bound is n documents of size characters each (a stretch from a place that the key's hash gives).
+    Each language gives n over the number of languages (LEAST_DOCS at least), or all its different texts if it has fewer;
+    of each a stretch of size characters from a place that the hash gives. Copies of a text count once: the share of a
+    language's hashes that is taken follows its number of different texts, and copies are merged before they are shuffled.
     """
-    usable = tx.sample_by_hash(docs.select(key, text, lang), key, 11, n).where(~held_out(F.col(key)) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    room = F.greatest(F.length(text) - size, F.lit(0)) + 1
-    piece = F.substr(F.col(text), F.pmod(F.xxhash64(F.col(key), F.lit(12)), room).cast("int") + 1, F.lit(size))
-    rows = usable.select("turn", F.col(lang).alias("lang"), piece.alias("piece")).orderBy("turn").limit(n).collect()
-    return [(r["piece"], r["lang"]) for r in rows]
+    usable = docs.where(~held_out(F.col(key)) & F.col(text).isNotNull() & F.col(lang).isNotNull())
+    usable = usable.select(F.col(lang).alias("lang"), F.xxhash64(F.col(text), F.lit(11)).alias("turn"), F.col(text).alias("text"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("turn").alias("n")).collect()  # one row a language
+    if not counts:
+        return []
+    each = max(-(-n // len(counts)), LEAST_DOCS)
+    cuts = [(r["lang"], int(min(1.0, 1.5 * each / max(r["n"], 1)) * (1 << 30)) + 1) for r in counts]
+    cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    room = F.greatest(F.length("text") - size, F.lit(0)) + 1
+    piece = F.substr(F.col("text"), F.pmod(F.xxhash64("turn", F.lit(12)), room).cast("int") + 1, F.lit(size))
+    near = usable.join(cut, "lang").where(F.pmod("turn", F.lit(1 << 30)) < F.col("cut")).select("lang", "turn", piece.alias("piece"))
+    out, taken = [], dict.fromkeys((r["lang"] for r in counts), 0)
+    for r in sorted(near.groupBy("lang", "turn").agg(F.min("piece").alias("piece")).collect(), key=lambda r: (r["turn"], r["lang"])):
+        if taken[r["lang"]] < each:
+            taken[r["lang"]] += 1
+            out.append((r["piece"], r["lang"]))
+    return out
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_at_most: int = TRAIN_DOCS, steps: int = STEPS) -> Model:
-    """A model of the languages that occur among the labelled documents of the bounded sample."""
+    """A model of all languages that label documents which may be learned from."""
     rows = sample(docs, key, text, lang, docs_at_most)
     return Model(sorted({x for _, x in rows})).fit([t for t, _ in rows], [x for _, x in rows], steps)
 

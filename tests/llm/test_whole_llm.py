@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from scanloom.llm import lm, packing
+from scanloom.llm import langid, lm, packing
 
 
 def test_language_model_scores_are_sums_over_all_words(spark, monkeypatch):
@@ -55,3 +55,15 @@ def test_added_tokens_in_texts_keep_their_ids():
         for mine, text in zip(packing.WordIds.open(packing.default_tokenizer()).encode(texts), texts, strict=True):
             assert mine.tolist() == own.encode(text, add_special_tokens=False).ids
     assert 49407 in own.encode(texts[1], add_special_tokens=False).ids
+
+
+def test_every_language_is_learned(spark):
+    # 60,000 rows without a label, 20,000 of one language, 3,000 copies of one text in another and 12 more, 8 rows of a third
+    docs = spark.range(83_020).selectExpr(
+        "id AS doc_id", "CASE WHEN id < 60000 THEN NULL WHEN id < 80000 THEN 'aa' WHEN id < 83012 THEN 'bb' ELSE 'cc' END AS lang",
+        "CASE WHEN id BETWEEN 80000 AND 82999 THEN 'one copy' ELSE concat('text of ', id) END AS text")
+    found = langid.sample(docs, "doc_id", "text", "lang")
+    learnable = docs.where(~langid.held_out(docs["doc_id"])).where("lang in ('bb', 'cc')").select("lang", "text").distinct().collect()
+    assert sorted((t, x) for t, x in found if x != "aa") == sorted((r["text"], r["lang"]) for r in learnable)
+    assert sum(x == "aa" for _, x in found) == -(-langid.TRAIN_DOCS // 3) and len(set(found)) == len(found)
+    assert langid.train(docs, steps=1).labels == ["aa", "bb", "cc"]
