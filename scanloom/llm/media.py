@@ -88,9 +88,10 @@ _TAPER = np.hanning(FRAME).astype(np.float32)
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """frames x bands of log energies, and the energy of each frame in decibels."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    """frames x bands of log energies, and the energy of each frame in decibels. Zeros fill the last frame, so that every sample lies in one."""
+    short = FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP
+    if short:
+        x = np.concatenate([x, np.zeros(short, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     mel, energy = [], []
     for low in range(0, len(frames), 512):  # bounded, however long the file

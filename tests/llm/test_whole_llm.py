@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from scanloom.llm import langid, lm, packing
+from scanloom.llm import langid, lm, media, packing
 
 
 def test_language_model_scores_are_sums_over_all_words(spark, monkeypatch):
@@ -67,3 +67,12 @@ def test_every_language_is_learned(spark):
     assert sorted((t, x) for t, x in found if x != "aa") == sorted((r["text"], r["lang"]) for r in learnable)
     assert sum(x == "aa" for _, x in found) == -(-langid.TRAIN_DOCS // 3) and len(set(found)) == len(found)
     assert langid.train(docs, steps=1).labels == ["aa", "bb", "cc"]
+
+
+@pytest.mark.parametrize("size", [64, 512, 704, 768, 832])
+def test_features_take_every_sample(size):
+    plain = bytes(65 + k % 20 for k in range(size))
+    tail = plain[: size - 24] + bytes(90 - k % 7 for k in range(24))
+    assert not np.array_equal(media.features(plain)[0], media.features(tail)[0])
+    mel, _ = media.log_mel(np.ones(size, np.float32))
+    assert (len(mel) - 1) * media.HOP + media.FRAME >= size > (len(mel) - 2) * media.HOP + media.FRAME or len(mel) == 1
