@@ -6,6 +6,7 @@ cell's edge meet. Cells are as wide as the radius; dense clouds are thinned to v
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -233,21 +234,29 @@ def loop_candidates(nodes: DataFrame, seconds: float = 25.0, distance: float = 1
 
 
 def greedy_cap(pairs: DataFrame, cap: int, keys: Sequence[str] = ("session",)) -> DataFrame:
-    """Pairs in order of distance, then longest apart in time; one is accepted while both its nodes have fewer than cap.
+    """Pairs of two nodes in order of distance, then longest apart in time; one is accepted while both its nodes have fewer than cap.
 
-    The choice depends on those before it, so each session's candidates (bounded by its nodes' square) are walked in order.
+    By rounds: a pair is accepted once, at both nodes, no more pairs before it are open than the node has room for;
+    then nothing that is still open can stop it. Open pairs of full nodes are not accepted. The first open pair is
+    always decided. Each round ranks the pairs of one node, never those of a whole session.
     """
-    import pandas as pd
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_l=-rows["dt"]).sort_values(["distance", "_l", "i", "j"]).drop(columns="_l")
-        degree: dict[int, int] = {}
-        said = []
-        for i, j in zip(rows["i"], rows["j"], strict=True):
-            ok = degree.get(i, 0) < cap and degree.get(j, 0) < cap
-            if ok:
-                degree[i], degree[j] = degree.get(i, 0) + 1, degree.get(j, 0) + 1
-            said.append(ok)
-        return rows.assign(accepted=said)
-
-    return pairs.groupBy(*keys).applyInPandas(walk, T.StructType([*pairs.schema.fields, T.StructField("accepted", T.BooleanType())]))
+    spark = pairs.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    order = ["distance", "_l", "i", "j", "_id"]
+    left = pairs.withColumns({"_id": F.monotonically_increasing_id(), "_l": -F.col("dt"), "_ri": F.lit(cap), "_rj": F.lit(cap)}).checkpoint()
+    out = None
+    while not left.isEmpty():
+        ends = left.select(*keys, *order, F.explode(F.array(F.struct(F.col("i").alias("node"), F.col("_ri").alias("room")), F.struct(F.col("j").alias("node"), F.col("_rj").alias("room")))).alias("_e")).select(*keys, *order, "_e.*")
+        place = F.row_number().over(Window.partitionBy(*keys, "node").orderBy(*order))
+        free = ends.withColumn("_ok", place <= F.col("room")).groupBy("_id").agg(F.min("_ok").alias("_free"), F.min("room").alias("_room"))
+        now = left.join(free, "_id").withColumn("accepted", F.when(F.col("_room") <= 0, False).when(F.col("_free"), True)).checkpoint()
+        done = now.where("accepted is not null").select(*pairs.columns, "accepted")
+        out = done if out is None else out.unionByName(done)
+        taken = now.where("accepted").select(*keys, F.explode(F.array("i", "j")).alias("_n")).groupBy(*keys, "_n").agg(F.count("*").alias("_t"))
+        left = now.where("accepted is null").drop("accepted", "_free", "_room")
+        for end in "ij":
+            own = taken.select(*keys, F.col("_n").alias(end), "_t")
+            left = left.join(own, [*keys, end], "left").withColumn(f"_r{end}", (F.col(f"_r{end}") - F.coalesce("_t", F.lit(0))).cast("int")).drop("_t")
+        left = left.checkpoint()
+    return pairs.limit(0).withColumn("accepted", F.lit(False)) if out is None else out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -287,24 +287,45 @@ def fit_gains(obs: DataFrame, ridge: float = 0.03, rounds: int = 4, support: int
 
 
 def fit_chroma(obs: DataFrame, ridge: float = 0.1, passes: int = 3) -> DataFrame:
-    """Eight numbers of a chroma homography for each frame, towards the leave-one-out targets; frames are solved apart, in parallel."""
-    rows = loo_targets(obs).where("target_r is not null").select("frame_id", "weight", *"rgb", *[f"target_{c}" for c in "rgb"])
+    """Eight numbers of a chroma homography for each frame, towards the leave-one-out targets.
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        c, t = rows[list("rgb")].to_numpy(), rows[[f"target_{k}" for k in "rgb"]].to_numpy()
-        u, v = (c[:, k] / np.maximum(c.sum(1), 1e-6) for k in (0, 1))
-        p, q = (t[:, k] / np.maximum(t.sum(1), 1e-6) for k in (0, 1))
-        one, no = np.ones_like(u), np.zeros_like(u)
-        a = np.concatenate([np.stack([u, v, one, no, no, no, -u * p, -v * p], 1), np.stack([no, no, no, u, v, one, -u * q, -v * q], 1)])
-        y, start = np.concatenate([p, q]), np.array([1, 0, 0, 0, 1, 0, 0, 0.0])
-        w, h = np.tile(rows["weight"].to_numpy(), 2), start
-        for _ in range(passes):
-            miss = np.abs(a @ h - y)
-            own = w * np.minimum(1, 0.02 / np.maximum(miss, 1e-9))
-            h = np.linalg.solve((a * own[:, None]).T @ a + ridge * np.eye(8), (a * own[:, None]).T @ y + ridge * start)
-        return pd.DataFrame({"frame_id": [rows["frame_id"].iloc[0]], "n": [len(rows)], "h": [h.tolist()]})
-
-    return rows.groupBy("frame_id").applyInPandas(solve, "frame_id long, n long, h array<double>")
+    Each pass sums the weighted normal equations in Spark, one row a frame, about the numbers that the last one found.
+    """
+    rows = loo_targets(obs).where("target_r is not null")
+    chroma = lambda at, c: F.col(f"{at}{c}") / F.greatest(sum((F.col(f"{at}{k}") for k in "rgb"), F.lit(0.0)), F.lit(1e-6))
+    rows = rows.select("frame_id", "weight", chroma("", "r").alias("u"), chroma("", "g").alias("v"), chroma("target_", "r").alias("p"), chroma("target_", "g").alias("q"))
+    start = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0]
+    # Numbers with a value of both equations of an observation: columns 0 to 2 or 3 to 5, and 6 and 7.
+    sides = [(F.col(y), {low: F.col("u"), low + 1: F.col("v"), low + 2: F.lit(1.0), 6: -F.col("u") * F.col(y), 7: -F.col("v") * F.col(y)}) for y, low in (("p", 0), ("q", 3))]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for sums in batches:
+            a, y = np.zeros((len(sums), 8, 8)), np.zeros((len(sums), 8))
+            for i in range(8):
+                y[:, i] = sums[f"y{i}"]
+                for j in range(i, 8):
+                    if f"a{i}{j}" in sums:
+                        a[:, i, j] = a[:, j, i] = sums[f"a{i}{j}"]
+            h = np.linalg.solve(a + ridge * np.eye(8), (y + ridge * np.array(start))[:, :, None])[:, :, 0]
+            yield sums[["frame_id", "n"]].assign(h=list(h))
+
+    h = None
+    for _ in range(passes):
+        now = rows.withColumn("h", F.array(*map(F.lit, start)))
+        if h is not None:
+            now = rows.join(F.broadcast(h.select(F.col("frame_id").alias("_f"), "h")), F.col("frame_id").eqNullSafe(F.col("_f")))
+        terms: dict[str, Column] = {f"y{i}": F.lit(0.0) for i in range(8)}
+        for k, (y, a) in enumerate(sides):
+            miss = F.abs(sum((v * F.col("h")[i] for i, v in a.items()), F.lit(0.0)) - y)
+            now = now.withColumn(f"w{k}", F.col("weight") * F.least(F.lit(1.0), 0.02 / F.greatest(miss, F.lit(1e-9))))
+            for i, v in a.items():
+                terms[f"y{i}"] = terms[f"y{i}"] + F.col(f"w{k}") * v * y
+                for j, z in a.items():
+                    if i <= j:
+                        terms[f"a{i}{j}"] = terms.get(f"a{i}{j}", F.lit(0.0)) + F.col(f"w{k}") * v * z
+        sums = now.groupBy("frame_id").agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in terms.items()])
+        h = sums.mapInPandas(solve, "frame_id long, n long, h array<double>")
+    return h
 
 
 def fit_grids(obs: DataFrame, shape: tuple[int, int, int] = (3, 3, 4), smooth: float = 0.5) -> DataFrame:

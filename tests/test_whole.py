@@ -141,3 +141,43 @@ def test_views_of_all_points(spark, sf, cloud):
     assert {r["point_id"] for r in _rows(spark, sf, "a13_consensus_whole")} == set(score)
     row = _rows(spark, sf, "a14_coverage_whole")[0]
     assert row["n"] == len(ids) and row["coverage"] == pytest.approx(100 * len(score) / len(ids), abs=2e-6)
+
+
+def test_chroma_is_fitted_from_sums(spark, sf):
+    from scanloom.operators import vision
+
+    obs = adapters.table(spark, sf, "observations")
+    rows = vision.loo_targets(obs).where("target_r is not null").select("frame_id", "weight", *"rgb", *[f"target_{c}" for c in "rgb"]).toPandas()
+    fit = vision.fit_chroma(obs)
+    assert "FlatMapGroupsInPandas" not in fit._jdf.queryExecution().executedPlan().toString()
+    got = {r["frame_id"]: r for r in fit.collect()}
+    assert got.keys() == set(rows["frame_id"])
+    for frame, own in rows.groupby("frame_id"):
+        c, t = own[list("rgb")].to_numpy(float), own[[f"target_{k}" for k in "rgb"]].to_numpy(float)
+        (u, v), (p, q) = ((x / np.maximum(x.sum(1, keepdims=True), 1e-6)).T[:2] for x in (c, t))
+        one, no = np.ones_like(u), np.zeros_like(u)
+        a = np.concatenate([np.stack([u, v, one, no, no, no, -u * p, -v * p], 1), np.stack([no, no, no, u, v, one, -u * q, -v * q], 1)])
+        y, h, w = np.concatenate([p, q]), np.eye(3).ravel()[:8], np.tile(own["weight"].to_numpy(float), 2)
+        start = h
+        for _ in range(3):
+            k = (w * np.minimum(1, 0.02 / np.maximum(np.abs(a @ h - y), 1e-9)))[:, None]
+            h = np.linalg.solve((a * k).T @ a + 0.1 * np.eye(8), ((a * k).T @ y) + 0.1 * start)
+        assert got[frame]["n"] == len(own) and np.allclose(got[frame]["h"], h, atol=1e-6)
+
+
+def test_capped_pairs_are_those_of_the_ordered_walk(spark):
+    from scanloom.operators import spatial
+
+    r = np.random.default_rng(8)
+    rows = sorted({(int(s), int(min(a, b)), int(max(a, b))) for s, a, b in r.integers(0, (2, 25, 25), (300, 3)) if a != b})
+    rows = [(*x, float(r.integers(1, 12)), float(r.integers(25, 40))) for x in rows]
+    got = spatial.greedy_cap(spark.createDataFrame(rows, "session long, i long, j long, distance double, dt double"), 2)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    degree, want = {}, set()
+    for s, i, j, d, dt in sorted(rows, key=lambda x: (x[3], -x[4], x[1], x[2])):
+        if max(degree.get((s, i), 0), degree.get((s, j), 0)) < 2:
+            want.add((s, i, j))
+            for k in (i, j):
+                degree[s, k] = degree.get((s, k), 0) + 1
+    found = got.collect()
+    assert len(found) == len(rows) and {(x["session"], x["i"], x["j"]) for x in found if x["accepted"]} == want
