@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import text as tx
@@ -23,6 +23,10 @@ WINDOW = 50
 MINIMISER = 7
 #: Bytes of packed strings whose windows are sorted in memory at once; larger buckets are sorted by Spark.
 BUCKET_BYTES = 8 << 20
+#: Large buckets up to which their minimisers (8 bytes each) are broadcast; beyond, they are shuffled.
+PICKED = 500_000
+#: Bytes that a place of a string counts for in a batch.
+PLACE_BYTES = 64
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,17 +84,20 @@ def _minimisers(window: int, m: int):
 def _pack(window: int, m: int):
     """Packed strings of the super-k-mers whose minimiser is among those of their row that repeat, with their places.
 
-    Equal strings of a batch travel once, so copies of a text cost their places only.
+    Equal strings of a batch travel once, so copies of a text cost their places only; both count towards a batch's size.
+    A string is named by a hash of its words.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list[dict[str, int]]] = {}
+        held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         size = 0
 
         def batch_of() -> pa.RecordBatch:
-            rows = [hashlib.blake2b(p + b"%d %d" % (at[0]["id"], at[0]["start"]), digest_size=8).digest() for (_, p), at in held.items()]
-            names = [int.from_bytes(x, "little", signed=True) for x in rows]
-            return pa.RecordBatch.from_arrays([pa.array([v for v, _ in held], pa.int64()), pa.array(names, pa.int64()), pa.array([p for _, p in held], pa.binary()), pa.array(list(held.values()), _PLACES)], ["minimiser", "name", "packed", "places"])
+            names = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for _, p in held]
+            places = [[{"id": i, "start": s} for i, s in at] for at in held.values()]
+            least, most = ([f(at)[0] for at in held.values()] for f in (min, max))
+            columns = [pa.array([v for v, _ in held], pa.int64()), pa.array(names, pa.int64()), pa.array([p for _, p in held], pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64()), pa.array(places, _PLACES)]
+            return pa.RecordBatch.from_arrays(columns, ["minimiser", "name", "packed", "least", "most", "places"])
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -111,10 +118,11 @@ def _pack(window: int, m: int):
                     if (v, packed) not in held:
                         held[v, packed] = []
                         size += len(packed)
-                    held[v, packed].append({"id": int(keys[low + r]), "start": b - int(first[r])})
-                if size > BUCKET_BYTES:
-                    yield batch_of()
-                    held, size = {}, 0
+                    held[v, packed].append((int(keys[low + r]), b - int(first[r])))
+                    size += PLACE_BYTES
+                    if size > BUCKET_BYTES:
+                        yield batch_of()
+                        held, size = {}, 0
         if held:
             yield batch_of()
 
@@ -151,27 +159,20 @@ def first_seen(packed: list[bytes], least: list[int], window: int) -> list[np.nd
     return np.split(out, np.cumsum(np.bincount(string, minlength=len(packed)))[:-1])
 
 
-def _cuts(places: list[list[dict[str, int]]], first: list[np.ndarray]) -> pa.RecordBatch:
-    """(id, start, marks): the windows of each place, counted from its start, that an earlier text holds."""
-    out = []
-    for at, least in zip(places, first, strict=True):
-        for p in at:
-            marks = np.flatnonzero(least < p["id"])
-            if len(marks):
-                out.append((p["id"], p["start"], marks.astype(np.int32)))
-    columns = list(zip(*out, strict=True)) if out else [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["id", "start", "marks"])
-
-
 def _count(window: int):
-    """Buckets come whole and in order; some are sorted together, up to a size."""
+    """Strings of a bucket come together; some buckets are sorted at once, up to a size.
+
+    Yields, of each string some window of which an earlier text than its last holds, the least id that holds each window.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list[tuple[int, bytes, list]] = []
+        now: list[tuple[int, int, bytes, int, int]] = []
 
         def close() -> pa.RecordBatch:
-            first = first_seen([x[1] for x in now], [min(p["id"] for p in x[2]) for x in now], window)
-            return _cuts([x[2] for x in now], first)
+            seen = first_seen([x[2] for x in now], [x[3] for x in now], window)
+            out = [(x[0], x[1], y) for x, y in zip(now, seen, strict=True) if int(y.min()) < x[4]]
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["minimiser", "name", "seen"])
 
         size = 0
         for batch in batches:
@@ -180,16 +181,25 @@ def _count(window: int):
                     yield close()
                     now, size = [], 0
                 now.append(row)
-                size += len(row[1])
+                size += len(row[2])
         if now:
             yield close()
 
     return emit
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, start, marks): the windows of each place, counted from its start, that an earlier text holds."""
     for batch in batches:
-        yield _cuts(batch.column(0).to_pylist(), [np.array(x, np.int64) for x in batch.column(1).to_pylist()])
+        out = []
+        for at, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            least = np.array(seen, np.int64)
+            for p in at:
+                marks = np.flatnonzero(least < p["id"])
+                if len(marks):
+                    out.append((p["id"], p["start"], marks.astype(np.int32)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["id", "start", "marks"])
 
 
 def _windows(window: int):
@@ -228,30 +238,40 @@ def _keep(window: int):
     return emit
 
 
-_CUTS = "id long, start long, marks array<int>"
-
-
 def drop_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: n_words, n_removed, kept_sha256 and kept (the words that stay, joined by spaces).
 
     A word goes if a window that covers it also starts in a text with a smaller key; windows are judged on
     the input. A null text has no words; shorter texts than a window keep all. Rows with equal keys never
     remove from each other, a null key removes and loses nothing, and further columns are not read.
+
+    Whole texts are shuffled only where a bitmap of the ids says that they may share a minimiser, and again where they
+    may lose words. Equal strings are one row before buckets form, and places are joined back by the strings' names: so a
+    passage that a third of all texts share costs a row of each task, and its places are dealt by Spark's skew joins.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    pairs = rows.where("id is not null").mapInArrow(tx.lean(_minimisers(window, minimiser)), "minimiser long, id long")
-    pairs = pairs.repartition("minimiser")
+    pairs = tx.stored(rows.where("id is not null").mapInArrow(tx.lean(_minimisers(window, minimiser)), "minimiser long, id long"))
     repeat = pairs.groupBy("minimiser").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("minimiser")
-    wanted = pairs.join(repeat, "minimiser").groupBy("id").agg(F.collect_set("minimiser").alias("wanted"))
-    packed = rows.join(wanted.hint("shuffle_merge"), "id").select("id", "text", "wanted").mapInArrow(tx.lean(_pack(window, minimiser)), "minimiser long, name long, packed binary, places array<struct<id:long,start:long>>")
-    strings = tx.stored(packed).withColumn("least", F.array_min("places.id"))
-    sized = strings.withColumn("size", F.sum(F.length("packed")).over(Window.partitionBy("minimiser")))
-    usual = sized.where(F.col("size") <= bucket_bytes).select("minimiser", "packed", "places").mapInArrow(tx.lean(_count(window)), _CUTS)
-    large = sized.where(F.col("size") > bucket_bytes)
-    single = large.select("minimiser", "name", "packed", "least").mapInArrow(tx.lean(_windows(window)), "a long, b long, minimiser long, name long, place long, least long")
-    seen = single.groupBy("a", "b").agg(F.min("least").alias("seen"))
-    first = single.join(seen, ["a", "b"]).groupBy("minimiser", "name").agg(F.array_sort(F.collect_list(F.struct("place", "seen"))).alias("all"))
-    rest = large.join(first, ["minimiser", "name"]).select("places", F.col("all.seen").alias("first")).mapInArrow(tx.lean(_compare), _CUTS)
-    cuts = usual.unionByName(rest).groupBy("id").agg(F.collect_list(F.struct("start", "marks")).alias("cuts"))
-    out = rows.join(cuts.hint("shuffle_merge"), "id", "left").select("id", "text", "cuts").mapInArrow(tx.lean(_keep(window)), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out.withColumnRenamed("id", key)
+    wanted = tx.stored(pairs.join(repeat, "minimiser").groupBy("id").agg(F.collect_set("minimiser").alias("wanted")))
+    asked = tx.maybe_in(rows, wanted).where("maybe").select("id", "text")
+    packed = asked.join(wanted.hint("shuffle_merge"), "id").select("id", "text", "wanted").mapInArrow(tx.lean(_pack(window, minimiser)), "minimiser long, name long, packed binary, least long, most long, places array<struct<id:long,start:long>>")
+    stored = tx.stored(packed)
+
+    strings = stored.groupBy("minimiser", "name").agg(F.first("packed").alias("packed"), F.min("least").alias("least"), F.max("most").alias("most"))
+    sizes = stored.groupBy("minimiser", "name").agg(F.first(F.length("packed")).alias("size")).groupBy("minimiser").agg(F.sum("size").alias("size"))
+    large = tx.checkpoint(sizes.where(F.col("size") > bucket_bytes).select("minimiser"))  # a byte or less for each 1 MB of strings
+    large = F.broadcast(large) if large.count() <= PICKED else large.hint("shuffle_merge")
+    usual = strings.join(large, "minimiser", "left_anti").repartition("minimiser").sortWithinPartitions("minimiser")
+    seen = usual.select("minimiser", "name", "packed", "least", "most").mapInArrow(tx.lean(_count(window)), "minimiser long, name long, seen array<long>")
+    single = strings.join(large, "minimiser", "left_semi").select("minimiser", "name", "packed", "least").mapInArrow(tx.lean(_windows(window)), "a long, b long, minimiser long, name long, place long, least long")
+    held = single.groupBy("a", "b").agg(F.min("least").alias("seen"))
+    rest = single.join(held, ["a", "b"]).groupBy("minimiser", "name").agg(F.array_sort(F.collect_list(F.struct("place", "seen"))).alias("all"))
+    seen = seen.unionByName(rest.select("minimiser", "name", F.col("all.seen").alias("seen")))
+
+    found = stored.select("minimiser", "name", "places").join(seen, ["minimiser", "name"]).select("places", "seen")
+    cuts = tx.stored(found.mapInArrow(tx.lean(_cuts), "id long, start long, marks array<int>").groupBy("id").agg(F.collect_list(F.struct("start", "marks")).alias("cuts")))
+    asked = tx.maybe_in(rows, cuts)
+    none = asked.where("not maybe").select("id", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
+    some = asked.where("maybe").select("id", "text").join(cuts.hint("shuffle_merge"), "id", "left").select("id", "text", "cuts")
+    out = [x.mapInArrow(tx.lean(_keep(window)), "id long, n_words long, n_removed long, kept_sha256 string, kept string") for x in (none, some)]
+    return out[0].unionByName(out[1]).withColumnRenamed("id", key)

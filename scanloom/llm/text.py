@@ -186,6 +186,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter for each id, and of a whole filter at most (64 MB): more ids than fit only make it let more rows through.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 29
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows with a column maybe: true where the key is among the ids, and by chance for few others (a sixteenth at most
+    until the filter is full). What is broadcast is a bitmap of bounded size, not the ids."""
+    bits = min(MOST_FILTER_BITS, max(1 << 15, FILTER_BITS * ids.count()))
+    slot = (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).alias("slot")
+    bucket, at = F.expr("bitmap_bucket_number(slot)").alias("bucket"), F.expr("bitmap_bit_position(slot)")
+    maps = ids.select(slot).select(bucket, at.alias("at")).groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)").alias("held"))
+    asked = rows.select("*", slot).select("*", bucket).join(F.broadcast(maps), "bucket", "left")
+    held = F.conv(F.hex(F.expr("substring(held, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce((held / F.expr("shiftleft(1, cast(bitmap_bit_position(slot) % 8 as int))")).cast("int") % 2 == 1, F.lit(False))
+    return asked.select(*[F.col(f"`{c}`") for c in rows.columns], hit.alias("maybe"))
+
+
 def sample_by_hash(df: DataFrame, key: str, seed: int, n: int, spare: int = 1) -> DataFrame:
     """Rows whose key's hash (column turn) is small: about spare n of them in the mean, all if there are fewer.
 
