@@ -5,9 +5,10 @@ of the mantissa. Texts whose compressed registers agree in a band are candidates
 Jaccard estimate of the sketches sifts them, and exact set sizes confirm them. Equal sets are one class
 with one representative, so copies add no work beyond their sketch.
 
-Within a band's bucket, members are first compared with two pivots. Only where a bucket still spans
-several components are its other pairs compared, in blocks of bounded size: so a large group of copies
-costs as many comparisons as it has members, and no link between different texts is lost.
+Within a band's bucket, members are first compared with two pivots, so a large group of copies costs as
+many comparisons as it has members. Where a bucket still spans several components, its members of different
+components are compared by finer sketches at once, up to a size; larger buckets are first split by more
+selective bands of the finer sketch, and only a part that is too large even then is cut in blocks.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from scanloom.llm import text as tx
 
 #: Buckets of a sketch (a power of two), bands of it, bits of mantissa.
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
-#: Buckets of the finer sketch that texts get whose buckets still span several components after the pivots.
-FINE = 512
+#: Buckets of the finer sketch that texts get whose buckets still span several components after the pivots; its registers in
+#: a band where such a bucket is split: of pairs at a similarity of 0.8, one in 130,000 shares none of the 64 bands.
+FINE, FINE_WIDTH = 512, 8
 #: Defaults of stages on word shingles: words of a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 80
 #: Ids (8 bytes each) up to which texts are picked by a broadcast of the ids; beyond, by a shuffle.
 PICKED = 500_000
-#: Members of a block that is compared with another at once.
-BLOCK = 256
+#: Members of a bucket that are compared at once; a larger one is split by bands of the finer sketch, what is larger even then in blocks.
+BLOCK = 2048
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -85,25 +87,24 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, sh
     return sizes & (found >= share - 5 * np.sqrt(share * (1 - share) / used * left) - 2 / used)
 
 
-_probes = (tx.seeded(REGISTERS * 64, 21) % np.uint64(REGISTERS)).astype(np.int64).reshape(REGISTERS, 64)
-
-
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """rows x BANDS: hashes of the registers of each band; an empty register borrows another by a fixed search order."""
+def band_keys(sketches: np.ndarray, width: int = REGISTERS // BANDS) -> np.ndarray:
+    """rows x bands: hashes of the registers of each band; an empty register borrows another by a fixed search order."""
+    size = sketches.shape[1]
+    probes = (tx.seeded(size * 64, 21) % np.uint64(size)).astype(np.int64).reshape(size, 64)
     full = sketches.astype(np.uint64)
     row, bucket = np.nonzero(full == 0)
     for turn in range(64 * 16):
         if not len(row):
             break
-        probe = (_probes[bucket, turn % 64] + turn // 64 * 37) % REGISTERS
+        probe = (probes[bucket, turn % 64] + turn // 64 * 37) % size
         value = sketches[row, probe]
         hit = value > 0
         full[row[hit], bucket[hit]] = value[hit] + np.uint64(probe[hit] << 16)  # what is borrowed also tells from where
         row, bucket = row[~hit], bucket[~hit]
-    width = REGISTERS // BANDS
-    out = np.broadcast_to(tx.seeded(BANDS, 22), (len(full), BANDS)).copy()
+    bands = size // width
+    out = np.broadcast_to(tx.seeded(bands, 22), (len(full), bands)).copy()
     for k in range(width):
-        out = tx.mix(out ^ full[:, k::width]) * np.uint64(0x9E3779B97F4A7C15)
+        out = tx.mix(out ^ full[:, k * bands : (k + 1) * bands]) * np.uint64(0x9E3779B97F4A7C15)
     return tx.signed(out)
 
 
@@ -130,6 +131,15 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), BANDS)))], ["band", "rep"])
 
 
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys in place of the sketch that they come from."""
+    for batch in batches:
+        if len(batch):
+            keys = band_keys(_matrix(batch.column(3)))
+            coarse = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], coarse], ["rep", "n", "sketch", "coarse"])
+
+
 def _sift(share: float):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,23 +164,27 @@ def _verify(n: int, percent: int):
     return emit
 
 
-def _blocks(share: float):
-    """Plausible pairs of different components between the two blocks of each key; the rows of a key come together.
+def _compare(share: float):
+    """Plausible pairs of different components among the members of each group; the rows of a group come together.
 
-    A pair that meets in several bands is looked at in the first of them alone; where one of both is a pivot there,
-    it has been compared already.
+    A group is a bucket, or the part of one that shares a band of the finer sketch, or two blocks of such a part. A pair
+    that meets in several bands is looked at in the first of them alone, and of a group the members of its largest
+    component are not held against each other's.
     """
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        sketch = _matrix([r[7] for r in rows], FINE)
-        own, comp, rep, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
-        bands, band = band_keys(_matrix([r[8] for r in rows])), rows[0][0]
-        low, high = rows[0][1], rows[0][2]
-        for x in np.flatnonzero(own == low):
-            others = np.flatnonzero((own == high) & (comp != comp[x]) & ((rep > rep[x]) | (low != high)))
-            shared = (bands[others] == bands[x]).argmax(1)
-            others = others[bands[x][shared] == band]
-            for y in others[plausible(sketch[x], sketch[others], n[x], n[others], share)]:
+        band, part, low, high = rows[0][:4]
+        own, comp, rep, n = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
+        fine = _matrix([r[8] for r in rows], FINE)
+        coarse, parts = np.array([r[9] for r in rows]), band_keys(fine, FINE_WIDTH) if part is not None else None
+        _, label, size = np.unique(comp, return_inverse=True, return_counts=True)
+        asks = np.flatnonzero((own == low) & (label != size.argmax())) if low == high else np.flatnonzero(own == low)
+        for x in asks:
+            others = np.flatnonzero((own == high) & (comp != comp[x]))
+            others = others[coarse[x][(coarse[others] == coarse[x]).argmax(1)] == band]
+            if parts is not None:
+                others = others[parts[x][(parts[others] == parts[x]).argmax(1)] == part]
+            for y in others[plausible(fine[x], fine[others], n[x], n[others], share)]:
                 yield min(int(rep[x]), int(rep[y])), max(int(rep[x]), int(rep[y]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +196,7 @@ def _blocks(share: float):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now and row[:3] != now[-1][:3]:
+                if now and row[:4] != now[-1][:4]:
                     yield close()
                     now = []
                 now.append(row)
@@ -192,6 +206,16 @@ def _blocks(share: float):
     return emit
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of the finer sketch of each member of a bucket that is split."""
+    for batch in batches:
+        for low in range(0, len(batch), 512):
+            rows = batch.slice(low, 512)
+            keys = band_keys(_matrix(rows.column(3), FINE), FINE_WIDTH)
+            at = pa.array(np.repeat(np.arange(len(rows)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), pa.array(keys.ravel()), rows.column(1).take(at), rows.column(2).take(at)], ["band", "part", "rep", "comp"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every linked id: the least id that can be reached. Alternating large and small stars.
 
@@ -214,7 +238,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id (least key reachable over links) and kept (whether that is the key itself).
 
     Texts are linked if their sets of shingles of so many words (A-Z lower-cased, split at white space) have at
@@ -244,27 +268,36 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         side = lambda k: own.select(F.col("id").alias(k), F.col("text").alias(f"t_{k}"))
         return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(tx.lean(_verify(words, percent)), "a long, b long")
 
-    bands = reps.select("rep", "sketch").mapInArrow(tx.lean(_bands), "band long, rep long").repartition("band")
+    bands = reps.select("rep", "sketch").mapInArrow(tx.lean(_bands), "band long, rep long")
     buckets = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
-    crowded = tx.checkpoint(bands.join(buckets, "band"))
+    buckets = tx.checkpoint(buckets)
+    crowded = tx.maybe_in(bands, buckets, "band").where("maybe").select("band", "rep")
+    crowded = tx.checkpoint(crowded.join(buckets.hint("shuffle_merge"), "band"))
     pairs = crowded.where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     pairs = pairs.unionByName(crowded.where("rep < high").select(F.col("rep").alias("a"), F.col("high").alias("b"))).distinct()
     links = tx.checkpoint(confirmed(sifted(pairs)))
     found = components(links)
 
+    def still_open(members: DataFrame, *by: str) -> DataFrame:
+        """Groups whose members are of several components, with their size."""
+        return members.groupBy(*by).agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(*by, "size")
+
     apart = crowded.where("size > 3 and rep > low and rep < high").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     apart = apart.select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = apart.groupBy("band").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = tx.checkpoint(apart.join(open_.select("band", chunks.alias("chunks")), "band"))
+    placed = tx.checkpoint(apart.join(still_open(apart, "band"), "band"))
     fine = only(placed.select(F.col("rep").alias("id"))).mapInArrow(tx.lean(_sketch(words, FINE)), "id long, n long, fa long, fb long, sketch binary")
     fine = fine.dropDuplicates(["id"]).select(F.col("id").alias("rep"), "sketch")
-    fine = fine.join(reps.select("rep", "n", F.col("sketch").alias("coarse")), "rep")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "comp", "rep")
-    placed = placed.join(fine, "rep").select("band", "lo", "hi", "own", "comp", "rep", "n", "sketch", "coarse")
-    more = placed.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(tx.lean(_blocks(share)), "a long, b long")
+    fine = tx.checkpoint(fine.join(reps.select("rep", "n", F.col("sketch").alias("coarse")), "rep").select("rep", "n", "sketch", "coarse").mapInArrow(tx.lean(_coarse), "rep long, n long, sketch binary, coarse array<long>"))
+    whole = placed.where(F.col("size") <= block).select("band", F.lit(None).cast("long").alias("part"), "rep", "comp", "size")
+    split = placed.where(F.col("size") > block).join(fine, "rep").select("band", "rep", "comp", "sketch")
+    split = split.mapInArrow(tx.lean(_parts), "band long, part long, rep long, comp long")
+    split = split.join(still_open(split, "band", "part"), ["band", "part"]).select("band", "part", "rep", "comp", "size")
+    groups = whole.unionByName(split).withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
+    groups = groups.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    groups = groups.select("band", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "comp", "rep").join(fine, "rep")
+    groups = groups.select("band", "part", "lo", "hi", "own", "comp", "rep", "n", "sketch", "coarse").repartition("band", "part", "lo", "hi").sortWithinPartitions("band", "part", "lo", "hi")
+    more = groups.mapInArrow(tx.lean(_compare(share)), "a long, b long")
     more = tx.checkpoint(more.distinct())
     if not more.isEmpty():
         late = tx.checkpoint(confirmed(more))

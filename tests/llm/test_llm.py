@@ -42,6 +42,28 @@ def test_substrings(docs, bucket):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def _families(spark):
+    """Texts of one origin, so that a band's bucket holds many components with pairs on both sides of the threshold."""
+    r = random.Random(5)
+    origin = [f"w{k}" for k in range(120)]
+    texts = [" ".join(w if r.random() > rate else f"x{r.randrange(10**6)}" for w in origin) for rate in (0.005, 0.01, 0.02, 0.03) for _ in range(40)]
+    return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize("block", [24, 3])
+def test_open_buckets(spark, block):
+    docs = _families(spark)
+    sets = {k: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for k, w in ((k, t.split()) for k, t in _texts(docs).items())}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    root = {k: k for k in sets}
+    for _ in range(20):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 3 < len(set(root.values())) < len(sets) - 20
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 4, block=block).collect()}
+    assert found == root
+
+
 def test_near_duplicates(docs):
     sets = {}
     for k, t in _texts(docs).items():
