@@ -1,9 +1,9 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides.
 
-Word classes come from the counts of all words of the corpus: the most frequent words each have a class,
-all others share classes by their ending, where each has its share of the class's count. The network (position-wise
-embeddings, one hidden layer) is trained on all texts: groups of documents are fitted apart in numpy and averaged in
-Spark after each pass. A text's score is the sum of log p(word | both sides) over all its words.
+p(word | both sides) is a hierarchical softmax: the network (position-wise embeddings, one hidden layer) gives the
+probability of a branch and of a class in it; a class is a frequent word, or all other words of an ending, each of which has
+its share of the class by the counts of the whole corpus. The network is trained on all texts: groups of documents are
+fitted apart in numpy and averaged in Spark after each pass. A text's score is the sum of log p over all its words.
 """
 
 from __future__ import annotations
@@ -22,10 +22,13 @@ from scanloom.llm import text as tx
 #: Words with a class of their own, classes of all others; words on either side, hidden units.
 FREQUENT, ENDINGS = 191, 64
 REACH, HIDDEN = 2, 24
-#: The class of what lies beyond the text.
+#: The class of what lies beyond the text, which is never predicted; branches of the softmax, classes of each.
 EDGE = FREQUENT + ENDINGS
+BRANCHES, LEAVES = 16, (EDGE + 1) // 16
 #: Passes over all texts, positions of a step, words of a group that is fitted apart (in the mean).
-PASSES, BATCH, GROUP = 3, 512, 4_000_000
+PASSES, BATCH, GROUP = 2, 2048, 4_000_000
+#: Most frequent words whose counts travel with the network (16 bytes each); those of all others are joined in Spark.
+CARRIED = 1 << 17
 #: Weights that travel in one row.
 BLOCK = 1024
 #: Logarithms are summed in Spark as whole millionths, so that the order of the sum can't matter.
@@ -73,15 +76,17 @@ class Network:
         """mass: for each ending the words counted in it, plus one for each type and one for what was never seen."""
         rng = np.random.default_rng(seed)
         self.frequent = np.sort(frequent)
-        self.log_mass = np.zeros(EDGE + 1, np.float32)  # log p(word | class) without the word's own count, which is joined in Spark
+        self.log_mass = np.zeros(EDGE + 1)  # log p(word | class) without the word's own count
         self.log_mass[FREQUENT:EDGE] = -np.log(np.maximum(mass, 1))
         self.embed = rng.normal(0, 0.1, (2 * REACH, EDGE + 1, HIDDEN)).astype(np.float32)
-        self.hidden, self.out = np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, (HIDDEN, EDGE)).astype(np.float32)
-        self.bias = np.zeros(EDGE, np.float32)
+        self.hidden = np.zeros(HIDDEN, np.float32)
+        self.branch, self.branch_bias = rng.normal(0, 0.1, (HIDDEN, BRANCHES)).astype(np.float32), np.zeros(BRANCHES, np.float32)
+        self.leaf, self.leaf_bias = rng.normal(0, 0.1, (BRANCHES, HIDDEN, LEAVES)).astype(np.float32), np.zeros((BRANCHES, LEAVES), np.float32)
+        self.leaf_bias[-1, -1] = -1e4  # EDGE is never predicted
         self.seen = [np.full(w.shape, 1e-4, np.float32) for w in self.weights()]
 
     def weights(self) -> list[np.ndarray]:
-        return [self.embed, self.hidden, self.out, self.bias]
+        return [self.embed, self.hidden, self.branch, self.branch_bias, self.leaf, self.leaf_bias]
 
     def flat(self) -> np.ndarray:
         """All weights and their sums of squared slopes in one row."""
@@ -101,57 +106,96 @@ class Network:
 
     def contexts(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """words x 2 REACH: the classes on both sides, EDGE beyond the text."""
-        n, owner = len(classes), tx.owners(first)
+        owner, n = tx.owners(first), len(classes)
         out = np.full((n, 2 * REACH), EDGE, np.uint8)
-        for k, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-            at = np.arange(n) + d
-            inside = (at >= 0) & (at < n)
-            same = np.flatnonzero(inside)[owner[np.flatnonzero(inside)] == owner[at[inside]]]
-            out[same, k] = classes[same + d]
+        for d in range(1, REACH + 1):
+            if d < n:
+                same = owner[d:] == owner[:-d]
+                out[d:, REACH - d] = np.where(same, classes[:-d], EDGE)
+                out[:-d, REACH + d - 1] = np.where(same, classes[d:], EDGE)
         return out
 
-    def _forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.hidden + self.embed[0][context[:, 0]]
+    def _units(self, context: np.ndarray) -> np.ndarray:
+        x = np.take(self.embed[0], context[:, 0], axis=0)
         for k in range(1, 2 * REACH):
-            x += self.embed[k][context[:, k]]
-        h = np.tanh(x)
-        return h, np.clip(h @ self.out + self.bias, -60, 60)
+            x += np.take(self.embed[k], context[:, k], axis=0)
+        x += self.hidden
+        return np.tanh(x, out=x)
+
+    def _leaves(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Leaf logits of rows that come in the order of their branches."""
+        out = np.empty((len(h), LEAVES), np.float32)
+        for g in range(BRANCHES):
+            a, b = bounds[g], bounds[g + 1]
+            if a < b:
+                np.matmul(h[a:b], self.leaf[g], out=out[a:b])
+                out[a:b] += self.leaf_bias[g]
+        return out
 
     def fit(self, context: np.ndarray, target: np.ndarray, seed: int = 4, rate: float = 0.15) -> Network:
         """One pass of Adagrad on the conditional log-likelihood, on from the present weights."""
-        order = np.random.default_rng(seed).permutation(len(target))
-        unit = np.arange(HIDDEN)
+        order, place = np.random.default_rng(seed).permutation(len(target)), np.arange(2 * REACH, dtype=np.uint16)[:, None] * (EDGE + 1)
         for low in range(0, len(order), BATCH):
             at = order[low : low + BATCH]
-            near, own = context[at].astype(np.int64), target[at]
-            h, p = self._forward(near)
-            np.exp(p, out=p)
-            p /= -p.sum(1, keepdims=True)
-            p[np.arange(len(at)), own] += 1
-            into = (p @ self.out.T) * (1 - h * h)
-            slope = [np.bincount((near[:, k, None] * HIDDEN + unit).ravel(), into.ravel(), self.embed[k].size) for k in range(2 * REACH)]
-            slope = np.array(slope, np.float32).reshape(self.embed.shape)
-            for w, total, g in zip(self.weights(), self.seen, (slope, into.sum(0), h.T @ p, p.sum(0)), strict=True):
-                g = g / len(at)
+            at = at[np.argsort(target[at], kind="stable")]
+            near, own, rows = context[at], target[at], np.arange(len(at))
+            branch, leaf = own // LEAVES, own % LEAVES
+            bounds = np.searchsorted(branch, np.arange(BRANCHES + 1))
+            h = self._units(near)
+            p = _softmax(h @ self.branch + self.branch_bias)
+            q = _softmax(self._leaves(h, bounds))
+            p[rows, branch] -= 1
+            q[rows, leaf] -= 1
+            into = p @ self.branch.T
+            slopes = [np.zeros_like(w) for w in self.weights()]
+            for g in range(BRANCHES):
+                a, b = bounds[g], bounds[g + 1]
+                if a < b:
+                    into[a:b] += q[a:b] @ self.leaf[g].T
+                    slopes[4][g], slopes[5][g] = h[a:b].T @ q[a:b], q[a:b].sum(0)
+            into *= 1 - h * h
+            slopes[1], slopes[2], slopes[3] = into.sum(0), h.T @ p, p.sum(0)
+            key = (near.T + place).ravel()
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            slopes[0].reshape(-1, HIDDEN)[key[begins]] = np.add.reduceat(into[by % len(at)], begins, axis=0)
+            for w, total, g in zip(self.weights(), self.seen, slopes, strict=True):
+                g /= len(at)
                 total += g * g
-                w += rate * g / np.sqrt(total)
+                w -= rate * g / np.sqrt(total)
         return self
 
     def log_probs(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log p(class | both sides) of every word, and for classes by ending what log p(word | class) has besides the word's count."""
         context, out = self.contexts(classes, first), np.empty(len(classes))
-        for low in range(0, len(classes), 4096):
-            own = classes[low : low + 4096]
-            _, z = self._forward(context[low : low + 4096])
-            said = z[np.arange(len(own)), own]
-            np.exp(z, out=z)
-            out[low : low + 4096] = said - np.log(z.sum(1)) + self.log_mass[own]
+        for low in range(0, len(classes), 8192):
+            own = classes[low : low + 8192]
+            by = np.argsort(own, kind="stable")
+            own = own[by]
+            branch, rows = own // LEAVES, np.arange(len(own))
+            h = self._units(context[low : low + 8192][by])
+            z, y = h @ self.branch + self.branch_bias, self._leaves(h, np.searchsorted(branch, np.arange(BRANCHES + 1)))
+            out[low + by] = z[rows, branch] - _log_sum(z) + y[rows, own % LEAVES] - _log_sum(y) + self.log_mass[own]
         return out
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    return z
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    return np.log(np.exp(np.minimum(z, 60)) @ np.ones(z.shape[1], np.float32))
+
+
 class Trained(NamedTuple):
     network: Network
-    #: (word, micro): millionths of log(count + 1) of every word without a class of its own.
+    #: Words without a class of their own, in order, whose counts travel along, and millionths of log(count + 1) of each.
+    carried: np.ndarray
+    micro: np.ndarray
+    #: (word, micro) of all others.
     counts: DataFrame
 
 
@@ -168,7 +212,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", passes: int
     for r in rest.groupBy("ending").agg(F.sum(F.col("n") + 1).alias("n")).collect():  # one row an ending
         mass[r["ending"]] += r["n"]
     model = Network(np.array(frequent, np.int64), mass)
-    shares = rest.select("word", F.round(F.log(F.col("n") + 1) * MICRO).cast("long").alias("micro"))
+    rank = F.floor(F.log2("n") * 8)
+    room, cut = CARRIED, 0
+    for r in rest.groupBy(rank.alias("rank")).agg(F.count("*").alias("words")).orderBy(F.desc("rank")).collect():  # eight rows an octave
+        room -= r["words"]
+        if room < 0:
+            cut = r["rank"] + 1
+            break
+    micro = F.round(F.log(F.col("n") + 1) * MICRO).cast("long").alias("micro")
+    held = np.array(sorted(rest.where(rank >= cut).select("word", micro).collect()), np.int64).reshape(-1, 2)  # CARRIED rows at most
+    shares = rest.where(rank < cut).select("word", micro)
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +236,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", passes: int
     groups = tx.checkpoint(rows.repartition(-(-total // GROUP) or 1, "turn").sortWithinPartitions("turn", "classes"))
     for turn_ in range(passes if total else 0):
         model.put(_pass(groups, model, turn_))
-    return Trained(model, shares)
+    return Trained(model, held[:, 0].copy(), held[:, 1].copy(), shares)
 
 
 def _pass(groups: DataFrame, model: Network, turn: int) -> np.ndarray:
@@ -216,10 +269,10 @@ def score(docs: DataFrame, model: Trained, key: str = "doc_id", text: str = "tex
     """key, n_words, log_prob (the sum over all words) and mean_log_prob of every whole text.
 
     A word without a class of its own has the share (its count + 1) of its class's mass, one that the corpus doesn't
-    hold that of count 0; counts are joined in Spark. A null text or one without words has log_prob 0 and a null mean.
+    hold that of count 0; counts beyond the CARRIED most frequent words are joined in Spark. A null text or one without words has log_prob 0 and a null mean.
     Rows with equal texts score alike; an empty table gives an empty one; further columns are not read.
     """
-    network = model.network
+    network, carried, micro = model.network, model.carried, model.micro
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done = TaskContext.get().partitionId() << 40, 0
@@ -227,14 +280,21 @@ def score(docs: DataFrame, model: Trained, key: str = "doc_id", text: str = "tex
             for low, high, data, offsets in tx.slices(batch.column(1)):
                 word, ending, first = _words(data, offsets)
                 classes = network.classes(word, ending)
-                sums = np.concatenate([[0], np.cumsum(np.rint(network.log_probs(classes, first) * MICRO).astype(np.int64))])
+                value = np.rint(network.log_probs(classes, first) * MICRO).astype(np.int64)
+                other = classes >= FREQUENT
+                if len(carried):
+                    place = np.minimum(np.searchsorted(carried, word), len(carried) - 1)
+                    known = other & (carried[place] == word)
+                    value[known] += micro[place[known]]
+                    other &= ~known
+                sums = np.concatenate([[0], np.cumsum(value)])
                 n, total = np.diff(first), sums[first[1:]] - sums[first[:-1]]
                 rows = task + done + np.arange(high - low)
                 done += high - low
                 # One row a text under a name that no word has but by chance, and then adds nothing to it (times is 0).
                 names, none = tx.signed(tx.mix(rows.astype(np.uint64))), np.zeros(high - low, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(names), pa.array(none), batch.column(0)[low:high], pa.array(n), pa.array(total)], _PARTS)
-                rare = np.flatnonzero(classes >= FREQUENT)
+                rare = np.flatnonzero(other)
                 owner, said = tx.owners(first)[rare], word[rare]
                 order = np.lexsort((said, owner))
                 owner, said = owner[order], said[order]

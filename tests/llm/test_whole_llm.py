@@ -6,8 +6,10 @@ import pytest
 from scanloom.llm import langid, lm, media, packing
 
 
-def test_language_model_scores_are_sums_over_all_words(spark, monkeypatch):
+@pytest.mark.parametrize("carried", [0, 40, 1 << 17])
+def test_language_model_scores_are_sums_over_all_words(spark, monkeypatch, carried):
     monkeypatch.setattr(lm, "GROUP", 2000)
+    monkeypatch.setattr(lm, "CARRIED", carried)
     r = np.random.default_rng(0)
     texts = [" ".join(f"v{int(k)}e{int(k) % 7}" for k in np.minimum(r.zipf(1.3, 90), 3000)) for _ in range(700)]
     texts += [None, "", "never seen", texts[0]]
@@ -29,6 +31,29 @@ def test_language_model_scores_are_sums_over_all_words(spark, monkeypatch):
     assert rows[0]["log_prob"] == rows[703]["log_prob"] and rows[700]["mean_log_prob"] is None
 
 
+def test_language_model_probabilities():
+    r = np.random.default_rng(1)
+    net = lm.Network(np.arange(lm.FREQUENT), np.full(lm.ENDINGS, 50.0))
+    classes = r.integers(0, lm.EDGE, 3000)
+    first = np.array([0, 1, 900, 900, 3000])
+    before = net.log_probs(classes, first).mean()
+    net.fit(net.contexts(classes, first), classes)
+    assert net.log_probs(classes, first).mean() > before
+    context, at = net.contexts(classes, first), 1500
+    assert context[0].tolist() == [lm.EDGE] * 4 and context[1].tolist() == [lm.EDGE, lm.EDGE, classes[2], classes[3]]
+    logs = []
+    for c in range(lm.EDGE):  # every class in the place of one word: the probabilities of all add up to one
+        held = classes.copy()
+        held[at] = c
+        logs.append(net.log_probs(held[at - 2 : at + 3], np.array([0, 5]))[2] - net.log_mass[c])
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+    h = np.tanh(net.hidden + sum(net.embed[k][context[at, k]] for k in range(4)))
+    z, g = h @ net.branch + net.branch_bias, classes[at] // lm.LEAVES
+    y = h @ net.leaf[g] + net.leaf_bias[g]
+    want = z[g] - np.log(np.exp(z).sum()) + y[classes[at] % lm.LEAVES] - np.log(np.exp(y).sum())
+    assert logs[classes[at]] == pytest.approx(want, abs=1e-3)
+
+
 def test_pieces_go_to_the_shortest_pack():
     assert sorted(packing.shortest_pack_first({7: 1, 5: 1, 2: 1}, 10), key=str) == [(1, {5: 1, 2: 1}), (1, {7: 1})]
     r = np.random.default_rng(3)
