@@ -109,20 +109,30 @@ def sharpest_per_bucket(frames: DataFrame, fps: float, first: int, keys: Sequenc
 def motion_onset(trajectory: DataFrame, distance: float = 1.5, hold: float = 15.0, keys: Sequence[str] = ("session",)) -> DataFrame:
     """The first time at which the distance from the start is reached and, for the hold, not lost by more than a quarter.
 
-    A series that never qualifies starts at its first time (moving is false).
+    A series that never qualifies starts at its first time (moving is false). The next time that the distance is lost is
+    carried back over the rows, so that no frame spans the hold.
     """
-    w = _by(keys, "t")
-    far = F.sqrt(sum((F.pow(F.col(c) - F.first(c).over(w), 2) for c in ("px", "py", "pz")), F.lit(0.0)))
-    rows = trajectory.withColumn("_far", far)
-    least = F.expr(f"min(_far) OVER (PARTITION BY {', '.join(keys)} ORDER BY t RANGE BETWEEN CURRENT ROW AND {float(hold)}D FOLLOWING)")
-    hit = F.when((F.col("_far") >= distance) & (least >= 0.75 * distance), F.col("t"))
+    start = trajectory.groupBy(*keys).agg(F.min_by(F.struct("px", "py", "pz"), "t").alias("_start"))
+    rows = trajectory.join(_small(start), list(keys)) if keys else trajectory.crossJoin(F.broadcast(start))
+    rows = rows.withColumn("_far", F.sqrt(sum((F.pow(F.col(c) - F.col(f"_start.{c}"), 2) for c in ("px", "py", "pz")), F.lit(0.0))))
+    lost = F.col("_far") < 0.75 * distance
+    rows = rows.select(*keys, "t", "_far", F.col("t").alias("_t"), lost.cast("int").alias("_kind"), F.when(lost, F.col("t")).alias("_lost"))
+    rows = _beside(rows, keys, "_lost")
+    hit = F.when((F.col("_far") >= distance) & (F.col("_b").isNull() | (F.col("_b") > F.col("t") + hold)), F.col("t"))
     return rows.withColumn("_hit", hit).groupBy(*keys).agg(F.coalesce(F.min("_hit"), F.min("t")).alias("onset"), F.max("_hit").isNotNull().alias("moving"))
 
 
 def max_overlap(rows: DataFrame, span: float, keys: Sequence[str] = ("session",)) -> DataFrame:
-    """The most rows that any span of so many seconds holds."""
-    count = F.expr(f"count(1) OVER (PARTITION BY {', '.join(keys)} ORDER BY t RANGE BETWEEN CURRENT ROW AND {float(span)}D FOLLOWING)")
-    return rows.withColumn("_n", count).groupBy(*keys).agg(F.max("_n").alias("most"))
+    """The most rows that any span of so many seconds holds: each row comes, and goes a span later; the most that are there at once.
+
+    Each stretch of time has its sum and the highest point of its running sum; both combine over the stretches.
+    """
+    come = rows.select(*keys, F.col("t").alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_w"))
+    both = _stretched(come.unionByName(rows.select(*keys, (F.col("t") + span).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_w"))), keys)
+    run = F.sum("_w").over(_by([*keys, "_cut"], "_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    parts = both.withColumn("_run", run).groupBy(*keys, "_cut").agg(F.sum("_w").alias("_sum"), F.max("_run").alias("_high"))
+    base = F.coalesce(F.sum("_sum").over(_by(keys, "_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # STRETCHES rows of a series
+    return parts.withColumn("_high", F.col("_high") + base).groupBy(*keys).agg(F.max("_high").alias("most"))
 
 
 def cyclic_pairs(obs: DataFrame, group: str = "point_id", order: Sequence[str] = ("frame_id", "obs")) -> DataFrame:
@@ -208,22 +218,61 @@ def submaps(points: DataFrame, ranges: DataFrame, seconds: float = 10.0, least:
 
 # As-of and interval joins
 
+#: Stretches of time that a series is dealt into, and rows of their bounds up to which these are broadcast.
+STRETCHES, BROADCAST_ROWS = 64, 20_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if it is, else left to Catalyst."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _stretched(rows: DataFrame, keys: Sequence[str], time: str = "_t", parts: int = STRETCHES) -> DataFrame:
+    """The rows with _cut, the stretch of their series' time in which they lie. Stretches hold about as many rows each, equal times lie in one."""
+    shares = [k / parts for k in range(1, parts)]
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx(time, shares, 4 * parts).alias("_bounds"))
+    cut = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(time))), F.lit(0))
+    held = rows.join(_small(bounds), list(keys), "left") if keys else rows.crossJoin(F.broadcast(bounds))
+    return held.withColumn("_cut", cut).drop("_bounds")
+
+
+def _beside(rows: DataFrame, keys: Sequence[str], value: str, after_equal: bool = False) -> DataFrame:
+    """The rows with _a, the last value at or before, and _b, the first value after each row, by _t and then _kind.
+
+    Rows without a value have null there. With after_equal, _b may lie at the same time as the row. Series are cut into
+    stretches of time, which are sorted apart; what reaches over their edges is one row each. So neither a frame nor a
+    task grows with the length of a series.
+    """
+    cut = _stretched(rows, keys)
+    by = [*keys, "_cut"]
+    ahead = _by(by, "_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    back = _by(by, F.desc("_t"), F.asc("_kind") if after_equal else F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.withColumns({"_a": F.last(value, True).over(ahead), "_b": F.last(value, True).over(back)})
+    edges = cut.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(value, "_t").alias("last"), F.min_by(value, "_t").alias("first"))
+    edges = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_cut", "last", "first"))).alias("_edges"))  # STRETCHES of a series at most
+    carried = edges.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(STRETCHES))))
+    before = F.get(F.filter("_edges", lambda e: e["_cut"] < F.col("_cut")), F.size(F.filter("_edges", lambda e: e["_cut"] < F.col("_cut"))) - 1)
+    after = F.get(F.filter("_edges", lambda e: e["_cut"] > F.col("_cut")), F.lit(0))
+    carried = carried.select(*by, before["last"].alias("_before"), after["first"].alias("_after"))
+    out = found.join(carried, by, "left")
+    return out.withColumns({"_a": F.coalesce("_a", "_before"), "_b": F.coalesce("_b", "_after")}).drop("_before", "_after", "_cut")
+
+
+def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: Column, kinds: tuple[int, int] = (1, 0)) -> DataFrame:
+    """Rows of left (in _row) and values of right (in _value) in one table, by _t and _kind."""
+    row = F.struct(*left.columns)
+    both = left.select(*keys, F.col(left_time).alias("_t"), F.lit(kinds[0]).alias("_kind"), row.alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_value"))
+    return both.unionByName(right.select(*keys, F.col(right_time).alias("_t"), F.lit(kinds[1]).alias("_kind"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), value.alias("_value")))
+
 
 def asof_interpolate(left: DataFrame, poses: DataFrame, policy: str = "drop", keys: Sequence[str] = ("session",), time: str = "t") -> DataFrame:
     """Rows of left with px..qw interpolated between the poses before and after: linear, and on the shorter arc.
 
-    One union and one sort for each series: no range join. Policy: drop rows outside the poses' times, clip
+    One union, sorted by stretches of time: no range join. Policy: drop rows outside the poses' times, clip
     them to the ends (valid is false), or error on them.
     """
     names = ("px", "py", "pz", "qx", "qy", "qz", "qw")
-    pose = F.struct(F.col("t"), *names)
-    row = F.struct(*left.columns)
-    both = left.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_kind"), row.alias("_row"), F.lit(None).cast(poses.select(pose.alias("p")).schema["p"].dataType).alias("_pose"))
-    both = both.unionByName(poses.select(*keys, F.col("t").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType).alias("_row"), pose.alias("_pose")))
-    w = _by(keys, "_t", "_kind")
-    before = F.last("_pose", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_pose", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_a": before, "_b": after}).where("_kind = 1")
+    found = _beside(_merged(left, poses, keys, time, "t", F.struct(F.col("t"), *names)), keys, "_value").where("_kind = 1")
     inside = F.col("_a").isNotNull() & (F.col("_b").isNotNull() | (F.col("_a.t") == F.col("_t")))
     if policy == "error":
         found = found.withColumn("_a", F.when(inside, F.col("_a")).otherwise(F.raise_error(F.lit("a time lies outside the trajectory"))))
@@ -234,8 +283,8 @@ def asof_interpolate(left: DataFrame, poses: DataFrame, policy: str = "drop", ke
     found = found.select("_row.*", a.alias("_a"), b.alias("_b"), F.col("_t"), inside.alias("valid"))
     span = F.col("_b.t") - F.col("_a.t")
     u = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_t") - F.col("_a.t")) / span))).otherwise(0.0)
-    q = geo.slerp(geo.quaternion(*[F.col(f"_a.{c}") for c in names[3:]]), geo.quaternion(*[F.col(f"_b.{c}") for c in names[3:]]), F.col("_u"))
-    out = found.withColumn("_u", u).withColumn("_q", q)
+    turn = lambda p: F.struct(*[F.col(f"{p}.q{k}").cast("double").alias(k) for k in "xyzw"])
+    out = geo.with_slerp(found.withColumn("_u", u), turn("_a"), turn("_b"), F.col("_u"), "_q")
     own = {c: F.col(f"_a.{c}") + (F.col(f"_b.{c}") - F.col(f"_a.{c}")) * F.col("_u") for c in names[:3]}
     own |= {f"q{c}": F.col(f"_q.{c}") for c in "xyzw"}
     return out.withColumns(own).withColumn("alpha", F.col("_u")).drop("_a", "_b", "_t", "_u", "_q")
@@ -243,50 +292,34 @@ def asof_interpolate(left: DataFrame, poses: DataFrame, policy: str = "drop", ke
 
 def knot_weights(left: DataFrame, poses: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """The times of the knots around each row, and how far between them it lies."""
-    both = left.select(*keys, "t", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_k"), F.struct(*left.columns).alias("_row"))
-    shape = both.schema["_row"].dataType
-    both = both.unionByName(poses.select(*keys, "t", F.lit(0).alias("_kind"), F.col("t").alias("_k"), F.lit(None).cast(shape).alias("_row")))
-    low = F.last("_k", True).over(_by(keys, "t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("_k", True).over(_by(keys, "t", F.desc("_kind")).rowsBetween(1, Window.unboundedFollowing))
-    found = both.withColumn("knot0", low).withColumn("knot1", high).where("_kind = 1 and knot0 is not null and knot1 is not null")
-    return found.select("_row.*", "knot0", "knot1", ((F.col("t") - F.col("knot0")) / (F.col("knot1") - F.col("knot0"))).alias("alpha"))
+    found = _beside(_merged(left, poses, keys, "t", "t", F.col("t")), keys, "_value", after_equal=True).where("_kind = 1 and _a is not null and _b is not null")
+    return found.select("_row.*", F.col("_a").alias("knot0"), F.col("_b").alias("knot1"), ((F.col("_t") - F.col("_a")) / (F.col("_b") - F.col("_a"))).alias("alpha"))
 
 
 def nearest_frame(left: DataFrame, frames: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """The frame closest in time to each row; ties go to the earlier."""
-    frame = F.struct("t", "name")
-    row = F.struct(*left.columns)
-    both = left.select(*keys, "t", F.lit(1).alias("_kind"), row.alias("_row"), F.lit(None).cast(frames.select(frame.alias("f")).schema["f"].dataType).alias("_f"))
-    both = both.unionByName(frames.select(*keys, "t", F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), frame.alias("_f")))
-    before = F.last("_f", True).over(_by(keys, "t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_f", True).over(_by(keys, "t", "_kind").rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_a": before, "_b": after}).where("_kind = 1")
-    left_near = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("t") - F.col("_a.t") <= F.col("_b.t") - F.col("t")))
+    found = _beside(_merged(left, frames, keys, "t", "t", F.struct("t", "name")), keys, "_value").where("_kind = 1")
+    left_near = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_t") - F.col("_a.t") <= F.col("_b.t") - F.col("_t")))
     return found.withColumn("_f", F.when(left_near, F.col("_a")).otherwise(F.col("_b"))).select("_row.*", F.col("_f.name").alias("frame"), F.col("_f.t").alias("frame_t"))
 
 
 def points_with_scan(points: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
-    """The scan time of each point whose id lies in a half-open range of ids; one sort for each session, no range join."""
-    row = F.struct(*points.columns)
-    both = points.select(*keys, F.col("point_id").alias("_id"), F.lit(1).alias("_kind"), row.alias("_row"), F.lit(None).cast("struct<t:double,end:bigint>").alias("_scan"))
+    """The scan time of each point whose id lies in a half-open range of ids: ids are sorted by stretches, no range join."""
     scan = F.struct(F.col("t").cast("double").alias("t"), (F.col("point_start") + F.col("point_count")).cast("long").alias("end"))
-    held = ranges.where("point_count > 0")
-    both = both.unionByName(held.select(*keys, F.col("point_start").alias("_id"), F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), scan.alias("_scan")))
-    found = both.withColumn("_s", F.last("_scan", True).over(_by(keys, "_id", "_kind").rowsBetween(Window.unboundedPreceding, 0)))
-    return found.where("_kind = 1 and _id < _s.end").select("_row.*", "_s.t")
+    found = _beside(_merged(points, ranges.where("point_count > 0"), keys, "point_id", "point_start", scan), keys, "_value")
+    return found.where("_kind = 1 and _t < _a.end").select("_row.*", "_a.t")
 
 
 def sync_scan_imu(scans: DataFrame, imu: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """Samples with the scan in whose interval (end of the one before, own end] they lie, for scans that later samples complete.
 
-    Scans have t (start) and end; an interval join by one sort for each session.
+    Scans have t (start) and end; an interval join by stretches of time.
     """
-    both = scans.select(*keys, F.col("end").alias("_t"), F.lit(1).alias("_kind"), F.struct("scan_id", "end").alias("_scan"), F.lit(None).cast(imu.select(F.struct(*imu.columns).alias("r")).schema["r"].dataType).alias("_row"))
-    both = both.unionByName(imu.select(*keys, F.col("t").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_scan"].dataType).alias("_scan"), F.struct(*imu.columns).alias("_row")))
-    last = F.max("_row.t").over(Window.partitionBy(*keys))
-    scan = F.first("_scan", True).over(_by(keys, "_t", "_kind").rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_s": scan, "_last": last}).where("_kind = 0 and _s is not null and _last >= _s.end")
-    return found.select("_row.*", F.col("_s.scan_id").alias("scan_id"), F.col("_s.end").alias("scan_end"))
+    last = imu.groupBy(*keys).agg(F.max("t").alias("_last"))
+    both = _merged(imu, scans, keys, "t", "end", F.struct("scan_id", "end"), kinds=(0, 1))
+    found = _beside(both, keys, "_value").where("_kind = 0 and _b is not null")
+    found = (found.join(_small(last), list(keys)) if keys else found.crossJoin(F.broadcast(last))).where("_last >= _b.end")
+    return found.select("_row.*", F.col("_b.scan_id").alias("scan_id"), F.col("_b.end").alias("scan_end"))
 
 
 def resample(rows: DataFrame, rate: float, value: str = "w", keys: Sequence[str] = ("session",)) -> DataFrame:

@@ -81,12 +81,11 @@ add("a15_top_surface", lambda t: op.top_surface(t("points"), 1.5), """
     WITH e AS (SELECT min(x) AS x0, max(y) AS y1 FROM points)
     SELECT "row", col, top.z AS z, top.r AS r, top.g AS g, top.b AS b FROM (SELECT CAST(floor((y1 - y) / 1.5) AS BIGINT) AS "row", CAST(floor((x - x0) / 1.5) AS BIGINT) AS col,
       max(struct_pack(z := z, point_id := point_id, r := r, g := g, b := b)) AS top FROM points, e GROUP BY 1, 2)""", "points")
-_CELLS = """c AS (SELECT CAST(floor(y) AS BIGINT) AS "row", CAST(floor(x) AS BIGINT) AS col, max(z) AS z FROM points WHERE point_id % 19 = 0 GROUP BY 1, 2)"""
-add("a16_fill_holes", lambda t: op.fill_holes(t("points").where("point_id % 19 = 0").groupBy(F.floor("y").cast("long").alias("row"), F.floor("x").cast("long").alias("col")).agg(F.max("z").alias("z")), 2),
+_CELLS = """c AS (SELECT CAST(floor(y) AS BIGINT) AS "row", CAST(floor(x) AS BIGINT) AS col, max(z) AS z FROM points GROUP BY 1, 2)"""
+add("a16_fill_holes", lambda t: op.fill_holes(t("points").groupBy(F.floor("y").cast("long").alias("row"), F.floor("x").cast("long").alias("col")).agg(F.max("z").alias("z")), 2),
     f"""WITH {_CELLS}, d AS (SELECT i, j FROM range(-2, 3) AS a(i), range(-2, 3) AS b(j) WHERE i * i + j * j BETWEEN 1 AND 4),
     n AS (SELECT "row" + i AS "row", col + j AS col, arg_min(z, struct_pack(d := i * i + j * j, "row" := "row", col := col)) AS z FROM c, d GROUP BY "row" + i, col + j)
     SELECT * FROM c UNION ALL SELECT n."row", n.col, n.z FROM n LEFT JOIN c ON n."row" = c."row" AND n.col = c.col WHERE c.z IS NULL""", "points")
-add("a16_fill_holes_whole", lambda t: op.fill_holes(t("points").groupBy(F.floor("y").cast("long").alias("row"), F.floor("x").cast("long").alias("col")).agg(F.max("z").alias("z")), 2))
 add("a17_height_ramp", lambda t: rounded(op.height_ramp(t("points")).select("point_id", "red", "green", "blue"), "red", "green", "blue"),
     f"""WITH e AS (SELECT min(z) AS lo, max(z) AS hi FROM points), u AS (SELECT point_id, (z - lo) / (hi - lo) AS u FROM points, e)
     SELECT point_id, {r('greatest(0.0, 2 * u - 1)', 'red')}, {r('1 - abs(2 * u - 1)', 'green')}, {r('greatest(0.0, 1 - 2 * u)', 'blue')} FROM u""", "points")

@@ -57,13 +57,13 @@ add("f15_border_radius", lambda t: rounded(op.border_radius(t("nation").select(F
 # Projection and consensus
 
 
-def _projected(t, some="point_id % 3 = 0"):
-    return op.project_views(t("points").where(some), t("views").withColumn("cy", F.col("cy") * 3), lambda x, y, z: geo.project_equirect(x, y, z, 2048.0, 1024.0), 6.0, 2048.0, 1024.0)
+def _projected(t):
+    return op.project_views(t("points"), t("views").withColumn("cy", F.col("cy") * 3), lambda x, y, z: geo.project_equirect(x, y, z, 2048.0, 1024.0), 6.0, 2048.0, 1024.0)
 
 
 _PROJ = """pj AS (SELECT image_id, name, point_id, (atan2(r_, f_) / (2 * pi()) + 0.5) * 2048 AS u, (asin(d_ / sqrt(r_ * r_ + d_ * d_ + f_ * f_)) / pi() + 0.5) * 1024 AS v, sqrt(r_ * r_ + d_ * d_ + f_ * f_) AS depth, r, g, b FROM (
       SELECT v.image_id, v.name, p.point_id, cos(yaw) * (x - cx) + sin(yaw) * (y - cy * 3) AS r_, -(z - cz) AS d_, -sin(yaw) * (x - cx) + cos(yaw) * (y - cy * 3) AS f_, r, g, b
-      FROM views AS v JOIN points AS p ON p.point_id % 3 = 0 AND p.x BETWEEN cx - 6 AND cx + 6 AND p.y BETWEEN cy * 3 - 6 AND cy * 3 + 6 AND (x - cx) ** 2 + (y - cy * 3) ** 2 + (z - cz) ** 2 <= 36) WHERE f_ > 0.05),
+      FROM views AS v JOIN points AS p ON p.x BETWEEN cx - 6 AND cx + 6 AND p.y BETWEEN cy * 3 - 6 AND cy * 3 + 6 AND (x - cx) ** 2 + (y - cy * 3) ** 2 + (z - cz) ** 2 <= 36) WHERE f_ > 0.05),
     pv AS (SELECT * FROM pj WHERE u BETWEEN 0 AND 2047 AND v BETWEEN 0 AND 1023)"""
 _VIS = """zc AS (SELECT *, CAST(floor(u * 32 / 2048) AS BIGINT) AS c, CAST(floor(v * 16 / 1024) AS BIGINT) AS rw FROM pv), zl AS (SELECT image_id, c, rw, min(CAST(floor(depth * 1000) AS BIGINT)) AS mm FROM zc GROUP BY 1, 2, 3),
     zn AS (SELECT image_id, c + i AS c, rw + j AS rw, min(mm) AS nr FROM zl, range(-1, 2) AS a(i), range(-1, 2) AS b(j) GROUP BY image_id, c + i, rw + j), vs AS (SELECT zc.* FROM zc JOIN zn USING (image_id, c, rw) WHERE depth <= nr / 1000.0E0 + greatest(0.03, 0.01 * nr / 1000.0E0))"""
@@ -74,9 +74,9 @@ _TOP = "tp AS (SELECT * FROM (SELECT *, 1 / pow(greatest(depth, 0.5), 1.5) AS sc
 add("o3_top3", lambda t: op.top3(_SCORE(_projected(t))).select("point_id", "image_id", F.col("k").cast("long").alias("k")), f"WITH {_PROJ}, {_TOP} SELECT point_id, image_id, k FROM tp", "points", "views")
 
 
-def _tinted(t, some="point_id % 3 = 0"):
+def _tinted(t):
     tint = {c: (F.col(c) + F.col("image_id") * k % 90) % 256 for c, k in (("r", 7), ("g", 11), ("b", 5))}
-    return op.top3(_SCORE(_projected(t, some)).withColumns(tint))
+    return op.top3(_SCORE(_projected(t)).withColumns(tint))
 
 
 _MID = lambda c: f"list_sort([va.{c}, vb.{c}, vc.{c}])[2]"
@@ -88,15 +88,8 @@ add("a13_consensus", lambda t: rounded(op.consensus(_tinted(t)), *"rgb", digits=
     m AS (SELECT *, struct_pack(r := {_MID('r')}, g := {_MID('g')}, b := {_MID('b')}) AS m, {_GAP('va', 'vb')} AS d2 FROM w),
     i AS (SELECT *, CASE WHEN {_GAP('va', 'm')} < 45 THEN 1 ELSE 0 END AS ia, CASE WHEN {_GAP('vb', 'm')} < 45 THEN 1 ELSE 0 END AS ib, CASE WHEN {_GAP('vc', 'm')} < 45 THEN 1 ELSE 0 END AS ic FROM m)
     SELECT point_id, n, {r(_CON('r'), 'r', 4)}, {r(_CON('g'), 'g', 4)}, {r(_CON('b'), 'b', 4)} FROM i""", "points", "views")
-add("a14_coverage", lambda t: rounded(op.coverage(t("points").where("point_id % 3 = 0"), op.top3(_SCORE(_projected(t)))), "coverage"),
-    f"WITH {_PROJ} SELECT count(*) AS n, {r('100 * avg(CASE WHEN s.point_id IS NULL THEN 0.0 ELSE 1 END)', 'coverage')} FROM points AS p LEFT JOIN (SELECT DISTINCT point_id FROM pv) AS s ON s.point_id = p.point_id WHERE p.point_id % 3 = 0", "points", "views")
-
-# As above, over every point instead of the subset that the SQL names
-add("j8_project_views_whole", lambda t: rounded(_projected(t, "true").select("image_id", "point_id", "u", "v", "depth"), "u", "v", "depth", digits=4))
-add("a12_visible_whole", lambda t: op.visible(_projected(t, "true"), 2048, 1024, 32, 16).select("image_id", "point_id"))
-add("o3_top3_whole", lambda t: op.top3(_SCORE(_projected(t, "true"))).select("point_id", "image_id", F.col("k").cast("long").alias("k")))
-add("a13_consensus_whole", lambda t: rounded(op.consensus(_tinted(t, "true")), *"rgb", digits=4))
-add("a14_coverage_whole", lambda t: rounded(op.coverage(t("points"), op.top3(_SCORE(_projected(t, "true")))), "coverage"))
+add("a14_coverage", lambda t: rounded(op.coverage(t("points"), op.top3(_SCORE(_projected(t)))), "coverage"),
+    f"WITH {_PROJ} SELECT count(*) AS n, {r('100 * avg(CASE WHEN s.point_id IS NULL THEN 0.0 ELSE 1 END)', 'coverage')} FROM points AS p LEFT JOIN (SELECT DISTINCT point_id FROM pv) AS s ON s.point_id = p.point_id", "points", "views")
 
 # Photometry
 add("a39_loo_targets", lambda t: rounded(op.loo_targets(t("observations")).select("obs", "point_id", "target_r", "target_g", "target_b"), "target_r", "target_g", "target_b"),
@@ -104,8 +97,8 @@ add("a39_loo_targets", lambda t: rounded(op.loo_targets(t("observations")).selec
 add("a43_split_points", lambda t: op.split_points(t("observations")).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("point_id").alias("points")),
     "WITH s AS (SELECT point_id, ((point_id * 48271 + 17) % 2147483647 * 69621) % 2147483647 % 5 AS k FROM observations) SELECT CASE WHEN k < 3 THEN 'train' WHEN k = 3 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT point_id) AS points FROM s GROUP BY 1", "observations")
 add("a37_fit_gains", lambda t: rounded(op.fit_gains(t("observations")), "gain", digits=5))
-add("a40_fit_chroma", lambda t: op.fit_chroma(t("observations")).select("frame_id", "n", F.size("h").cast("long").alias("size")))
-add("a41_fit_grids", lambda t: op.fit_grids(t("observations")).select("lens_id", F.round(F.aggregate("grid", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("grid").cast("long").alias("size")))
+add("a40_fit_chroma", lambda t: op.fit_chroma(t("observations")).select("frame_id", "n", F.posexplode("h").alias("term", "value")).withColumn("value", F.round("value", 5)))
+add("a41_fit_grids", lambda t: op.fit_grids(t("observations")).select("lens_id", F.posexplode("grid").alias("cell", "value")).withColumn("value", F.round("value", 5)))
 add("a42_pair_metrics", lambda t: rounded(op.pair_metrics(t("observations"), {"off": lambda o: o, "half": lambda o: o.withColumns({c: F.col(c) * 0.5 for c in "rgb"})}), "rmse", "delta_e", "p90", digits=5))
 add("a36_sample_tracks", lambda t: op.sample_tracks(t("tracks"), t("points").select((F.floor(F.col("point_id") / 640000) % 200000).alias("point_id"), "x", "y", "z"), 200, 4).select("point_id", "image_id", F.col("idx").cast("long").alias("idx")))
 
@@ -128,8 +121,8 @@ _SHIFTED = lambda t: _hourly(t, "view", 5).withColumn("value", F.col("value") +
 add("j18_lag_join", lambda t: rounded(reg.lag_join(_hourly(t, "view"), _SHIFTED(t), range(-12, 13)).groupBy("lag").agg(F.corr("va", "vb").alias("r"), F.count("*").alias("n")).withColumn("lag", F.col("lag").cast("long")), "r"), f"WITH {_H} SELECT lag, n, {r('r', 'r')} FROM lg")
 add("a26_lag_correlation", lambda t: rounded(reg.lag_correlation(_hourly(t, "view"), _SHIFTED(t), range(-12, 13)).select("session", F.col("best_lag").cast("long").alias("best_lag"), "overlap", "score", "runner_up", "reason", "accepted"), "score", "runner_up"),
     f"""WITH {_H}, ok AS (SELECT * FROM lg WHERE n >= 20 AND n >= 0.5 * (SELECT count(*) FROM ha)), b AS (SELECT arg_max(lag, r) AS best, max(r) AS score, arg_max(n, r) AS n FROM ok) SELECT CAST(0 AS BIGINT) AS session, best AS best_lag, any_value(b.n) AS overlap, {r('any_value(score)', 'score')}, {r('max(r) FILTER (abs(lag - best) >= 2)', 'runner_up')}, 'ok' AS reason, TRUE AS accepted FROM ok, b GROUP BY best""")
-add("a27_search_offset", lambda t: reg.search_offset(t("trajectory").where("session < 3").select("session", (F.col("t") - 600).alias("t"), (F.col("px") * 2).alias("cx"), (F.col("py") * 2).alias("cy"), (F.col("pz") * 2).alias("cz")), t("trajectory"), [0.0, 300.0, 600.0, 900.0]).where("rank = 1").select("session", "dt", F.round("s", 4).alias("s")),
-    "SELECT session, 600.0::DOUBLE AS dt, 0.5::DOUBLE AS s FROM (SELECT DISTINCT session FROM trajectory WHERE session < 3)", "trajectory")
+add("a27_search_offset", lambda t: reg.search_offset(t("trajectory").select("session", (F.col("t") - 600).alias("t"), (F.col("px") * 2).alias("cx"), (F.col("py") * 2).alias("cy"), (F.col("pz") * 2).alias("cz")), t("trajectory"), [0.0, 300.0, 600.0, 900.0]).where("rank = 1").select("session", "dt", F.round("s", 4).alias("s")),
+    "SELECT session, 600.0::DOUBLE AS dt, 0.5::DOUBLE AS s FROM (SELECT DISTINCT session FROM trajectory)", "trajectory")
 add("a46_blocked_cv", lambda t: rounded(reg.blocked_cv(t("trajectory").select("session", "t", F.col("px").alias("sx"), F.col("py").alias("sy"), F.col("pz").alias("sz"), (2 * F.col("px") + 1).alias("tx"), (2 * F.col("py")).alias("ty"), (2 * F.col("pz") + F.col("px") % 3 / 10).alias("tz"), F.col("t").alias("id"))).select("session", "fold", "n", "rmse"), "rmse", digits=4))
 _EDGE = "ed AS (SELECT session, node AS i, lead(node) OVER (PARTITION BY session ORDER BY node) AS j FROM nodes)"
 

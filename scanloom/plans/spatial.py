@@ -64,30 +64,31 @@ add("a21_fit_yaw_shift", lambda t: rounded(op_gps.fit_yaw_shift(_utm(t), t("traj
 # Neighbours
 
 
-def _some(t, k, at=0):
-    return t("points").where(f"point_id % {k} = {at}").select("point_id", "x", "y", "z")
-
-
 def _whole(t, name="points"):
     return t(name).select("point_id", "x", "y", "z")
 
 
-def _near(a, b, radius):
-    """Pairs within a radius in the oracle, by cells."""
-    return f"""nb AS (SELECT a.point_id AS point_id, b.point_id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM {a} AS a, {b} AS b
-      WHERE b.x BETWEEN a.x - {radius} AND a.x + {radius} AND b.y BETWEEN a.y - {radius} AND a.y + {radius} AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= {radius * radius!r})"""
-
-
-add("j5_radius_join", lambda t: op.radius_join(_some(t, 5), t("points").select("point_id", "x", "y", "z"), 1.5).groupBy("point_id").agg(F.count("*").alias("n"), F.min("point_id_b").alias("first"), F.round(F.sum("d") + 1.3e-8, 5).alias("total")),
-    f"WITH q AS (SELECT * FROM points WHERE point_id % 5 = 0), {_near('q', 'points', 1.5)} SELECT point_id, count(*) AS n, min(other) AS first, round(sum(d) + 1.3e-8, 5) AS total FROM nb GROUP BY 1", "points")
-add("j6_nn_join", lambda t: rounded(op.nn_join(_some(t, 5), _some(t, 3, 1), 2.0).select("point_id", "point_id_b", "d"), "d"),
-    f"WITH q AS (SELECT * FROM points WHERE point_id % 5 = 0), o AS (SELECT * FROM points WHERE point_id % 3 = 1), {_near('q', 'o', 2.0)} SELECT point_id, arg_min(other, row(d, other)) AS point_id_b, {r('min(d)', 'd')} FROM nb GROUP BY 1", "points")
-add("j7_knn_join", lambda t: rounded(op.knn_join(_some(t, 8), 5, 2.0).select("point_id", "point_id_b", "d", F.col("rank").cast("long").alias("rank")), "d"),
-    f"WITH q AS (SELECT * FROM points WHERE point_id % 8 = 0), {_near('q', 'q', 16.0)}, k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS rank FROM nb WHERE other <> point_id) SELECT point_id, other AS point_id_b, {r('d', 'd')}, rank FROM k WHERE rank <= 5", "points")
-add("a25_overlap_metrics", lambda t: rounded(op.symmetric_overlap(_some(t, 5), _some(t, 3, 1), 1.0), "overlap", "rms", "capped_rms"),
-    f"""WITH q AS (SELECT * FROM points WHERE point_id % 5 = 0), o AS (SELECT * FROM points WHERE point_id % 3 = 1), {_near('q', 'o', 1.0)}, f AS (SELECT point_id, min(d) AS d FROM nb GROUP BY 1), b AS (SELECT other AS point_id, min(d) AS d FROM nb GROUP BY 1)
-    SELECT 'forward' AS direction, count(*) AS n, {r('count(d) / count(*)::DOUBLE', 'overlap')}, {r('sqrt(avg(d * d))', 'rms')}, {r('sqrt(avg(coalesce(d, 1) ** 2))', 'capped_rms')} FROM q LEFT JOIN f USING (point_id)
-    UNION ALL SELECT 'backward', count(*), {r('count(d) / count(*)::DOUBLE', 'overlap')}, {r('sqrt(avg(d * d))', 'rms')}, {r('sqrt(avg(coalesce(d, 1) ** 2))', 'capped_rms')} FROM o LEFT JOIN b USING (point_id)""", "points")
+def _near(name, a, b, radius):
+    """Pairs within a radius in the oracle, by cells of that size."""
+    cell = lambda c: f"CAST(floor({c} / {radius}) AS BIGINT)"
+    return f"""{name} AS (SELECT a.point_id AS point_id, b.point_id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d
+      FROM (SELECT *, {cell('x')} + i AS cx, {cell('y')} + j AS cy, {cell('z')} + k AS cz FROM {a}, range(-1, 2) AS s(i), range(-1, 2) AS t(j), range(-1, 2) AS u(k)) AS a
+      JOIN (SELECT *, {cell('x')} AS cx, {cell('y')} AS cy, {cell('z')} AS cz FROM {b}) AS b USING (cx, cy, cz)
+      WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= {radius * radius!r})"""
+
+
+add("j5_radius_join", lambda t: op.radius_join(_whole(t), _whole(t), 1.5).groupBy("point_id").agg(F.count("*").alias("n"), F.min("point_id_b").alias("first"), F.round(F.sum("d") + 1.3e-8, 5).alias("total")),
+    f"WITH {_near('nb', 'points', 'points', 1.5)} SELECT point_id, count(*) AS n, min(other) AS first, round(sum(d) + 1.3e-8, 5) AS total FROM nb GROUP BY 1", "points")
+add("j6_nn_join", lambda t: rounded(op.nn_join(_whole(t), _whole(t, "points_b"), 2.0).select("point_id", "point_id_b", "d"), "d"),
+    f"WITH {_near('nb', 'points', 'points_b', 2.0)} SELECT point_id, arg_min(other, row(d, other)) AS point_id_b, {r('min(d)', 'd')} FROM nb GROUP BY 1", "points", "points_b")
+add("j7_knn_join", lambda t: rounded(op.knn_join(_whole(t), 5, 2.0).select("point_id", "point_id_b", "d", F.col("rank").cast("long").alias("rank")), "d"),
+    f"""WITH {_near('n1', 'points', 'points', 4.0)}, k1 AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS rank FROM n1 WHERE other <> point_id), done AS (SELECT DISTINCT point_id FROM k1 WHERE rank = 5),
+    few AS (SELECT * FROM points WHERE point_id NOT IN (SELECT point_id FROM done)), {_near('n2', 'few', 'points', 16.0)}, k2 AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS rank FROM n2 WHERE other <> point_id)
+    SELECT point_id, other AS point_id_b, {r('d', 'd')}, rank FROM k1 JOIN done USING (point_id) WHERE rank <= 5 UNION ALL SELECT point_id, other, {r('d', 'd')}, rank FROM k2 WHERE rank <= 5""", "points")
+add("a25_overlap_metrics", lambda t: rounded(op.symmetric_overlap(_whole(t), _whole(t, "points_b"), 1.0), "overlap", "rms", "capped_rms"),
+    f"""WITH {_near('nb', 'points', 'points_b', 1.0)}, f AS (SELECT point_id, min(d) AS d FROM nb GROUP BY 1), b AS (SELECT other AS point_id, min(d) AS d FROM nb GROUP BY 1)
+    SELECT 'forward' AS direction, count(*) AS n, {r('count(d) / count(*)::DOUBLE', 'overlap')}, {r('sqrt(avg(d * d))', 'rms')}, {r('sqrt(avg(coalesce(d, 1) ** 2))', 'capped_rms')} FROM points LEFT JOIN f USING (point_id)
+    UNION ALL SELECT 'backward', count(*), {r('count(d) / count(*)::DOUBLE', 'overlap')}, {r('sqrt(avg(d * d))', 'rms')}, {r('sqrt(avg(coalesce(d, 1) ** 2))', 'capped_rms')} FROM points_b LEFT JOIN b USING (point_id)""", "points", "points_b")
 _FIT = """om AS (SELECT kx, ky, kz, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, covar_pop(y, y) AS d, covar_pop(y, z) AS e, covar_pop(z, z) AS f FROM src GROUP BY 1, 2, 3),
     o1 AS (SELECT *, (a + d + f) / 3 AS q FROM om), o2 AS (SELECT *, sqrt(((a - q) ** 2 + (d - q) ** 2 + (f - q) ** 2 + 2 * (b * b + c * c + e * e)) / 6) AS p FROM o1),
     o3 AS (SELECT *, CASE WHEN p > 0 THEN ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * p * p * p) ELSE 0 END AS h FROM o2),
@@ -122,9 +123,3 @@ add("a9_score_patches", lambda t: (lambda p: rounded(op.score_patches(*[clouds.s
 add("a10_a11_validate_same_records", lambda t: (lambda p: op.validate_same_records(p[0], p[0].withColumn("z", F.col("z") * 0.9), p[1], 3.0, 3))(_patches(t)))
 add("a7_normals", lambda t: rounded(op.normals(_whole(t), 10, 3.0).select("point_id", "n", "planar", "l0"), "l0", digits=5))
 add("j19_point_to_plane", lambda t: rounded(op.point_to_plane(_whole(t), op.plane_fit(t("points").withColumns({f"k{c}": F.floor(F.col(c) / 5).cast("long") for c in "xyz"}), ("kx", "ky", "kz")).where("n >= 8").withColumns({"radius": F.sqrt("l2"), "variance": F.col("l0") + 1e-4}), 5.0), "prob", "dist"))
-
-# The queries above that have SQL keep to the id subsets that their SQL names; these take every point of one or two clouds. Tests hold them against brute force
-add("j5_radius_join_whole", lambda t: op.radius_join(_whole(t), _whole(t), 1.5).groupBy("point_id").agg(F.count("*").alias("n"), F.min("point_id_b").alias("first"), F.round(F.sum("d") + 1.3e-8, 5).alias("total")))
-add("j6_nn_join_whole", lambda t: rounded(op.nn_join(_whole(t), _whole(t, "points_b"), 2.0).select("point_id", "point_id_b", "d"), "d"))
-add("j7_knn_join_whole", lambda t: rounded(op.knn_join(_whole(t), 5, 2.0).select("point_id", "point_id_b", "d", F.col("rank").cast("long").alias("rank")), "d"))
-add("a25_overlap_metrics_whole", lambda t: rounded(op.symmetric_overlap(_whole(t), _whole(t, "points_b"), 1.0), "overlap", "rms", "capped_rms"))

@@ -55,8 +55,8 @@ add("w6_motion_onset", lambda t: op.motion_onset(t("trajectory"), 60.0, 20000.0)
     SELECT session, coalesce(min(t) FILTER (far >= 60 AND least >= 45), min(t)) AS onset, count(*) FILTER (far >= 60 AND least >= 45) > 0 AS moving FROM m GROUP BY 1""", "trajectory")
 add("w7_max_overlap", lambda t: op.max_overlap(t("trajectory"), 36000.0), "SELECT session, max(n) AS most FROM (SELECT session, count(*) OVER (PARTITION BY session ORDER BY t RANGE BETWEEN CURRENT ROW AND 36000 FOLLOWING) AS n FROM trajectory) GROUP BY 1", "trajectory")
 add("w9_cyclic_pairs", lambda t: op.cyclic_pairs(t("observations").select("point_id", "frame_id", "obs")).select("point_id", F.col("a.obs").alias("a"), F.col("b.obs").alias("b")),
-    """WITH o AS (SELECT point_id, frame_id, obs, count(*) OVER (PARTITION BY point_id) AS n, row_number() OVER (PARTITION BY point_id ORDER BY frame_id, obs) AS k FROM observations)
-    SELECT a.point_id, a.obs AS a, b.obs AS b FROM o AS a JOIN o AS b ON a.point_id = b.point_id AND b.k = a.k % a.n + 1 WHERE a.n > 1""", "observations")
+    """SELECT point_id, obs AS a, coalesce(lead(obs) OVER w, first_value(obs) OVER w) AS b FROM observations
+    WINDOW w AS (PARTITION BY point_id ORDER BY frame_id, obs) QUALIFY count(*) OVER (PARTITION BY point_id) > 1""", "observations")
 _CHUNK = "CAST(greatest(0, ceil((pos - 300000) / 270000.0E0)) AS BIGINT)"
 add("w11_overlap_chunks", lambda t: op.overlap_chunks(t("trajectory"), 300000.0, 30000.0).groupBy("session", "chunk", "name").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")),
     f"""WITH e AS (SELECT session, min(t) AS t0, max(t) AS t1 FROM trajectory GROUP BY 1), r AS (SELECT tr.session, tr.t, tr.t - t0 AS pos, greatest(0, ceil((t1 - t0 - 300000) / 270000.0E0)) AS last FROM trajectory AS tr JOIN e USING (session)),

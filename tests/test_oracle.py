@@ -8,7 +8,6 @@ import pytest
 from scanloom.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"a27_search_offset", "j7_knn_join", "a6_octree_planes"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def _plain(v):
     return float(v) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracles()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracles()))
 def test_query_matches_sql(spark, sf, con, name):
     found = catalog.queries()[name](spark, sf)
     columns = sorted(found.columns)

@@ -33,7 +33,7 @@ def test_radius_pairs_of_all_points(spark, sf, cloud):
         for k, row in enumerate(d):
             near = row <= 1.5
             want[ids[low + k]] = (near.sum(), ids[near].min(), row[near].sum())
-    got = {r["point_id"]: r for r in _rows(spark, sf, "j5_radius_join_whole")}
+    got = {r["point_id"]: r for r in _rows(spark, sf, "j5_radius_join")}
     assert got.keys() == want.keys() and len(got) == len(ids)
     assert all((got[k]["n"], got[k]["first"]) == (n, first) and got[k]["total"] == pytest.approx(total, abs=2e-5) for k, (n, first, total) in want.items())
 
@@ -42,9 +42,9 @@ def test_nearest_and_overlap_of_two_whole_clouds(spark, sf, cloud):
     (a, p), (b, q) = cloud["points"], cloud["points_b"]
     ahead = np.concatenate([d.min(1) for _, d in _distances(p, q)])
     back = np.concatenate([d.min(1) for _, d in _distances(q, p)])
-    got = {r["point_id"]: r["d"] for r in _rows(spark, sf, "j6_nn_join_whole")}
+    got = {r["point_id"]: r["d"] for r in _rows(spark, sf, "j6_nn_join")}
     assert got == {k: pytest.approx(d, abs=2e-6) for k, d in zip(a.tolist(), ahead.tolist(), strict=True) if d <= 2.0}
-    for r in _rows(spark, sf, "a25_overlap_metrics_whole"):
+    for r in _rows(spark, sf, "a25_overlap_metrics"):
         d = ahead if r["direction"] == "forward" else back
         assert r["n"] == len(d) and r["overlap"] == pytest.approx((d <= 1).mean(), abs=2e-6)
         assert r["capped_rms"] == pytest.approx(np.sqrt((np.minimum(d, 1) ** 2).mean()), abs=2e-6)
@@ -54,7 +54,7 @@ def test_neighbours_and_normals_of_all_points(spark, sf, cloud):
     ids, xyz = cloud["points"]
     nearest = np.concatenate([np.sort(d, 1)[:, 1:6] for _, d in _distances(xyz, xyz)])
     got = {}
-    for r in _rows(spark, sf, "j7_knn_join_whole"):
+    for r in _rows(spark, sf, "j7_knn_join"):
         got.setdefault(r["point_id"], {})[r["rank"]] = r["d"]
     assert got == {k: {i + 1: pytest.approx(d, abs=2e-6) for i, d in enumerate(row) if d <= 16} for k, row in zip(ids.tolist(), nearest.tolist(), strict=True) if row[0] <= 16}
     rows = {r["point_id"]: r for r in _rows(spark, sf, "a7_normals")}
@@ -110,7 +110,7 @@ def test_holes_of_all_cells(spark, sf, cloud):
     steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if 1 <= i * i + j * j <= 4]
     for a, b in {(a + i, b + j) for a, b in top for i, j in steps} - top.keys():
         want[a, b] = top[min((i * i + j * j, a - i, b - j) for i, j in steps if (a - i, b - j) in top)[1:]]
-    assert {(r["row"], r["col"]): r["z"] for r in _rows(spark, sf, "a16_fill_holes_whole")} == want
+    assert {(r["row"], r["col"]): r["z"] for r in _rows(spark, sf, "a16_fill_holes")} == want
 
 
 def test_views_of_all_points(spark, sf, cloud):
@@ -134,12 +134,12 @@ def test_views_of_all_points(spark, sf, cloud):
                     at = (cell[k][0] + i, cell[k][1] + j)
                     near[at] = min(near.get(at, 1 << 40), int(depth[k] * 1000))
         seen |= {(view["image_id"], ids[k]) for k in own if depth[k] <= (near[cell[k]] / 1000) + max(0.03, near[cell[k]] / 1e5)}
-    got = {(r["image_id"], r["point_id"]): r["depth"] for r in _rows(spark, sf, "j8_project_views_whole")}
+    got = {(r["image_id"], r["point_id"]): r["depth"] for r in _rows(spark, sf, "j8_project_views")}
     assert got.keys() == pairs.keys() and any(k % 3 for _, k in got) and all(got[k] == pytest.approx(v, abs=1e-4) for k, v in pairs.items())
-    assert {(r["image_id"], r["point_id"]) for r in _rows(spark, sf, "a12_visible_whole")} == seen
-    assert {(r["point_id"], r["k"]): r["image_id"] for r in _rows(spark, sf, "o3_top3_whole")} == {(p, k + 1): x[2] for p, found in score.items() for k, x in enumerate(sorted(found)[:3])}
-    assert {r["point_id"] for r in _rows(spark, sf, "a13_consensus_whole")} == set(score)
-    row = _rows(spark, sf, "a14_coverage_whole")[0]
+    assert {(r["image_id"], r["point_id"]) for r in _rows(spark, sf, "a12_visible")} == seen
+    assert {(r["point_id"], r["k"]): r["image_id"] for r in _rows(spark, sf, "o3_top3")} == {(p, k + 1): x[2] for p, found in score.items() for k, x in enumerate(sorted(found)[:3])}
+    assert {r["point_id"] for r in _rows(spark, sf, "a13_consensus")} == set(score)
+    row = _rows(spark, sf, "a14_coverage")[0]
     assert row["n"] == len(ids) and row["coverage"] == pytest.approx(100 * len(score) / len(ids), abs=2e-6)
 
 
