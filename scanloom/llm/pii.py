@@ -1,8 +1,10 @@
 """Personal data by base patterns and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from labelled spans. It reads overlapping windows around every digit and @
-of the whole text (all kinds hold one); where windows overlap, the tag of the window in whose middle a
-character lies wins, and spans are read from the reconciled tags of the text. Its spans join those of the patterns.
+The network is trained in numpy from labelled spans: those of the patterns, and forms that the patterns don't know, written
+from them (other separators, spaces, brackets about @ and dots, no plus). It reads overlapping windows around every digit and @
+of the whole text (all kinds hold one). Where windows overlap, their scores are averaged, those from the middle of a window
+counting most, and one best path under the transitions is decoded over each stretch of the text that windows cover. Its
+spans join those of the patterns.
 """
 
 from __future__ import annotations
@@ -137,18 +139,38 @@ class Tagger:
         both = np.concatenate([self._run(x, s, False)[0] for s in "fb"], 2)
         return both @ self.w["o"] + self.w["c"]
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each row (Viterbi)."""
-        score = self.scores(x)
-        best, came = score[0] + self.w["start"], []
-        for t in range(1, len(score)):
-            reach = best[:, :, None] + self.w["move"]
-            came.append(reach.argmax(1))
-            best = reach.max(1) + score[t]
-        tags = [best.argmax(1)]
-        for back in reversed(came):
-            tags.append(back[np.arange(len(x)), tags[-1]])
-        return np.stack(tags[::-1], 1)
+    def decode(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best paths (Viterbi) of stretches that are cut in blocks: tags of blocks x STEP.
+
+        Blocks of a stretch follow each other, first tells where one begins. Each block is solved for every tag before it, all
+        at once; then blocks are joined in order. So a long stretch is no long loop, and the path is the best of the whole.
+        """
+        n, steps, k = score.shape
+        move, rows = self.w["move"], np.arange(n)
+        best = np.where(first[:, None, None], self.w["start"], move) + score[:, 0, None, :]
+        came = np.zeros((steps, n, k, k), np.int8)
+        for t in range(1, steps):
+            reach = best[:, :, :, None] + move
+            came[t] = reach.argmax(2)
+            best = reach.max(2) + score[:, t, None, :]
+        entry = np.zeros((n, k), np.int64)  # the best tag before the block for each of its last tags
+        total = np.empty((n, k))
+        begin = np.flatnonzero(first)
+        turn = rows - begin[np.cumsum(first) - 1]
+        order = np.argsort(turn, kind="stable")
+        for at in np.split(order, np.cumsum(np.bincount(turn))[:-1]):
+            reach = best[at] + np.where(first[at], 0.0, 1.0)[:, None, None] * total[at - 1][:, :, None]
+            entry[at], total[at] = reach.argmax(1), reach.max(1)
+        last = np.empty(n, np.int64)
+        ends = np.append(first[1:], True)
+        last[ends] = total[ends].argmax(1)
+        for at in np.split(order, np.cumsum(np.bincount(turn))[:-1])[:0:-1]:
+            last[at - 1] = entry[at, last[at]]
+        tags, before = np.empty((n, steps), np.int64), entry[rows, last]
+        tags[:, -1] = last
+        for t in range(steps - 1, 0, -1):
+            tags[:, t - 1] = came[t][rows, before, tags[:, t]]
+        return tags
 
     def _crf(self, score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gradients of the log-likelihood by scores, transitions and start, by forward-backward."""
@@ -223,21 +245,53 @@ class Tagger:
             starts.append(at)
             padded = np.concatenate([own, np.zeros(max(0, WINDOW - len(own)), np.int64)])
             windows.append(padded[at[:, None] + np.arange(WINDOW)])
-        rows = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.int64)
-        tags = np.concatenate([self.decode(rows[k : k + 1024]) for k in range(0, len(rows), 1024)]) if len(rows) and self.trained else np.zeros(rows.shape, np.int64)
-        out, done = [], 0
-        inner = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))  # distance from the window's edge
+        if not self.trained or not any(len(x) for x in windows):
+            return [[] for _ in classes]
+        rows = np.concatenate(windows)
+        weight = 1.0 + np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))  # those from the middle count most
+        out: list[list[tuple[int, int, str]]] = []
+        done = 0
         for own, at in zip(classes, starts, strict=True):
-            part = tags[done : done + len(at)]
+            said = np.zeros(len(own), np.int64)
+            if len(at):
+                said = self._whole(rows[done : done + len(at)], at, len(own), weight)
             done += len(at)
-            said, depth = np.zeros(len(own) + WINDOW, np.int64), np.full(len(own) + WINDOW, -1)
-            for a, t in zip(at.tolist(), part, strict=True):
-                better = inner > depth[a : a + WINDOW]
-                said[a : a + WINDOW][better] = t[better]
-                depth[a : a + WINDOW][better] = inner[better]
-            out.append(_read(said[: len(own)]))
+            out.append(_read(said))
         return out
 
+    def _whole(self, rows: np.ndarray, at: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
+        """The tags of a text of n characters from its windows; outside where no window lies.
+
+        Blocks of STEP characters are the union of the windows' halves, so a stretch is a run of blocks.
+        """
+        size = -(-max(int(at[-1]) + WINDOW, n) // STEP) * STEP
+        total, held = np.zeros((size, TAGS), np.float32), np.zeros(size, np.float32)
+        for low in range(0, len(rows), 1024):
+            score = self.scores(rows[low : low + 1024])
+            for k, a in enumerate(at[low : low + 1024].tolist()):
+                total[a : a + WINDOW] += score[:, k] * weight[:, None]
+                held[a : a + WINDOW] += weight
+        covered = held > 0
+        covered[n:] = False
+        total[covered] /= held[covered, None]
+        total[~covered] = np.array([0.0, *[-1e4] * (TAGS - 1)])  # outside
+        block = np.flatnonzero(covered.reshape(-1, STEP).any(1))
+        first = np.append(True, block[1:] != block[:-1] + 1)
+        said = np.zeros(size, np.int64)
+        tags = said.reshape(-1, STEP)
+        for low, high in _batches(first, 2048):
+            tags[block[low:high]] = self.decode(total.reshape(-1, STEP, TAGS)[block[low:high]], first[low:high])
+        return said[:n]
+
+
+def _batches(first: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole stretches of about so many blocks (a longer stretch is one of its own)."""
+    begins, low = np.append(np.flatnonzero(first), len(first)), 0
+    while low < len(first):
+        high = int(begins[max(np.searchsorted(begins, low + size, "right") - 1, np.searchsorted(begins, low) + 1)])
+        yield low, high
+        low = high
+
 
 def _read(tags: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans of a tag sequence: a begin and the insides of its kind that follow; a stray inside begins one."""
@@ -256,25 +310,70 @@ def _read(tags: np.ndarray) -> list[tuple[int, int, str]]:
 
 
 def _credible(text: str, start: int, end: int, kind: str, base: list[tuple[int, int, str]]) -> bool:
-    """A span of the network counts if it is apart from the patterns' spans, whole at both ends, and has its kind's marks."""
+    """A span of the network counts if it is apart from the patterns' spans, whole at both ends, and can be read as its kind.
+
+    Separators, spaces and brackets may be any; what is left of digits and letters must make sense.
+    """
     if any(start < e and s < end for s, e, _ in base):
         return False
     if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
         return False
-    if re.search(r"\s{2}|[\n\t]", text[start:end]):
-        return False
     part = text[start:end]
-    digits = len(_DIGITS.findall(part))
-    letters = sum(c.isalpha() for c in part)
+    if re.search(r"\s{2}|[\n\t]", part):
+        return False
     if kind == "email":
-        return "@" in part[1:] and "." in part.rpartition("@")[2] and not part.endswith((".", "@")) and " " not in part
-    if letters:
+        left, _, right = re.sub(r"[\[\](){}\s]", "", part).partition("@")
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+", left) and re.fullmatch(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", right))
+    numbers = re.findall("[0-9]+", part)
+    digits = sum(map(len, numbers))
+    if any(c.isalpha() for c in part):
         return False
     if kind == "card":
-        return 12 <= digits <= 19 and _luhn("".join(_DIGITS.findall(part)))
+        return 13 <= digits <= 19 and len(numbers) >= 3 and _luhn("".join(numbers))
     if kind == "ip":
-        return part.count(".") == 3 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in part.split("."))
-    return part[0] in "+(" and 9 <= digits <= 15
+        return len(numbers) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in numbers) and part[0].isdigit() and part[-1].isdigit()
+    return 10 <= digits <= 15 and (part[0] == "(" or len(numbers) >= 3) and not re.match(r"(19|20)[0-9]{2}\D", part)
+
+
+#: Ways to write a span that the patterns don't take, by kind: what stands for a separator of the span, or None to leave it out.
+_FORMS = {
+    "email": ({"@": " @ "}, {".": "[.]"}, {"@": "(@)"}, {"@": "[@]", ".": "[.]"}, {".": " . "}),
+    "ip": ({".": "[.]"}, {".": " . "}, {".": "(.)"}, {".": "-"}),
+    "card": ({"": "."}, {"": "/"}, {"": "_"}, {"": " - "}),
+    "phone": ({"+": None}, {"+": None, " ": "."}, {"+": None, " ": "-", "(": None, ")": None}, {"+": None, "-": "/"}),
+}
+#: Things with digits that are no personal data.
+_OTHERS = ("20{0:02d}-{1:02d}-{2:02d}", "{0}.{1}", "{0:02d}:{1:02d}:{2:02d}", "v{0}.{1}.{2}", "{0},{1:03d},{2:03d}", "{0}{1:02d}{2:02d}", "({0})", "{0}/{1}", "{0}.{1}.{2}", "{0}%", "{0}-{1}", "no. {0}{1:03d}")
+
+
+def variant(span: str, kind: str, form: int) -> str:
+    """The span in one of the forms that the patterns don't know."""
+    held = _FORMS[kind][form % len(_FORMS[kind])]
+    if kind == "card":  # digits by fours, with the separator between
+        digits = re.sub("[^0-9]", "", span)
+        return held[""].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    return "".join(c if c not in held else held[c] or "" for c in span).strip(" .-/")
+
+
+def varied(text: str, turn: int) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with some of its patterns' spans in other forms or replaced by other things with digits, and its spans then."""
+    out, spans, done, size = [], [], 0, 0
+    for k, (start, end, kind) in enumerate(base_spans(text)):
+        if start < done:
+            continue
+        mixed = (turn ^ (k * 0x9E3779B97F4A7)) * 0xD1342543DE82EF95 % (1 << 64)
+        draw = [mixed >> x & 63 for x in (58, 52, 46, 40)]
+        size += start - done
+        part = text[start:end]
+        if draw[0] < 28:
+            part = variant(part, kind, draw[1])
+        elif draw[0] < 40:
+            part, kind = _OTHERS[draw[1] % len(_OTHERS)].format(draw[2] % 24 + 1, draw[3] % 28 + 1, (draw[2] + draw[3]) % 28 + 1), ""
+        out += [text[done:start], part]
+        if kind:
+            spans.append((size, size + len(part), kind))
+        size, done = size + len(part), end
+    return "".join([*out, text[done:]]), spans
 
 
 def has_trigger(text: Column) -> Column:
@@ -283,20 +382,27 @@ def has_trigger(text: Column) -> Column:
 
 
 def labelled_windows(docs: DataFrame, key: str, text: str, at_most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes and tags of at most so many windows about the patterns' spans, by the order of the keys' hashes."""
+    """Character classes and tags of at most so many windows, by the order of hashes: of texts as they are and with their spans in other forms.
+
+    Every window about a digit or @ of a text in the sample may be taken, wherever it lies; short texts are filled up with nulls.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for turn, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = char_classes(text_)
-                if len(own) < WINDOW:
-                    continue
-                tags = tags_of(len(own), base_spans(text_))
-                for k, a in enumerate(window_starts(np.flatnonzero((own == 1) | (own == 6)), len(own)).tolist()[:64]):
-                    rows.append((turn ^ (k * 0x9E3779B97F4A7), own[a : a + WINDOW].astype(np.int8).tobytes(), tags[a : a + WINDOW].astype(np.int8).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["turn", "x", "y"])
+                rows = []
+                for form, (said, spans) in enumerate(((text_, base_spans(text_)), varied(text_, turn), varied(text_, ~turn))):
+                    own, tags = char_classes(said), tags_of(len(said), spans)
+                    fill = max(0, WINDOW - len(own))
+                    own, tags = np.pad(own, (0, fill)), np.pad(tags, (0, fill))
+                    for a in window_starts(np.flatnonzero((own == 1) | (own == 6)), len(own)).tolist():
+                        x, y = own[a : a + WINDOW].astype(np.int8), tags[a : a + WINDOW].astype(np.int8)
+                        rank = (turn ^ (form + 3 * a + 1) * 0x9E3779B97F4A7C15) * 0xD1342543DE82EF95 % (1 << 63)
+                        rows.append((rank // 8 if y.any() else rank, x.tobytes(), y.tobytes()))  # windows with a span come first, eight to one
+                    if len(rows) > 10_000:
+                        rows = sorted(rows)[:at_most]
+                columns = list(zip(*sorted(rows)[:at_most], strict=True)) if rows else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["turn", "x", "y"])
 
     # Windows are cut from texts whose hash comes first; about one text in sixteen is thought to have a digit or @.
     rows = tx.sample_by_hash(docs.select(key, text), key, 31, at_most, 16).where(has_trigger(F.col(text))).select("turn", F.col(text).alias("text"))
