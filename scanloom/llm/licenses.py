@@ -1,12 +1,13 @@
 """License scans with a generalised suffix automaton over the words of licence templates.
 
 Each text is streamed through the automaton once: at every word it knows the longest run of words ending
-there that occurs in any template (the matching statistic). Long maximal matches of one template are then
-chained, in order on both sides, into spans of the text that cover the template.
+there that occurs in any template (the matching statistic). Long maximal matches of one passage of a template are
+then chained, in order on both sides, by dynamic programming; a chain that covers enough of the passage is a span.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -20,19 +21,36 @@ from scanloom.llm import text as tx
 #: Phrases that name a licence wherever their words stand consecutively.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices as their stewards publish them, by label. They are matched by words, in parts.
+#: Notices by label, a passage each: what grants a licence and on which terms, and the lines that name it. Disclaimers, which
+#: several licences share, are left out. Passages are matched by words.
 TEMPLATES = {
-    "mit": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "gpl": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0",
-    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. Licensed under CC BY-NC 4.0",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-}
-#: Words of the shortest match that is chained, and of the shortest span that is reported.
-MIN_MATCH, MIN_SPAN = 3, 5
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Released under the MIT License", "Licensed under the MIT License",
+    ),
+    "apache": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed under the Apache License, Version 2.0",
+    ),
+    "gpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "This work is licensed under the GNU General Public License, version 3",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    "mpl": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"),
+    "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+}
+#: Words of the shortest match that is chained and of a span at least, and the share of a passage's words that a span must cover.
+MIN_MATCH, MIN_SPAN, MIN_SHARE = 3, 5, 0.6
 #: Words that a chain may skip on either side between two matches.
 MAX_GAP = 8
 
@@ -97,29 +115,41 @@ class SuffixAutomaton:
 
 
 def chain(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """(start, end, covered words) of the chains of matches (text end, template end, length) of one template.
+    """(start, end, covered words) of chains of matches (text end, template end, length) of one passage, the best first.
 
-    A match joins the chain that it extends in order on both sides, over at most gap words of each.
+    A match may follow another that ends before it on both sides, over at most gap words of each; where they overlap, words
+    count once. The best chain to each match follows from those that end within its reach, which is bounded by the passage's
+    length: so the work grows with the matches. A match is in one chain only.
     """
-    chains: list[list[int]] = []  # start, text end, template end, covered
-    for end, template, length in sorted(matches):
-        for c in reversed(chains):
-            skipped, apart = end - length - c[1], template - length - c[2]
-            overlap = max(0, -min(skipped, apart))
-            if overlap < length and max(skipped, apart) <= gap and end > c[1] and template > c[2]:
-                c[1:] = end, template, c[3] + length - overlap
-                break
-        else:
-            chains.append([end - length + 1, end, template, length])
-    return [(a, b + 1, covered) for a, b, _, covered in chains]
+    matches = sorted(set(matches))
+    best, came = [length for _, _, length in matches], [-1] * len(matches)
+    by_place: dict[int, list[int]] = {}
+    for k, (end, template, length) in enumerate(matches):
+        for place in range(template - length - gap, template):
+            for j in reversed(by_place.get(place, ())):
+                skipped, apart = end - length - matches[j][0], template - length - place
+                if skipped > gap:
+                    break
+                overlap = max(0, -skipped, -apart)
+                if matches[j][0] < end and overlap < length and best[j] + length - overlap > best[k]:
+                    best[k], came[k] = best[j] + length - overlap, j
+        by_place.setdefault(template, []).append(k)
+    used, out = [False] * len(matches), []
+    for k in sorted(range(len(matches)), key=lambda i: (-best[i], i)):
+        at, start = k, None
+        while at >= 0 and not used[at]:
+            used[at], start, at = True, at, came[at]
+        if start is not None:
+            out.append((matches[start][0] - matches[start][2] + 1, matches[k][0] + 1, best[k] - (best[at] if at >= 0 else 0)))
+    return out
 
 
 class Scanner:
     """Vocabulary, automaton and phrases of a set of templates; small, and sent to the tasks with their code."""
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str], min_match: int, min_span: int, gap: int):
-        self.min_match, self.min_span, self.gap = min_match, min_span, gap
-        said = [(template_words(p), label) for p, label in phrases.items()] + [(template_words(t), label) for label, t in templates.items()]
+    def __init__(self, phrases: dict[str, str], templates: dict[str, tuple[str, ...]], min_match: int, min_span: int, min_share: float, gap: int):
+        self.min_match, self.min_span, self.min_share, self.gap = min_match, min_span, min_share, gap
+        said = [(template_words(p), label) for p, label in phrases.items()] + [(template_words(t), label) for label, parts in templates.items() for t in parts]
         said = [x for x in said if x[0]]
         self.labels, self.lengths = [label for _, label in said], [len(x) for x, _ in said]
         self.n_phrases = len(phrases)
@@ -175,23 +205,27 @@ class Scanner:
                     found.setdefault(number, []).append((at, last, matched))
 
     def spans(self, found: dict) -> list[tuple[str, int, int, float]]:
-        """(label, start, end, share of the span's words that are the template's), of the best template for each place."""
+        """(label, start, end, share of the passage that is covered); spans don't overlap, the larger cover goes first."""
         held = []
         for number, matches in found.items():
-            held += [(covered, -(end - start), self.labels[number], start, end) for start, end, covered in chain(matches, self.gap) if covered >= self.min_span]
-        out: list[tuple[str, int, int, float]] = []
-        for covered, width, label, start, end in sorted(held, key=lambda x: (-x[0], -x[1], x[2], x[3])):
-            if all(end <= s or start >= e or (label == other and (start, end) != (s, e)) for other, s, e, _ in out):
-                out.append((label, start, end, covered / -width))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+            for start, end, covered in chain(matches, self.gap):
+                if covered >= self.min_span and covered >= self.min_share * self.lengths[number]:
+                    held.append((-covered, -covered / self.lengths[number], end - start, self.labels[number], start))
+        out: list[tuple[int, int, str, float]] = []
+        for _, share, width, label, start in sorted(held):
+            at = bisect.bisect(out, (start, start + width))
+            if (at == 0 or out[at - 1][1] <= start) and (at == len(out) or out[at][0] >= start + width):
+                out.insert(at, (start, start + width, label, -share))
+        return [(label, start, end, share) for start, end, label, share in out]
 
 
 def scan_licenses(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
-    templates: dict[str, str] = TEMPLATES,
+    templates: dict[str, tuple[str, ...]] = TEMPLATES,
     min_match: int = MIN_MATCH,
     min_span: int = MIN_SPAN,
+    min_share: float = MIN_SHARE,
     max_gap: int = MAX_GAP,
     key: str = "doc_id",
     text: str = "text",
@@ -201,9 +235,10 @@ def scan_licenses(
     base_* columns come from the phrases, labels from phrases and spans. A null or empty text has no words
     and no places; ties between templates over one place go to the larger cover, then the first label.
     Repeated rows are scanned each on their own, an empty table gives an empty one, and further columns
-    (whatever their names) are not read. score is the best cover of a span, 1 where a phrase stands.
+    (whatever their names) are not read. coverage is the share of a passage's words that a span covers, min_share
+    at least; score is the best of them, 1 where a phrase stands whole.
     """
-    scanner = Scanner(phrases, templates, min_match, min_span, max_gap)
+    scanner = Scanner(phrases, templates, min_match, min_span, min_share, max_gap)
     schema = "key long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,coverage:double>>"
     names = [x.split(" ")[0] for x in schema.split(", ")]
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
