@@ -2,11 +2,13 @@
 
 A payload of bytes is kept losslessly as 8-bit PCM in a WAV file. The stored file is read back, resampled by
 a polyphase filter, cut into overlapped frames for a log-mel filterbank, and segmented by frame energy with
-hysteresis. Features are tensors of one fixed shape per file, with the time span of each of their rows.
+hysteresis. Features are tensors of one fixed shape per file, with the time span of each of their rows; the shape is in
+the column's metadata, and with_tensors() gives any batch of them as Arrow's fixed-shape tensor type.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import wave
@@ -131,18 +133,42 @@ def tensor_array(rows: list[np.ndarray]) -> pa.FixedShapeTensorArray:
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), ROWS * BANDS))
 
 
+def with_tensors(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of encode_media's rows, as mapInArrow gets it, with the tensor column in Arrow's fixed-shape tensor type."""
+    column = batch.column("tensor")
+    flat = column.flatten() if isinstance(column, pa.ListArray) else column
+    kind = pa.fixed_shape_tensor(pa.float32(), (ROWS, BANDS))
+    tensor = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, ROWS * BANDS))
+    return batch.set_column(batch.schema.get_field_index("tensor"), pa.field("tensor", kind), tensor)
+
+
+def feature_string(tensor: np.ndarray, found: list[tuple[float, float]], rate: int = RATE) -> str:
+    """The tensor's shape, its values in hundredths (16 bits each, base64) and the segments in frames."""
+    second = HOP * DOWN / UP / rate
+    spans = ",".join(f"{round(a / second)}-{round(b / second)}" for a, b in found)
+    return f"{ROWS}x{BANDS}:{base64.b64encode(np.rint(tensor * 100).astype('<i2').tobytes()).decode()}:{spans}"
+
+
+def read_feature(feature: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The tensor and the segments of a feature string."""
+    shape, held, spans = feature.split(":")
+    values = np.frombuffer(base64.b64decode(held), "<i2").reshape(*map(int, shape.split("x"))) / 100
+    return values, [(int(a), int(b)) for a, b in (s.split("-") for s in spans.split(",") if s)]
+
+
 def encode_media(docs: DataFrame, pad: int = PAD, rate: int = RATE, key: str = "doc_id", text: str = "text", keep_media: bool = True) -> DataFrame:
     """One row per text with its WAV file (unless keep_media is off), digests of both, tensor, spans and segments.
 
     The payload is the UTF-8 text with zero bytes up to a positive multiple of pad; null is the empty text.
     Every file has at least one frame, so features are defined for all; silence has one segment or none. Equal
     texts have equal values, repeated rows each a row, an empty table gives an empty one, and further columns
-    are not read. The storage of the tensor column in Arrow is a list of ROWS x BANDS floats in row order.
+    are not read. Spark keeps a tensor as its ROWS x BANDS floats in row order, with the shape in the column's metadata;
+    feature is tensor and segments in one string (read_feature).
     """
     spans = pa.list_(pa.list_(pa.float64()))
-    schema = "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media binary, tensor array<float>, spans array<array<double>>, segments array<array<double>>"
+    schema = "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media binary, tensor array<float>, spans array<array<double>>, segments array<array<double>>, feature string"
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), None, spans, spans]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), None, spans, spans, pa.string()]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +180,7 @@ def encode_media(docs: DataFrame, pad: int = PAD, rate: int = RATE, key: str = "
                     payload, at = from_wav(stored)
                     tensor, spans_, found = features(payload, at)
                     tensors.append(tensor)
-                    rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), stored if keep_media else None, None, spans_, found))
+                    rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), stored if keep_media else None, None, spans_, found, feature_string(tensor, found, at)))
                 columns = list(zip(*rows, strict=True))
                 arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True) if t is not None]
                 storage = tensor_array(tensors).storage
@@ -162,4 +188,4 @@ def encode_media(docs: DataFrame, pad: int = PAD, rate: int = RATE, key: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], *arrays], names)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return tx.arrow_map(rows, emit, schema).withColumnRenamed("key", key)
+    return tx.arrow_map(rows, emit, schema).withMetadata("tensor", {"shape": [ROWS, BANDS]}).withColumnRenamed("key", key)

@@ -38,10 +38,7 @@ def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.encode_media(_table(spark, sf_dir, "documents"), keep_media=False)
-    tensor = F.sha2(F.concat_ws(",", F.transform("tensor", lambda x: F.format_string("%.2f", x))), 256)
-    spoken = F.concat_ws(";", F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s[0], s[1])))
-    feature = F.concat_ws("|", tensor, F.sha2(spoken, 256), F.size("segments").cast("string")).alias("feature")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
