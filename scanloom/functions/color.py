@@ -91,28 +91,28 @@ def view_score(radius, widest: float, depth) -> Column:
     share = col(radius) / widest
     return (1 - 0.5 * share * share) / F.pow(F.greatest(col(depth), F.lit(0.5)), F.lit(1.5))
 
-
-#: Control colours of each map, evenly spaced; channels are interpolated between them.
-MAPS = {
-    "grey": ((0, 0, 0), (255, 255, 255)),
-    "heat": ((0, 0, 0), (128, 0, 0), (255, 80, 0), (255, 200, 0), (255, 255, 255)),
-    "rainbow": ((255, 0, 0), (255, 255, 0), (0, 255, 0), (0, 255, 255), (0, 0, 255), (255, 0, 255)),
-    "turbo": ((48, 18, 59), (65, 107, 223), (26, 228, 182), (164, 252, 60), (251, 185, 56), (227, 68, 10), (122, 4, 3)),
-}
+#: Coefficients of the turbo map's channels, from the constant term up.
+TURBO = (
+    (0.13572138, 4.61539260, -42.66032258, 132.13108234, -152.94239396, 59.28637943),
+    (0.09140261, 2.19418839, 4.84296658, -14.18503327, 4.27729857, 2.82956604),
+    (0.10667330, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973),
+)
 
 
 def colormap(value, name: str = "turbo") -> tuple[Column, Column, Column]:
-    """Channels 0 to 255 of a value in 0 to 1, at steps of 1/255."""
-    stops = MAPS[name]
-    n = len(stops) - 1
-    at = F.floor(F.least(F.greatest(col(value), F.lit(0.0)), F.lit(1.0)) * 255) / 255 * n
-    low = F.least(F.floor(at), F.lit(n - 1)).cast("int")
-    part = at - low
-    out = []
-    for c in range(3):
-        table = F.array(*[F.lit(float(s[c])) for s in stops])
-        out.append(F.element_at(table, low + 1) * (1 - part) + F.element_at(table, low + 2) * part)
-    return out[0], out[1], out[2]
+    """Channels 0 to 255 of a value in 0 to 1, at its 256 steps (the value times 255, cut to a whole number): turbo, heat, rainbow or grey."""
+    clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    x = F.floor(clip(col(value)) * 255) / 255
+    if name == "turbo":
+        channels = []
+        for k in TURBO:
+            sum_ = F.lit(k[-1])
+            for c in k[-2::-1]:
+                sum_ = sum_ * x + c
+            channels.append(sum_)
+    else:
+        channels = {"grey": [x] * 3, "heat": [x * 3 - k for k in range(3)], "rainbow": [1.5 - F.abs(x * 4 - k) for k in (3, 2, 1)]}[name]
+    return tuple(clip(c) * 255 for c in channels)
 
 
 def unpack_rgb(packed) -> tuple[Column, Column, Column]:

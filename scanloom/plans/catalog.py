@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.plans import clouds, models, spatial, tracks
+from scanloom.plans import clouds, models, rig, spatial, tracks
 from scanloom.sources import adapters
 
-PARTS = (clouds, tracks, spatial, models)
+PARTS = (clouds, tracks, spatial, models, rig)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,10 +175,10 @@ def _chroma(t):
 
 _GRID = " + ".join(f"({'fu' if k & 1 else '1 - fu'}) * ({'fv' if k & 2 else '1 - fv'}) * ({'fl' if k & 4 else '1 - fl'}) * ((((il + {k >> 2 & 1}) * 3 + iv + {k >> 1 & 1}) * 3 + iu + {k & 1}) * 3 % 7)" for k in range(8))
 add("m15_m16_m19_color_models", _chroma, f"""WITH u AS (SELECT *, r / (r + g + b) AS u, g / (r + g + b) AS v, least(floor(r * 2), 1) AS iu, least(floor(radius * 2), 1) AS iv, least(floor(b * 3), 2) AS il FROM observations),
-    w AS (SELECT *, 0.02 * u - 0.01 * v + 1 AS w, r * 2 - iu AS fu, radius * 2 - iv AS fv, b * 3 - il AS fl, floor(radius * 255) / 255 * 6 AS pos FROM u),
-    c AS (SELECT *, (1.02 * u + 0.01 * v - 0.005) / w AS nu, (0.98 * v + 0.004) / w AS nv, r + g + b AS t, CAST(least(floor(pos), 5) AS INTEGER) AS low, [48, 65, 26, 164, 251, 227, 122] AS stops FROM w)
+    w AS (SELECT *, 0.02 * u - 0.01 * v + 1 AS w, r * 2 - iu AS fu, radius * 2 - iv AS fv, b * 3 - il AS fl, floor(radius * 255) / 255 AS x FROM u),
+    c AS (SELECT *, (1.02 * u + 0.01 * v - 0.005) / w AS nu, (0.98 * v + 0.004) / w AS nv, r + g + b AS t FROM w)
     SELECT obs, point_id, {r('nu * t', 'cr', 5)}, {r('nv * t', 'cg', 5)}, {r('(1 - nu - nv) * t', 'cb', 5)}, {r('t', 'total', 5)}, {r(_GRID, 's0', 5)},
-      {r('stops[low + 1] * (1 - (pos - low)) + stops[low + 2] * (pos - low)', 'tr', 5)} FROM c""", "observations")
+      {r('255 * greatest(0, least(1, 0.13572138 + 4.61539260 * x - 42.66032258 * x ** 2 + 132.13108234 * x ** 3 - 152.94239396 * x ** 4 + 59.28637943 * x ** 5))', 'tr', 5)} FROM c""", "observations")
 add("m26_beam_cov", lambda t: rounded(t("points").select("point_id", *[c.alias(n) for c, n in zip(geo.beam_cov("x", "y", "z", 0.02, 0.05), ("xx", "xy", "xz", "yy", "yz", "zz"), strict=True)]), "xx", "xy", "xz", "yy", "yz", "zz", digits=9),
     f"""WITH d AS (SELECT *, x*x + y*y + z*z AS d2, {math.sin(math.radians(0.05)) ** 2!r} AS s FROM points)
     SELECT point_id, {r('x*x/d2*0.0004 + (d2 - x*x)*s', 'xx', 9)}, {r('x*y/d2*0.0004 - x*y*s', 'xy', 9)}, {r('x*z/d2*0.0004 - x*z*s', 'xz', 9)}, {r('y*y/d2*0.0004 + (d2 - y*y)*s', 'yy', 9)}, {r('y*z/d2*0.0004 - y*z*s', 'yz', 9)}, {r('z*z/d2*0.0004 + (d2 - z*z)*s', 'zz', 9)} FROM d""", "points")

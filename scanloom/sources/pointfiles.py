@@ -1,11 +1,12 @@
 """Point and pose files as Spark tables: PCD, PLY and LAS by byte ranges, text tables, and their sinks.
 
 Files are listed by Spark's readers, and fixed-width records are cut into ranges that tasks read on their own; a
-record's id is its place in the file. Local and shared paths are opened in tasks; other stores go through binaryFile.
+record's id is its place in the file. Tasks open files through Arrow's file systems.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -102,18 +103,27 @@ def _frame(path: str, rows: np.ndarray, first: int, scale: np.ndarray, offset: n
     return pd.DataFrame(out)
 
 
-def _open(path: str):
-    return open(path.removeprefix("file://").removeprefix("file:"), "rb")
+def file_system(path: str):
+    """Arrow's file system of a path or address, and the path in it."""
+    from pyarrow import fs
+
+    bare = path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
+    return (fs.LocalFileSystem(), bare) if bare.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str):
+    held, at = file_system(path)
+    return held.open_input_file(at)
 
 
 def _read(path: str, low: int, high: int) -> pd.DataFrame:
-    with _open(path) as file:
+    with open_file(path) as file:
         kind, n, at, text, scale, offset = _header(path, file.read(1 << 16))
         if text:
             if low:
                 return pd.DataFrame(columns=[c.split(" ")[0] for c in POINTS.split(", ")])
             file.seek(at)
-            body = np.loadtxt(file, max_rows=n, ndmin=2)
+            body = np.loadtxt(io.BytesIO(file.read()), max_rows=n, ndmin=2)
             rows = np.zeros(len(body), kind)
             for k, c in enumerate(kind.names):
                 rows[c] = body[:, k]
@@ -156,7 +166,7 @@ def cloud_counts(spark: SparkSession, glob: str) -> DataFrame:
         for rows in batches:
             out = []
             for path in rows["path"]:
-                with _open(path) as file:
+                with open_file(path) as file:
                     out.append((path, int(_header(path, file.read(1 << 16))[1])))
             yield pd.DataFrame(out, columns=["path", "n"])
 
@@ -170,7 +180,8 @@ def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.size(parts) >= 8))
     out = rows.select(*[parts[k].cast("double").alias(c) for k, c in enumerate(names)])
     n = F.sqrt(sum((F.col(c) * F.col(c) for c in names[4:]), F.lit(0.0)))
-    good = F.when(n > 0, n).otherwise(F.raise_error(F.lit("a quaternion has no length")))
+    finite = F.forall(F.array(*names), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    good = F.when(~finite, F.raise_error(F.lit("a pose is not finite"))).when(n > 0, n).otherwise(F.raise_error(F.lit("a quaternion has no length")))
     return out.withColumn("_n", good).withColumns({c: F.col(c) / F.col("_n") for c in names[4:]}).drop("_n")
 
 
@@ -178,9 +189,11 @@ def read_scan_ranges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("t double, point_start long, point_count long").option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Names and times of a JSON map."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>", {"mode": "FAILFAST"})).alias("name", "t"))
+def read_frames(spark: SparkSession, path: str, fps: float | None = None) -> DataFrame:
+    """Names and times of a JSON map; a null time is that of the name's number, from 1, at fps frames a second."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>", {"mode": "FAILFAST"})).alias("name", "t"))
+    number = F.regexp_extract("name", r"([0-9]+)[^0-9]*$", 1).cast("double")
+    return rows if fps is None else rows.withColumn("t", F.coalesce("t", (number - 1) / fps))
 
 
 def read_sfm_points(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +201,7 @@ def read_sfm_points(spark: SparkSession, path: str) -> DataFrame:
     p = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(p) >= 8))
     rest = F.slice(p, 9, 1 << 20)
-    track = F.transform(F.sequence(F.lit(0), F.size(rest) / 2 - 1), lambda k: F.struct(rest[(2 * k).cast("int")].cast("long").alias("image_id"), rest[(2 * k + 1).cast("int")].cast("int").alias("idx")))
+    track = F.transform(F.sequence(F.lit(0), (F.size(rest) / 2 - 1).cast("int")), lambda k: F.struct(rest[2 * k].cast("long").alias("image_id"), rest[2 * k + 1].cast("int").alias("idx")))
     return rows.select(p[0].cast("long").alias("point_id"), *[p[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")], *[p[k + 4].cast("int").alias(c) for k, c in enumerate("rgb")], p[7].cast("double").alias("error"), F.when(F.size(rest) >= 2, track).otherwise(F.array().cast("array<struct<image_id:bigint,idx:int>>")).alias("track"))
 
 
@@ -210,15 +223,165 @@ def unpack_livox(messages: DataFrame, raw: str = "raw") -> DataFrame:
     return messages.mapInPandas(unpack, head + "idx long, x double, y double, z double, intensity double, tag int, line int, rel_ms double")
 
 
-def write_ply(points: DataFrame, path: str) -> None:
-    """Text bodies in order of ids, by range, with a header file; parts concatenate to one PLY file in name order."""
-    n = points.count()
-    kinds = ["double x", "double y", "double z", "uchar red", "uchar green", "uchar blue"]
-    head = ["ply", "format ascii 1.0", f"element vertex {n}", *[f"property {k}" for k in kinds], "end_header"]
-    spark = points.sparkSession
-    spark.createDataFrame([(x,) for x in ["\n".join(head)]], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/0-header")
-    channel = [F.bround(F.col(c) * 255).cast("int").cast("string") for c in "rgb"]
-    points.orderBy("point_id").select(F.concat_ws(" ", *[F.format_string("%.6f", c) for c in "xyz"], *channel).alias("value")).write.mode("errorifexists").text(f"{path}/1-body")
+#: Points of an output file, all of which a task holds at once.
+PART_ROWS = 1_000_000
+
+
+def _pcd_bytes(p: pd.DataFrame, wide: bool, lit: bool, offset: tuple) -> bytes:
+    size, kind = ("8", "<f8") if wide else ("4", "<f4")
+    names = ["x", "y", "z", "rgb", *["intensity"] * lit]
+    head = [f"VERSION .7\nFIELDS {' '.join(names)}", "SIZE " + " ".join("4" if c == "rgb" else size for c in names), "TYPE " + " ".join("F" * len(names)), "COUNT " + " ".join("1" * len(names)), f"WIDTH {len(p)}\nHEIGHT 1\nPOINTS {len(p)}\nDATA binary\n"]
+    rows = np.zeros(len(p), [(c, "<u4" if c == "rgb" else kind) for c in names])
+    for c in names:
+        rows[c] = p["r"].to_numpy("u4") << 16 | p["g"].to_numpy("u4") << 8 | p["b"].to_numpy("u4") if c == "rgb" else p[c]
+    return "\n".join(head).encode() + rows.tobytes()
+
+
+def _ply_bytes(p: pd.DataFrame, wide: bool, lit: bool, offset: tuple) -> bytes:
+    kinds = [*(("double", c, "<f8", c) for c in "xyz"), ("uchar", "red", "u1", "r"), ("uchar", "green", "u1", "g"), ("uchar", "blue", "u1", "b"), *[("double", "intensity", "<f8", "intensity")] * lit]
+    head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(p)}", *(f"property {k} {n}" for k, n, _, _ in kinds), "end_header\n"]
+    rows = np.zeros(len(p), [(n, t) for _, n, t, _ in kinds])
+    for _, n, _, c in kinds:
+        rows[n] = p[c]
+    return "\n".join(head).encode() + rows.tobytes()
+
+
+def _las_bytes(p: pd.DataFrame, wide: bool, lit: bool, offset: tuple) -> bytes:
+    """LAS 1.4, point format 7, millimetres."""
+    kind = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("class", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")])
+    rows, bounds = np.zeros(len(p), kind), []
+    for k, c in enumerate("xyz"):
+        rows[c] = np.rint((p[c].to_numpy() - offset[k]) / 0.001)
+        stored = rows[c] * 0.001 + offset[k]
+        bounds += [stored.max(), stored.min()]
+    for c in "rgb":
+        rows[c] = p[c].to_numpy("u2") * 257
+    if lit:
+        rows["intensity"] = np.clip(np.rint(p["intensity"]), 0, 65535)
+    head = struct.pack("<4sHH16sBB32s32sHHHIIBHI5I", b"LASF", 0, 16, bytes(16), 1, 4, b"", b"", 1, 2024, 375, 375, 0, 7, kind.itemsize, 0, *[0] * 5)
+    return head + struct.pack("<12dQQIQ15Q", *[0.001] * 3, *offset, *bounds, 0, 0, 0, len(p), *[0] * 15) + rows.tobytes()
+
+
+def write_cloud(points: DataFrame, path: str, kind: str, rows: int = PART_ROWS) -> DataFrame:
+    """Points (colours 0 to 1) as pcd, ply or las files of so many points at most, by ranges of ids: path, n and first id of each.
+
+    Every file is whole by itself, with its own header; a cloud that fits one file gives one. PCD coordinates are doubles
+    where any is beyond 100,000; LAS offsets are whole thousands below the least coordinates. A file appears under its name
+    when it is complete, so a task that runs again does no harm. A null intensity column is left out. Writes at once.
+    """
+    make = {"pcd": _pcd_bytes, "ply": _ply_bytes, "las": _las_bytes}[kind]
+    s = points.agg(F.count("*").alias("n"), F.max(F.greatest(*[F.abs(c) for c in "xyz"])).alias("most"), *[F.min(c).alias(c) for c in "xyz"], F.count("intensity").alias("lit") if "intensity" in points.columns else F.lit(0).alias("lit")).first()
+    if not s["n"]:
+        raise ValueError("the cloud has no points")
+    offset = tuple(float(np.floor(s[c] / 1000) * 1000) for c in "xyz")
+    wide, lit, parts = s["most"] > 100_000, s["lit"] > 0, -(-s["n"] // max(1, rows * 3 // 4))  # ranges are uneven by a part
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        held = pd.concat(list(batches))
+        task = TaskContext.get()
+        for k, low in enumerate(range(0, len(held), rows)):
+            part = held.iloc[low : low + rows]
+            where, at = file_system(f"{path}/part-{task.partitionId():05d}-{k:03d}.{kind}")
+            where.create_dir(at.rpartition("/")[0])
+            with where.open_output_stream(f"{at}.{task.taskAttemptId()}") as file:
+                file.write(make(part, wide, lit, offset))
+            where.move(f"{at}.{task.taskAttemptId()}", at)
+            yield pd.DataFrame([(at, len(part), int(part["point_id"].iloc[0]))], columns=["path", "n", "first_id"])
+
+    channel = [F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0)))) * 255).cast("int").alias(c) for c in "rgb"]
+    ready = points.select("point_id", *"xyz", *channel, *["intensity"] * lit).repartitionByRange(parts, "point_id").sortWithinPartitions("point_id")
+    done = ready.mapInPandas(write, "path string, n long, first_id long").collect()  # one row a file
+    return points.sparkSession.createDataFrame(done, "path string, n long, first_id long")
+
+
+def write_ply(points: DataFrame, path: str) -> DataFrame:
+    return write_cloud(points, path, "ply")
+
+
+def seed_points(points: DataFrame) -> DataFrame:
+    """Points (colours 0 to 1) as a model's seed: ids from 1 by the order of ids, 8-bit colours, error 0.1 and no track."""
+    from scanloom.operators.clouds import dense_rank_by_key
+
+    channel = [F.bround(F.col(c) * 255).cast("int").alias(c) for c in "rgb"]
+    return dense_rank_by_key(points, "point_id", "_rank").select((F.col("_rank") + 1).alias("id"), *"xyz", *channel, F.lit(0.1).alias("error"))
+
+
+def write_seed_text(points: DataFrame, path: str) -> None:
+    """A seed as text parts that concatenate to one model file in name order."""
+    seed = seed_points(points).repartitionByRange("id").sortWithinPartitions("id")
+    seed.select(F.concat_ws(" ", "id", *[F.format_string("%.6f", c) for c in "xyz"], *"rgb", F.format_string("%.4f", "error")).alias("value")).write.mode("errorifexists").text(path)
+
+
+_SEED = np.dtype([("id", "<u8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("error", "<f8"), ("track", "<u8")])
+
+
+def write_seed_bin(points: DataFrame, path: str) -> DataFrame:
+    """A seed as binary parts that concatenate to one model file in name order: path and n of each. The first has the count in front."""
+    seed = seed_points(points).select("id", *"xyz", *"rgb", "error")
+    total = points.count()
+    parts = -(-total // PART_ROWS) or 1
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        held, task = pd.concat(list(batches)), TaskContext.get()
+        if len(held):
+            rows = np.zeros(len(held), _SEED)
+            for c in held.columns:
+                rows[c] = held[c]
+            where, at = file_system(f"{path}/points3D-{task.partitionId():05d}.bin")
+            where.create_dir(at.rpartition("/")[0])
+            with where.open_output_stream(f"{at}.{task.taskAttemptId()}") as file:
+                file.write((struct.pack("<Q", total) if held["id"].iloc[0] == 1 else b"") + rows.tobytes())
+            where.move(f"{at}.{task.taskAttemptId()}", at)
+            yield pd.DataFrame([(at, len(held))], columns=["path", "n"])
+
+    done = seed.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInPandas(write, "path string, n long").collect()
+    return points.sparkSession.createDataFrame(done, "path string, n long")
+
+
+def write_gpx(fixes: DataFrame, path: str, creator: str = "scanloom") -> None:
+    """A GPX document a session, in one folder each: a track of the fixes (lat, lon, alt, t) in order of time."""
+    stamp = F.date_format(F.timestamp_millis(F.round(F.col("t") * 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    point = F.concat(F.lit('<trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('"><ele>'), F.coalesce(F.col("alt").cast("string"), F.lit("0.0")), F.lit("</ele><time>"), stamp, F.lit("</time></trkpt>"))
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="{creator}"><trk><trkseg>'
+    lines = fixes.select("session", F.lit(1).alias("_o"), "t", point.alias("value"))
+    ends = fixes.select("session").distinct()
+    for order, text in ((0, head), (2, "</trkseg></trk></gpx>")):
+        lines = lines.unionByName(ends.select("session", F.lit(order).alias("_o"), F.lit(0.0).alias("t"), F.lit(text).alias("value")))
+    lines.repartition("session").sortWithinPartitions("session", "_o", "t").select("session", "value").write.mode("errorifexists").partitionBy("session").text(path)
+
+
+def geotagged(images: DataFrame) -> DataFrame:
+    """Image places with fixed decimals."""
+    form = {"latitude": 8, "longitude": 8, "altitude_m": 3, "heading_deg": 2, "easting_m": 3, "northing_m": 3}
+    return images.select(F.col("name").alias("image"), *[F.format_string(f"%.{d}f", F.col(c).cast("double")).alias(c) for c, d in form.items()])
+
+
+def write_geotagged_csv(images: DataFrame, path: str) -> None:
+    geotagged(images).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def world_file(cells: DataFrame, gsd: float, x0: float, y1: float) -> DataFrame:
+    """One row about a raster (row, col, z): the six lines of its world file, bounds, size, coverage and range of heights."""
+    width, height = F.max("col") + 1, F.max("row") + 1
+    lines = "".join(f"{v:.8f}\n" for v in (gsd, 0, 0, -gsd, x0 + gsd / 2, y1 - gsd / 2))
+    return cells.agg(
+        F.lit(lines).alias("world"), width.alias("width"), height.alias("height"), F.lit(x0).alias("min_x"), (y1 - height * gsd).alias("min_y"), (x0 + width * gsd).alias("max_x"), F.lit(y1).alias("max_y"),
+        (100 * F.count("*") / (width * height)).alias("coverage"), F.min("z").alias("min_z"), F.max("z").alias("max_z"),
+    )
+
+
+def measurement_rows(measurements: DataFrame) -> DataFrame:
+    """A row for each vertex of measurements (measurement, type, value, unit, points)."""
+    rows = measurements.select("measurement", "type", "value", "unit", F.posexplode("points").alias("at", "p"))
+    return rows.select("measurement", "type", "value", "unit", (F.col("at") + 1).alias("vertex"), "p.cloud", "p.source", F.col("p.point_id").alias("point_index"), "p.x", "p.y", "p.z")
+
+
+def write_measurements(measurements: DataFrame, path: str) -> None:
+    measurement_rows(measurements).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def write_gps_csv(gps: DataFrame, path: str) -> None:
