@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
