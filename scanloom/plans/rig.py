@@ -54,7 +54,8 @@ def _drift(t):
 add("j23_pose_deltas", lambda t: rounded(op.pose_deltas(_matched(t), t("trajectory")).select("session", "t", "px", "py", "pz", "qw"), "px", "py", "pz", "qw", digits=5),
     "SELECT session, t, 1.0::DOUBLE AS px, 2.0::DOUBLE AS py, -1.0::DOUBLE AS pz, 1.0::DOUBLE AS qw FROM trajectory WHERE CAST(floor(t) AS BIGINT) % 5 = 0 AND session <> 3", "trajectory")
 add("j23_drift_correct", _drift,
-    f"SELECT session, t, {r('px + CASE WHEN session = 3 THEN 0 ELSE 1 END', 'px', 5)}, {r('py + CASE WHEN session = 3 THEN 0 ELSE 2 END', 'py', 5)}, {r('pz - CASE WHEN session = 3 THEN 0 ELSE 1 END', 'pz', 5)}, {r('qw', 'qw', 5)} FROM trajectory", "trajectory")
+    f"""WITH d AS (SELECT session FROM trajectory WHERE CAST(floor(t) AS BIGINT) % 5 = 0 AND session <> 3 GROUP BY 1 HAVING count(*) >= 2), p AS (SELECT *, CASE WHEN session IN (SELECT session FROM d) THEN 1 ELSE 0 END AS moved FROM trajectory)
+    SELECT session, t, {r('px + moved', 'px', 5)}, {r('py + 2 * moved', 'py', 5)}, {r('pz - moved', 'pz', 5)}, {r('qw', 'qw', 5)} FROM p""", "trajectory")
 
 
 def _mounts(t):
