@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.operators.quantiles import exact_percentiles, percentile_row
+
 XYZ = ("x", "y", "z")
 
 
@@ -124,11 +126,10 @@ def default_clip_box(points: DataFrame, share: float = 0.02, least: float = 0.2)
 
 def crop_percentile(points: DataFrame, low: float = 1.0, high: float = 99.0, along: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Inside the percentiles of each axis, then within a share of the extent along the main horizontal direction."""
-    bounds = points.agg(*[F.percentile(c, F.lit(p / 100)).alias(f"{c}_{n}") for c in XYZ for n, p in (("lo", low), ("hi", high))])
-    inner = points.crossJoin(F.broadcast(bounds))
+    bounds = exact_percentiles(points, {f"{c}_{n}": (F.col(c), p / 100) for c in XYZ for n, p in (("lo", low), ("hi", high))})
+    inner = points
     for c in XYZ:
-        inner = inner.where(F.col(c).between(F.col(f"{c}_lo"), F.col(f"{c}_hi")))
-    inner = inner.select(*points.columns)
+        inner = inner.where(F.col(c).between(F.lit(bounds[f"{c}_lo"]), F.lit(bounds[f"{c}_hi"])))
     spread = inner.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.atan2(2 * F.covar_samp("x", "y"), F.var_samp("x") - F.var_samp("y")) / 2).alias("turn"))
     rows = inner.crossJoin(F.broadcast(spread)).withColumn("_s", (F.col("x") - F.col("mx")) * F.cos("turn") + (F.col("y") - F.col("my")) * F.sin("turn"))
     ends = rows.agg(F.min("_s").alias("_a"), F.max("_s").alias("_b"))
@@ -243,7 +244,7 @@ def split_halves(rows: DataFrame, seed: int = 0, key: str = "point_id") -> DataF
 
 def color_range(points: DataFrame, column: str, low: float = 0.5, high: float = 99.5) -> DataFrame:
     """Exact percentiles between which a colour scale runs; equal ends are set one apart."""
-    out = points.agg(F.percentile(column, F.lit(low / 100)).alias("low"), F.percentile(column, F.lit(high / 100)).alias("high"))
+    out = percentile_row(points, {"low": (F.col(column), low / 100), "high": (F.col(column), high / 100)})
     return out.withColumn("high", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1))
 
 
@@ -301,7 +302,8 @@ def rgb_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def rgb_stats(diff: DataFrame) -> DataFrame:
     """Changed records, and mean, 95th percentile and maximum of each channel's change, and the mean distance."""
     moved = (F.col("dr") != 0) | (F.col("dg") != 0) | (F.col("db") != 0)
-    stats = [f(F.abs(f"d{c}")).alias(f"{n}_{c}") for c in "rgb" for n, f in (("mean", F.avg), ("p95", lambda v: F.percentile(v, F.lit(0.95))), ("max", F.max))]
+    p95 = exact_percentiles(diff, {c: (F.abs(f"d{c}"), 0.95) for c in "rgb"})
+    stats = [v.alias(f"{n}_{c}") for c in "rgb" for n, v in (("mean", F.avg(F.abs(f"d{c}"))), ("p95", F.lit(p95[c]).cast("double")), ("max", F.max(F.abs(f"d{c}"))))]
     far = F.sqrt(F.col("dr") * F.col("dr") + F.col("dg") * F.col("dg") + F.col("db") * F.col("db"))
     return diff.agg(F.count("*").alias("n"), F.count_if(moved).alias("changed"), *stats, F.avg(far).alias("mean_distance"))
 

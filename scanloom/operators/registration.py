@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.operators.lineage import checkpoint
+from scanloom.operators.quantiles import exact_percentiles
+
 _S, _T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 
 
@@ -152,9 +155,11 @@ def icp(source: DataFrame, target: DataFrame, gates: Sequence[float] = (1.5, 0.7
     for gate in gates:
         x, y, z = apply_rt("x", "y", "z", rotation.ravel().tolist(), shift.tolist())
         moved = source.select("point_id", x.alias("x"), y.alias("y"), z.alias("z"))
-        near = nn_join(moved, target.select("point_id", "x", "y", "z"), gate)
-        limit = near.agg(F.percentile("d", F.lit(trim)).alias("_limit"))
-        kept = near.crossJoin(F.broadcast(limit)).where(F.col("d") <= F.col("_limit"))
+        near = checkpoint(nn_join(moved, target.select("point_id", "x", "y", "z"), gate))
+        limit = exact_percentiles(near, {"d": (F.col("d"), trim)})["d"]
+        if limit is None:
+            break
+        kept = near.where(F.col("d") <= limit)
         pairs = kept.select(*[F.col(c).alias(f"s{c}") for c in "xyz"], *[F.col(f"{c}_b").alias(f"t{c}") for c in "xyz"])
         fit = umeyama(pairs, (), scale=False).first()
         if fit is None or fit["n"] < 3:
@@ -198,23 +203,18 @@ def edge_residuals(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("s
     return out.withColumn("cost", w).select(*keys, "i", "j", "kind", "off_m", "off_deg", "cost")
 
 
-def components(edges: DataFrame, a: str = "i", b: str = "j", rounds: int = 50) -> DataFrame:
-    """(id, component): the least id that each id can reach. Labels halve their paths each round; rounds go through a checkpoint."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
+    """(id, component): the least id that each id can reach. Labels halve their paths each round; rounds go through a checkpoint, until none moves."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
-    for _ in range(rounds):
+    both = checkpoint(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    while True:
         near = both.join(label.select(F.col("u").alias("v"), F.col("m").alias("mv")), "v").groupBy("u").agg(F.min("mv").alias("mv"))
         step = label.join(near, "u", "left").select("u", F.least("m", F.coalesce("mv", "m")).alias("m"))
-        jump = step.join(step.select(F.col("u").alias("m"), F.col("m").alias("mm")), "m", "left").select("u", F.least("m", F.coalesce("mm", "m")).alias("m"), F.col("m").alias("_m")).checkpoint()
-        moved = jump.join(label.withColumnRenamed("m", "was"), "u").where(F.col("was") != F.col("m")).isEmpty()
-        label = jump.select("u", "m")
-        if moved:
+        jump = checkpoint(step.join(step.select(F.col("u").alias("m"), F.col("m").alias("mm")), "m", "left").select("u", F.least("m", F.coalesce("mm", "m")).alias("m")))
+        settled = jump.join(label.withColumnRenamed("m", "was"), "u").where(F.col("was") != F.col("m")).isEmpty()
+        label = jump
+        if settled:
             break
     return label.select(F.col("u").alias("id"), F.col("m").alias("component"))
 

@@ -6,13 +6,13 @@ cell's edge meet. Cells are as wide as the radius; dense clouds are thinned to v
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from scanloom.operators.lineage import checkpoint
 
 _AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
@@ -240,17 +240,14 @@ def greedy_cap(pairs: DataFrame, cap: int, keys: Sequence[str] = ("session",)) -
     then nothing that is still open can stop it. Open pairs of full nodes are not accepted. The first open pair is
     always decided. Each round ranks the pairs of one node, never those of a whole session.
     """
-    spark = pairs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     order = ["distance", "_l", "i", "j", "_id"]
-    left = pairs.withColumns({"_id": F.monotonically_increasing_id(), "_l": -F.col("dt"), "_ri": F.lit(cap), "_rj": F.lit(cap)}).checkpoint()
+    left = checkpoint(pairs.withColumns({"_id": F.monotonically_increasing_id(), "_l": -F.col("dt"), "_ri": F.lit(cap), "_rj": F.lit(cap)}))
     out = None
     while not left.isEmpty():
         ends = left.select(*keys, *order, F.explode(F.array(F.struct(F.col("i").alias("node"), F.col("_ri").alias("room")), F.struct(F.col("j").alias("node"), F.col("_rj").alias("room")))).alias("_e")).select(*keys, *order, "_e.*")
         place = F.row_number().over(Window.partitionBy(*keys, "node").orderBy(*order))
         free = ends.withColumn("_ok", place <= F.col("room")).groupBy("_id").agg(F.min("_ok").alias("_free"), F.min("room").alias("_room"))
-        now = left.join(free, "_id").withColumn("accepted", F.when(F.col("_room") <= 0, False).when(F.col("_free"), True)).checkpoint()
+        now = checkpoint(left.join(free, "_id").withColumn("accepted", F.when(F.col("_room") <= 0, False).when(F.col("_free"), True)))
         done = now.where("accepted is not null").select(*pairs.columns, "accepted")
         out = done if out is None else out.unionByName(done)
         taken = now.where("accepted").select(*keys, F.explode(F.array("i", "j")).alias("_n")).groupBy(*keys, "_n").agg(F.count("*").alias("_t"))
@@ -258,5 +255,5 @@ def greedy_cap(pairs: DataFrame, cap: int, keys: Sequence[str] = ("session",)) -
         for end in "ij":
             own = taken.select(*keys, F.col("_n").alias(end), "_t")
             left = left.join(own, [*keys, end], "left").withColumn(f"_r{end}", (F.col(f"_r{end}") - F.coalesce("_t", F.lit(0))).cast("int")).drop("_t")
-        left = left.checkpoint()
+        left = checkpoint(left)
     return pairs.limit(0).withColumn("accepted", F.lit(False)) if out is None else out
