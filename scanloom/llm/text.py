@@ -163,12 +163,16 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (as in tests) a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a new local one, on a local master (as in tests) only."""
     context = spark.sparkContext
     if found := context._jsc.sc().getCheckpointDir():
         if found.isDefined():
             return found.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(folder)
     return folder
 
