@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontam, langid, licenses, lm, media, neardup, packing, pii, substrings, urls
+from scanloom.llm import decontam, langid, lattice, lexical, licenses, lm, media, neardup, packing, pii, runs, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_substring_dedup, op4_minhash_dedup, op5_pseudo_likelihood, op6_audio_features, op7_pii, op8_packing, op9_url_filter, op10_decontamination)}
+def _planted(docs: DataFrame) -> DataFrame:
+    """Documents in which those with a crc32 divisible by ten repeat a stretch of their own words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    text = F.expr("array_join(transform(sequence(0, n - 1), i -> w[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_planted(_table(spark, sf_dir, "documents")), keep_text=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op12_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_language_id, op3_substring_dedup, op4_minhash_dedup, op5_pseudo_likelihood, op6_audio_features, op7_pii, op8_packing,
+        op9_url_filter, op10_decontamination, op11_periodic_runs, op12_lattice_dedup, op13_ranked_search,
+    )
+}
 
 _SUBSTRINGS = r"""
 WITH w AS (
@@ -124,5 +154,82 @@ SELECT page_id, host, path, rule, CASE
 FROM j
 """
 
+_RUNS = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), bits AS (
+  SELECT i::BIGINT AS i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) AS t(i)
+), crc AS (
+  SELECT list(v ORDER BY i) AS t FROM bits
+), h AS (
+  SELECT doc_id, words, len(words) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h FROM d, crc
+), g AS (
+  SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h
+), planted AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS words FROM g
+), w AS (
+  SELECT doc_id, n, unnest(words) AS word, unnest(range(n)) AS i FROM planted
+), same AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island, x.i
+  FROM w AS x JOIN w AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), stretch AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM same GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(24, 3 * p)
+), run AS (
+  SELECT doc_id, start, length, min(p) AS period FROM stretch GROUP BY doc_id, start, length
+), top AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS r FROM run
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS all_runs FROM run GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.start, top.length, top.period, 1000 * top.length // top.period AS exponent_milli,
+  sha256(coalesce(all_runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents AS d LEFT JOIN listed USING (doc_id) LEFT JOIN (SELECT * FROM top WHERE r = 1) AS top USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_VECTORS = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), root AS (
+  SELECT a AS vec_id, min(b) AS least FROM reach GROUP BY a
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(root.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(root.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN root USING (vec_id)
+"""
+
+_RANKED = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), total AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), posting AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posting, total GROUP BY term, n_docs
+), score AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN posting USING (term) JOIN weight USING (term), total GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM score WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
 #: The other operators' results rest on trained models, tokenizers or automata that SQL can't express; tests hold them against brute force.
-ORACLES = {"op3_substring_dedup": _SUBSTRINGS, "op4_minhash_dedup": _NEAR, "op9_url_filter": _URLS}
+ORACLES = {
+    "op3_substring_dedup": _SUBSTRINGS, "op4_minhash_dedup": _NEAR, "op9_url_filter": _URLS, "op11_periodic_runs": _RUNS, "op12_lattice_dedup": _VECTORS,
+    "op13_ranked_search": _RANKED,
+}
