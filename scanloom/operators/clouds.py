@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.operators.quantiles import exact_percentiles, percentile_row
+from scanloom.operators.series import Series
 
 XYZ = ("x", "y", "z")
 
@@ -197,18 +198,10 @@ def extent(points: DataFrame, *keys: str) -> DataFrame:
     return points.rollup(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in XYZ for n, f in (("min", F.min), ("max", F.max))], F.count("*").alias("n"))
 
 
-def dense_rank_by_key(rows: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
-    """Positions 0, 1, ... in the order of a unique key without a single-partition sort.
-
-    Keys are dealt by range; each range is ranked on its own, after the rows of the ranges before it.
-    """
-    bounds = rows.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    width = (F.col("_hi").cast("double") - F.col("_lo").cast("double") + 1) / buckets
-    dealt = rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.least(F.floor((F.col(key).cast("double") - F.col("_lo").cast("double")) / width), F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
-    counts = dealt.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return dealt.join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + local).drop("_b", "_before")
+def dense_rank_by_key(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Positions 0, 1, ... in the order of a unique key without a single-partition sort: stretches at the key's quantiles are ranked apart."""
+    series = Series(rows, (), key)
+    return series.ranked(series.rows, name).drop("_cut")
 
 
 def sample_even(points: DataFrame, percent: float, cap: int | None = None) -> DataFrame:

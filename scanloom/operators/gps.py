@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as geo
 from scanloom.functions.naming import iso_ms
+from scanloom.operators.series import Series
 
 
 def gps_valid() -> Column:
@@ -52,8 +53,8 @@ def track_stats(gps: DataFrame, zone: int, south: bool, keys: Sequence[str] = ("
     """Mean place, bounds, length in metres and seconds of each series of unique valid fixes."""
     fixes = dedupe_fixes(signed_fixes(gps.where(gps_valid())), keys)
     e, n = geo.to_utm("lat", "lon", zone, south)
-    w = Window.partitionBy(*keys).orderBy("t", "event_id", "copy")
-    steps = fixes.withColumns({"e": e, "n": n}).withColumn("step", F.sqrt(F.pow(F.col("e") - F.lag("e").over(w), 2) + F.pow(F.col("n") - F.lag("n").over(w), 2)))
+    series = Series(fixes.withColumns({"e": e, "n": n}), keys, "t", "event_id", "copy")
+    steps = series.lag(series.rows, _e=F.col("e"), _n=F.col("n")).withColumn("step", F.sqrt(F.pow(F.col("e") - F.col("_e"), 2) + F.pow(F.col("n") - F.col("_n"), 2)))
     return steps.groupBy(*keys).agg(
         F.count("*").alias("n_fixes"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("e").alias("e0"), F.max("e").alias("e1"),
         F.min("n").alias("n0"), F.max("n").alias("n1"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"), (F.max("t") - F.min("t")).alias("seconds"),
@@ -62,10 +63,12 @@ def track_stats(gps: DataFrame, zone: int, south: bool, keys: Sequence[str] = ("
 
 def gap_segments(gps: DataFrame, gap: float = 10.0, keys: Sequence[str] = ("session",)) -> DataFrame:
     """Fixes with the number of their segment: a new one begins after a gap, or across the antimeridian. Segments of one fix go."""
-    w = Window.partitionBy(*keys).orderBy("t", "event_id")
-    new = (F.col("t") - F.lag("t").over(w) > gap) | (F.abs(F.col("lon") - F.lag("lon").over(w)) > 180)
-    out = gps.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("segment", F.sum("_new").over(w))
-    return out.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "segment"))).where("_n >= 2").drop("_new", "_n")
+    series = Series(gps, keys, "t", "event_id")
+    rows = series.lag(series.rows, _t=F.col("t"), _lon=F.col("lon"))
+    new = (F.col("t") - F.col("_t") > gap) | (F.abs(F.col("lon") - F.col("_lon")) > 180)
+    out = series.running(rows, segment=F.coalesce(new, F.lit(False)).cast("int")).drop("_t", "_lon", "_cut")
+    long = out.groupBy(*keys, "segment").agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+    return out.join(long, [*keys, "segment"], "left_semi").select(*gps.columns, "segment")
 
 
 def timestamps(gps: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators.lineage import checkpoint
 from scanloom.operators.quantiles import exact_percentiles
+from scanloom.operators.series import Series, small
 
 _S, _T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 
@@ -175,8 +176,8 @@ def blocked_cv(rows: DataFrame, folds: int = 5, purge: int = 5, keys: Sequence[s
 
     rows: t and pairs sx..tz. Returns rmse, median and 90th percentile by fold.
     """
-    w = Window.partitionBy(*keys).orderBy("t", "id")
-    ranked = rows.withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    series = Series(rows, keys, "t", "id")
+    ranked = series.ranked(series.rows, "_k").drop("_cut").join(small(rows.groupBy(*keys).agg(F.count("*").alias("_n"))), list(keys))
     ranked = ranked.withColumn("fold", F.floor(F.col("_k") * folds / F.col("_n")).cast("int"))
     edges = ranked.groupBy(*keys, "fold").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b"))
     train = ranked.drop("fold").join(edges, list(keys)).where((F.col("_k") < F.col("_a") - purge) | (F.col("_k") > F.col("_b") + purge))

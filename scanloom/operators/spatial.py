@@ -1,7 +1,8 @@
-"""Neighbour joins over a hashed grid, and the geometry of neighbourhoods.
+"""Neighbour joins over a hashed grid or a tree of cells, and the geometry of neighbourhoods.
 
-A kd-tree is rewritten as an equi-join: each row of one side goes to the 27 cells about its own, so that rows within a
-cell's edge meet. Cells are as wide as the radius; dense clouds are thinned to voxels first, which bounds a cell's rows.
+A radius join is an equi-join: each row of one side goes to the 27 cells about its own, so that rows within a cell's edge
+meet. Cells are as wide as the radius; crowded ones are dealt into parts, so that no task has a whole one. Nearest rows
+come from a descent through cells that follow the density (`neighbours`), which never forms the pairs of a crowded cell.
 """
 
 from __future__ import annotations
@@ -12,55 +13,67 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.operators import neighbours
 from scanloom.operators.lineage import checkpoint
 
-_AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+_AROUND = neighbours._AROUND
+#: Rows of a cell that one task of a radius join has at most, in the mean.
+CROWD = 512
 
 
 def _cells(size: float) -> dict[str, Column]:
     return {f"_k{c}": F.floor(F.col(c) / size).cast("long") for c in "xyz"}
 
 
-def radius_join(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str] = ()) -> DataFrame:
+def radius_join(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str] = (), crowd: int = CROWD) -> DataFrame:
     """All pairs within the radius (included): columns of a, those of b with a suffix _b, and the distance d.
 
-    The smaller side should be a; it is the one whose rows go to 27 cells.
+    The smaller side should be a; it is the one whose rows go to 27 cells. Cells of b with more than crowd rows are dealt
+    into parts by a hash of the row, and rows of a go to all parts of such a cell: what they are compared with stays the
+    same, but the work of one cell is spread over many keys.
     """
-    steps = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(s, "ijk", strict=True)]) for s in _AROUND])
-    left = a.withColumns(_cells(radius)).withColumn("_s", F.explode(steps))
-    left = left.withColumns({"_kx": F.col("_kx") + F.col("_s.i"), "_ky": F.col("_ky") + F.col("_s.j"), "_kz": F.col("_kz") + F.col("_s.k")}).drop("_s")
+    cell = [*keys, "_kx", "_ky", "_kz"]
+    left = neighbours.around(a.withColumns(_cells(radius)), ("_kx", "_ky", "_kz"))
     right = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in keys])
     right = right.withColumns({f"_k{c}": F.floor(F.col(f"{c}_b") / radius).cast("long") for c in "xyz"})
+    counts = right.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd)
+    counts = checkpoint(counts.select(*cell, F.ceil(F.col("_n") / crowd).cast("int").alias("_parts")))  # a row for crowd rows of b, at most
+    if counts.isEmpty():
+        met = left.join(right, cell)
+    else:
+        own = F.pmod(F.xxhash64(*[c for c in right.columns if not c.startswith("_k")]), F.coalesce("_parts", F.lit(1))).cast("int")
+        right = right.join(counts, cell, "left").withColumn("_part", own).drop("_parts")
+        left = left.join(counts, cell, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        met = left.join(right, [*cell, "_part"]).drop("_part")
     d2 = sum((F.pow(F.col(c) - F.col(f"{c}_b"), 2) for c in "xyz"), F.lit(0.0))
-    return left.join(right, [*keys, "_kx", "_ky", "_kz"]).withColumn("_d2", d2).where(F.col("_d2") <= radius * radius).withColumn("d", F.sqrt("_d2")).drop("_kx", "_ky", "_kz", "_d2")
+    return met.withColumn("_d2", d2).where(F.col("_d2") <= radius * radius).withColumn("d", F.sqrt("_d2")).drop("_kx", "_ky", "_kz", "_d2")
 
 
 def nn_join(source: DataFrame, target: DataFrame, gate: float, keys: Sequence[str] = (), key: str = "point_id") -> DataFrame:
-    """The nearest target within the gate of each source row (ties: least key): an aggregate of the pairs, without a sort of them."""
-    pairs = radius_join(source, target, gate, keys)
-    rest = [c for c in pairs.columns if c not in (*source.columns, "d", f"{key}_b")]
-    best = pairs.groupBy(*keys, key).agg(F.min(F.struct("d", F.col(f"{key}_b"), *rest)).alias("_n"))
-    return source.join(best.select(*keys, key, "_n.*"), [*keys, key])
+    """The nearest target within the gate of each source row (ties: least key): columns of source, those of target with a suffix _b, and d.
+
+    Source rows at one place are searched once. Further columns of the target are joined by its key and place.
+    """
+    place = [*keys, "x", "y", "z"]
+    near = neighbours.nearest(source, target, 1, key, gate=gate, keys=keys)
+    near = near.select(*place, *[F.get("near", F.lit(0))[f].alias(n) for f, n in (("d", "d"), ("id", f"{key}_b"), ("x_b", "x_b"), ("y_b", "y_b"), ("z_b", "z_b"))])
+    more = [c for c in target.columns if c not in (*keys, key, "x", "y", "z")]
+    if more:
+        rows = target.groupBy(*keys, F.col(key).alias(f"{key}_b"), *[F.col(c).cast("double").alias(f"{c}_b") for c in "xyz"]).agg(F.min(F.struct(*[F.col(c).alias(f"{c}_b") for c in more])).alias("_m"))
+        near = near.join(rows, [*keys, f"{key}_b", "x_b", "y_b", "z_b"]).select(*near.columns, "_m.*")
+    return source.join(near, place)
 
 
-def knn_join(rows: DataFrame, k: int, radius: float, key: str = "point_id", doublings: int = 3) -> DataFrame:
-    """The k nearest other rows of each row: key, key_b, d, rank. Rows with too few within the radius look again in twice the radius.
+def knn_join(rows: DataFrame, k: int, radius: float, key: str = "point_id") -> DataFrame:
+    """The k nearest other rows of each row, however far they are: key, key_b, d, rank. Ties go to the lesser key.
 
-    After the last doubling rows keep what they have found. Results within a radius are final once k are found.
+    The radius is a guess of their distance: the edge of the cells with which the search begins. Fewer than k come only where
+    there are no more rows. Keys must be unique.
     """
-    left, out, r = rows.select(key, "x", "y", "z"), None, radius
-    for turn in range(doublings + 1):
-        pairs = radius_join(left, rows.select(key, "x", "y", "z"), r).where(F.col(key) != F.col(f"{key}_b"))
-        ranked = pairs.select(key, f"{key}_b", "d").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", f"{key}_b"))).where(F.col("rank") <= k)
-        if turn == doublings:
-            done = ranked
-        else:
-            full = ranked.where(F.col("rank") == k).select(key)
-            done = ranked.join(full, key, "left_semi")
-            left = left.join(full, key, "left_anti")
-        out = done if out is None else out.unionByName(done)
-        r *= 2
-    return out
+    near = neighbours.nearest(rows, rows, k, key, unit=radius, extra=1)
+    own = rows.select(key, *[F.col(c).cast("double").alias(c) for c in "xyz"]).join(near, ["x", "y", "z"])
+    best = F.slice(F.filter("near", lambda n: n["id"] != F.col(key)), 1, k)
+    return own.select(key, F.posexplode(best).alias("_r", "_n")).select(key, F.col("_n.id").alias(f"{key}_b"), F.col("_n.d").alias("d"), (F.col("_r") + 1).alias("rank"))
 
 
 # Planes

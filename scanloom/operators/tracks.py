@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanloom.functions import geometry as geo
-
-
-def _by(keys: Sequence[str], *order: str | Column):
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return w.orderBy(*order)
+from scanloom.operators.series import Series, ordered as _by, small as _small, stretched
 
 
 # Summaries and slices of logs
@@ -78,22 +74,23 @@ def time_order(rows: DataFrame, *ties: str, time: str = "t") -> DataFrame:
 
 def step_stats(rows: DataFrame, keys: Sequence[str] = ("session",), time: str = "t", names: Sequence[str] = ("px", "py", "pz")) -> DataFrame:
     """Seconds, distance and speed since the row before."""
-    w = _by(keys, time)
-    d = F.sqrt(sum((F.pow(F.col(c) - F.lag(c).over(w), 2) for c in names), F.lit(0.0)))
-    out = rows.withColumns({"dt": F.col(time) - F.lag(time).over(w), "step": d})
+    series = Series(rows, keys, time)
+    out = series.lag(series.rows, _before=F.struct(time, *names))
+    d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_before.{c}"), 2) for c in names), F.lit(0.0)))
+    out = out.withColumns({"dt": F.col(time) - F.col(f"_before.{time}"), "step": d}).drop("_before", "_cut")
     return out.withColumn("speed", F.when(F.col("dt") > 0, F.col("step") / F.col("dt")))
 
 
 def assert_increasing(rows: DataFrame, keys: Sequence[str], time: str = "t") -> DataFrame:
     """Rows that don't come after the row before them in the given order (column ord, else by time); empty if all is well."""
-    order = "ord" if "ord" in rows.columns else time
-    return rows.withColumn("before", F.lag(time).over(_by(keys, order))).where(F.col(time) <= F.col("before"))
+    series = Series(rows, keys, "ord" if "ord" in rows.columns else time)
+    return series.lag(series.rows, before=F.col(time)).where(F.col(time) <= F.col("before")).drop("_cut")
 
 
 def assert_contiguous(ranges: DataFrame, n: int | None = None, keys: Sequence[str] = ("session",)) -> DataFrame:
     """Ranges that don't start where those before end, or that end beyond n; empty if all is well."""
-    before = F.coalesce(F.sum("point_count").over(_by(keys, "t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = ranges.withColumn("expected", before)
+    series = Series(ranges, keys, "t")
+    out = series.running(series.rows, expected=F.col("point_count")).withColumn("expected", F.col("expected") - F.coalesce("point_count", F.lit(0))).drop("_cut")
     bad = (F.col("point_start") != F.col("expected")) | (F.col("point_count") < 0)
     return out.where(bad if n is None else bad | (F.col("point_start") + F.col("point_count") > n))
 
@@ -128,10 +125,10 @@ def max_overlap(rows: DataFrame, span: float, keys: Sequence[str] = ("session",)
     Each stretch of time has its sum and the highest point of its running sum; both combine over the stretches.
     """
     come = rows.select(*keys, F.col("t").alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_w"))
-    both = _stretched(come.unionByName(rows.select(*keys, (F.col("t") + span).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_w"))), keys)
+    both, _ = stretched(come.unionByName(rows.select(*keys, (F.col("t") + span).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_w"))), keys, "_t")
     run = F.sum("_w").over(_by([*keys, "_cut"], "_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
     parts = both.withColumn("_run", run).groupBy(*keys, "_cut").agg(F.sum("_w").alias("_sum"), F.max("_run").alias("_high"))
-    base = F.coalesce(F.sum("_sum").over(_by(keys, "_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # STRETCHES rows of a series
+    base = F.coalesce(F.sum("_sum").over(_by(keys, "_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a stretch
     return parts.withColumn("_high", F.col("_high") + base).groupBy(*keys).agg(F.max("_high").alias("most"))
 
 
@@ -175,10 +172,12 @@ def chunk_list(total: float, length: float, overlap: float) -> list[tuple[float,
 
 def bounded_clip(frames: DataFrame, n: int, center: float, keys: Sequence[str] = ("session",)) -> DataFrame:
     """At most n frames in a row, around the one nearest to the given time (kept inside the series)."""
-    ranked = frames.withColumns({"_k": F.row_number().over(_by(keys, "t", "name")) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
-    mid = ranked.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col("t") - center), "_k"))["_k"].alias("_m"))
+    series = Series(frames, keys, "t", "name")
+    ranked = series.ranked(series.rows, "_k").drop("_cut")
+    mid = ranked.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col("t") - center), "_k"))["_k"].alias("_m"), F.count("*").alias("_n"))
     start = F.greatest(F.lit(0), F.least(F.col("_m") - n // 2, F.col("_n") - n))
-    return ranked.join(mid, list(keys)).where((F.col("_k") >= start) & (F.col("_k") < start + n)).drop("_k", "_n", "_m")
+    held = ranked.join(_small(mid), list(keys)) if keys else ranked.crossJoin(F.broadcast(mid))
+    return held.where((F.col("_k") >= start) & (F.col("_k") < start + n)).drop("_k", "_n", "_m")
 
 
 def line_diffs(scan: DataFrame, keys: Sequence[str] = ("scan_id", "ring")) -> DataFrame:
@@ -218,24 +217,6 @@ def submaps(points: DataFrame, ranges: DataFrame, seconds: float = 10.0, least:
 
 # As-of and interval joins
 
-#: Stretches of time that a series is dealt into, and rows of their bounds up to which these are broadcast.
-STRETCHES, BROADCAST_ROWS = 64, 20_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if it is, else left to Catalyst."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def _stretched(rows: DataFrame, keys: Sequence[str], time: str = "_t", parts: int = STRETCHES) -> DataFrame:
-    """The rows with _cut, the stretch of their series' time in which they lie. Stretches hold about as many rows each, equal times lie in one."""
-    shares = [k / parts for k in range(1, parts)]
-    bounds = rows.groupBy(*keys).agg(F.percentile_approx(time, shares, 4 * parts).alias("_bounds"))
-    cut = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(time))), F.lit(0))
-    held = rows.join(_small(bounds), list(keys), "left") if keys else rows.crossJoin(F.broadcast(bounds))
-    return held.withColumn("_cut", cut).drop("_bounds")
-
-
 def _beside(rows: DataFrame, keys: Sequence[str], value: str, after_equal: bool = False) -> DataFrame:
     """The rows with _a, the last value at or before, and _b, the first value after each row, by _t and then _kind.
 
@@ -243,18 +224,19 @@ def _beside(rows: DataFrame, keys: Sequence[str], value: str, after_equal: bool
     stretches of time, which are sorted apart; what reaches over their edges is one row each. So neither a frame nor a
     task grows with the length of a series.
     """
-    cut = _stretched(rows, keys)
+    cut, any_cut = stretched(rows, keys, "_t")
     by = [*keys, "_cut"]
     ahead = _by(by, "_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     back = _by(by, F.desc("_t"), F.asc("_kind") if after_equal else F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
     found = cut.withColumns({"_a": F.last(value, True).over(ahead), "_b": F.last(value, True).over(back)})
-    edges = cut.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(value, "_t").alias("last"), F.min_by(value, "_t").alias("first"))
-    edges = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_cut", "last", "first"))).alias("_edges"))  # STRETCHES of a series at most
-    carried = edges.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(STRETCHES))))
-    before = F.get(F.filter("_edges", lambda e: e["_cut"] < F.col("_cut")), F.size(F.filter("_edges", lambda e: e["_cut"] < F.col("_cut"))) - 1)
-    after = F.get(F.filter("_edges", lambda e: e["_cut"] > F.col("_cut")), F.lit(0))
-    carried = carried.select(*by, before["last"].alias("_before"), after["first"].alias("_after"))
-    out = found.join(carried, by, "left")
+    if not any_cut:
+        return found.drop("_cut")
+    time = F.when(F.col(value).isNotNull(), F.col("_t"))
+    edges = cut.groupBy(*by).agg(F.max_by(value, time).alias("_last"), F.min_by(value, time).alias("_first"))
+    over = _by(keys, "_cut")  # one row a stretch
+    before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    edges = edges.select(*by, F.last("_last", True).over(before).alias("_before"), F.first("_first", True).over(after).alias("_after"))
+    out = found.join(edges, by, "left")
     return out.withColumns({"_a": F.coalesce("_a", "_before"), "_b": F.coalesce("_b", "_after")}).drop("_before", "_after", "_cut")
 
 
@@ -327,9 +309,11 @@ def resample(rows: DataFrame, rate: float, value: str = "w", keys: Sequence[str]
 
     Each sample yields the grid places up to its successor, so the grid is never built apart and joined.
     """
-    w = _by(keys, "t")
-    first = F.min("t").over(Window.partitionBy(*keys))
-    pairs = rows.groupBy(*keys, "t").agg(F.avg(value).alias("_v")).withColumns({"_t0": first, "_t1": F.lead("t").over(w), "_v1": F.lead("_v").over(w)})
+    mean = rows.groupBy(*keys, "t").agg(F.avg(value).alias("_v"))
+    first = _small(rows.groupBy(*keys).agg(F.min("t").alias("_t0")))
+    series = Series(mean, keys, "t")
+    pairs = series.lead(series.rows, _t1=F.col("t"), _v1=F.col("_v"))
+    pairs = pairs.join(first, list(keys)) if keys else pairs.crossJoin(F.broadcast(first))
     low = F.ceil(F.round((F.col("t") - F.col("_t0")) * rate, 6)).cast("long")
     high = F.ceil(F.round((F.col("_t1") - F.col("_t0")) * rate, 6)).cast("long") - 1
     grid = pairs.where(F.col("_t1").isNotNull() & (low <= high)).withColumn("k", F.explode(F.sequence(low, high)))
@@ -355,7 +339,10 @@ def deskew(scan: DataFrame, imu_poses: DataFrame, keys: Sequence[str] = ("scan_i
 
 
 def imu_init(imu: DataFrame, n: int = 20, keys: Sequence[str] = ("session",)) -> DataFrame:
-    """Mean gyro and accelerometer values of the first n samples, and the gravity they show."""
+    """Mean gyro and accelerometer values of the first n samples, and the gravity they show.
+
+    Of each task's rows only the first n of a series are shuffled.
+    """
     first = imu.withColumn("_k", F.row_number().over(_by(keys, "t"))).where(F.col("_k") <= n)
     out = first.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("wx", "wy", "wz", "ax", "ay", "az")], F.count("*").alias("n"))
     return out.withColumn("gravity", F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2))
