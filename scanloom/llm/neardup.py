@@ -29,7 +29,7 @@ REGISTERS, BANDS, MANTISSA = 128, 32, 10
 FINE, FINE_WIDTH = 512, 8
 #: Defaults of stages on word shingles: words of a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 80
-#: Ids (8 bytes each) up to which texts are picked by a broadcast of the ids; beyond, by a shuffle.
+#: Ids (24 bytes each) up to which texts are picked by a broadcast of the ids; beyond, by a shuffle.
 PICKED = 500_000
 #: Members of a bucket that are compared at once; a larger one is split by bands of the finer sketch, what is larger even then in blocks.
 BLOCK = 2048
@@ -115,7 +115,7 @@ def _sketch(n: int, width: int = REGISTERS):
                 size = np.array([len(s) for s in sets])
                 whole = [np.array([x.sum(dtype=np.uint64), (tx.mix(x ^ np.uint64(0x5851F42D4C957F2D))).sum(dtype=np.uint64)]) for x in sets]
                 pair = tx.signed(np.array(whole, np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low : low + len(sets)], pa.array(size), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([registers(x, width).tobytes() if len(x) else None for x in sets], pa.binary())], ["id", "n", "fa", "fb", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low : low + len(sets)], batch.column(2)[low : low + len(sets)], pa.array(size), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([registers(x, width).tobytes() if len(x) else None for x in sets], pa.binary())], ["id", "t", "n", "fa", "fb", "sketch"])
 
     return emit
 
@@ -238,29 +238,37 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", block: int = BLOCK, named: bool = False) -> DataFrame:
     """key, n_shingles, component_id (least key reachable over links) and kept (whether that is the key itself).
 
     Texts are linked if their sets of shingles of so many words (A-Z lower-cased, split at white space) have at
     least so many hundredths of their union in common. A text of fewer words is one shingle; without words or
     null it is linked with nothing and kept. Copies, and repeated rows, are one class: of rows with the least
-    key all are kept. Ties can't occur; an empty table gives an empty one; further columns are not read.
+    key all are kept. Rows with one key and different texts are texts of their own: classes are named by one of their
+    rows' key, or where that names several classes by a hash of their set. Ties can't occur; an empty table gives an
+    empty one; further columns are not read. With named there are also t, a hash of the text (which with the key tells
+    different rows apart), and group, the same number for all texts that reach each other (null without words).
     """
     share = percent / 100
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = tx.checkpoint(rows.mapInArrow(tx.lean(_sketch(words)), "id long, n long, fa long, fb long, sketch binary"))
-    classes = sketches.where("n > 0 and id is not null").groupBy("fa", "fb").agg(F.min("id").alias("rep"))
-    held = sketches.join(classes.select(F.col("rep").alias("id"), F.col("fa").alias("ca"), F.col("fb").alias("cb")), "id").where("fa = ca and fb = cb")
-    reps = tx.checkpoint(held.dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "sketch"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
+    fields = "id long, t long, n long, fa long, fb long, sketch binary"
+    sketches = tx.checkpoint(rows.mapInArrow(tx.lean(_sketch(words)), fields))
+    classes = sketches.where("n > 0 and id is not null").groupBy("fa", "fb").agg(F.min(F.struct("id", "t")).alias("m")).select("fa", "fb", F.col("m.id").alias("least"), F.col("m.t").alias("t"))
+    shared = tx.checkpoint(classes.groupBy("least").agg(F.count("*").alias("_n")).where("_n > 1").select("least", F.lit(True).alias("_shared")))
+    alone = shared.isEmpty()  # no key has several classes
+    own_name = F.when(F.col("_shared"), -1 - F.pmod(F.xxhash64("fa", "fb"), F.lit(1 << 62))).otherwise(F.col("least"))
+    classes = classes.withColumn("rep", F.col("least")) if alone else tx.checkpoint(classes.join(shared, "least", "left").withColumn("rep", own_name).drop("_shared"))
+    held = sketches.join(classes.select(F.col("least").alias("id"), "t", "rep"), ["id", "t"])
+    reps = tx.checkpoint(held.dropDuplicates(["rep"]).select("rep", "n", "sketch"))
 
     def sifted(pairs: DataFrame) -> DataFrame:
         side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(tx.lean(_sift(share)), "a long, b long")
 
     def only(ids: DataFrame) -> DataFrame:
-        """Texts of the ids, before any text is shuffled if the ids are few."""
-        ids = tx.checkpoint(ids.distinct())
-        return rows.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "id", "left_semi")
+        """id, text, t: texts of the classes, before any text is shuffled if the classes are few."""
+        ids = tx.checkpoint(ids.distinct().join(classes.select(F.col("rep").alias("id"), "least", "t"), "id").select(F.col("id").alias("rep"), F.col("least").alias("id"), "t"))
+        return rows.join(F.broadcast(ids) if ids.count() <= PICKED else ids, ["id", "t"]).select(F.col("rep").alias("id"), "text", "t")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = tx.checkpoint(pairs)
@@ -285,7 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     apart = crowded.where("size > 3 and rep > low and rep < high").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     apart = apart.select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = tx.checkpoint(apart.join(still_open(apart, "band"), "band"))
-    fine = only(placed.select(F.col("rep").alias("id"))).mapInArrow(tx.lean(_sketch(words, FINE)), "id long, n long, fa long, fb long, sketch binary")
+    fine = only(placed.select(F.col("rep").alias("id"))).mapInArrow(tx.lean(_sketch(words, FINE)), fields)
     fine = fine.dropDuplicates(["id"]).select(F.col("id").alias("rep"), "sketch")
     fine = tx.checkpoint(fine.join(reps.select("rep", "n", F.col("sketch").alias("coarse")), "rep").select("rep", "n", "sketch", "coarse").mapInArrow(tx.lean(_coarse), "rep long, n long, sketch binary, coarse array<long>"))
     whole = placed.where(F.col("size") <= block).select("band", F.lit(None).cast("long").alias("part"), "rep", "comp", "size")
@@ -304,7 +312,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         if not late.isEmpty():
             found = components(found.where("id > component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late))
 
-    placed_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fa", "fb", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n", "fa", "fb").join(placed_class, ["fa", "fb"], "left")
+    placed_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fa", "fb", "least", F.coalesce("component", "rep").alias("group"))
+    if alone:
+        placed_class = placed_class.withColumn("component", F.col("group"))
+    else:
+        placed_class = placed_class.join(placed_class.groupBy("group").agg(F.min("least").alias("component")), "group")
+    out = sketches.select("id", "t", "n", "fa", "fb").join(placed_class.select("fa", "fb", "group", "component"), ["fa", "fb"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)))
+    more = ["t", F.when(F.col("n") > 0, F.col("group")).alias("group")] if named else []
+    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), *more)
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)))

@@ -72,11 +72,12 @@ def _split(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray, np.n
 def _minimisers(window: int, m: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, names = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for low, _, _, _, _, _, owner, hashes in _split(batch.column(1)):
                 value, begin, _ = super_kmers(hashes, owner, window, m)
-                pairs = np.unique(np.stack([tx.signed(value), keys[low + owner[begin]]], 1), axis=0) if len(begin) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["minimiser", "id"])
+                row = low + owner[begin]
+                pairs = np.unique(np.stack([tx.signed(value), keys[row], names[row]], 1), axis=0) if len(begin) else np.zeros((0, 3), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["minimiser", "id", "t"])
 
     return emit
 
@@ -89,18 +90,18 @@ def _pack(window: int, m: int):
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        held: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         size = 0
 
         def batch_of() -> pa.RecordBatch:
             names = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for _, p in held]
-            places = [[{"id": i, "start": s} for i, s in at] for at in held.values()]
+            places = [[{"id": i, "t": t, "start": s} for i, t, s in at] for at in held.values()]
             least, most = ([f(at)[0] for at in held.values()] for f in (min, max))
             columns = [pa.array([v for v, _ in held], pa.int64()), pa.array(names, pa.int64()), pa.array([p for _, p in held], pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64()), pa.array(places, _PLACES)]
             return pa.RecordBatch.from_arrays(columns, ["minimiser", "name", "packed", "least", "most", "places"])
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, names = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
             wanted = batch.column(2)
             flags, bounds = wanted.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
             for low, high, data, starts, ends, first, owner, hashes in _split(batch.column(1)):
@@ -118,7 +119,7 @@ def _pack(window: int, m: int):
                     if (v, packed) not in held:
                         held[v, packed] = []
                         size += len(packed)
-                    held[v, packed].append((int(keys[low + r]), b - int(first[r])))
+                    held[v, packed].append((int(keys[low + r]), int(names[low + r]), b - int(first[r])))
                     size += PLACE_BYTES
                     if size > BUCKET_BYTES:
                         yield batch_of()
@@ -129,7 +130,7 @@ def _pack(window: int, m: int):
     return emit
 
 
-_PLACES = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64())]))
+_PLACES = pa.list_(pa.struct([("id", pa.int64()), ("t", pa.int64()), ("start", pa.int64())]))
 
 
 def _window_keys(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +190,7 @@ def _count(window: int):
 
 
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, start, marks): the windows of each place, counted from its start, that an earlier text holds."""
+    """(id, t, start, marks): the windows of each place, counted from its start, that an earlier text holds."""
     for batch in batches:
         out = []
         for at, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -197,9 +198,9 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in at:
                 marks = np.flatnonzero(least < p["id"])
                 if len(marks):
-                    out.append((p["id"], p["start"], marks.astype(np.int32)))
-        columns = list(zip(*out, strict=True)) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["id", "start", "marks"])
+                    out.append((p["id"], p["t"], p["start"], marks.astype(np.int32)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["id", "t", "start", "marks"])
 
 
 def _windows(window: int):
@@ -243,18 +244,19 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
 
     A word goes if a window that covers it also starts in a text with a smaller key; windows are judged on
     the input. A null text has no words; shorter texts than a window keep all. Rows with equal keys never
-    remove from each other, a null key removes and loses nothing, and further columns are not read.
+    remove from each other, whatever their texts; a null key removes and loses nothing, further columns are not read.
+    A row is named by its key and a hash of its text (t), so that each text loses its own words only.
 
     Whole texts are shuffled only where a bitmap of the ids says that they may share a minimiser, and again where they
     may lose words. Equal strings are one row before buckets form, and places are joined back by the strings' names: so a
     passage that a third of all texts share costs a row of each task, and its places are dealt by Spark's skew joins.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    pairs = tx.stored(rows.where("id is not null").mapInArrow(tx.lean(_minimisers(window, minimiser)), "minimiser long, id long"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
+    pairs = tx.stored(rows.where("id is not null").mapInArrow(tx.lean(_minimisers(window, minimiser)), "minimiser long, id long, t long"))
     repeat = pairs.groupBy("minimiser").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("minimiser")
-    wanted = tx.stored(pairs.join(repeat, "minimiser").groupBy("id").agg(F.collect_set("minimiser").alias("wanted")))
-    asked = tx.maybe_in(rows, wanted).where("maybe").select("id", "text")
-    packed = asked.join(wanted.hint("shuffle_merge"), "id").select("id", "text", "wanted").mapInArrow(tx.lean(_pack(window, minimiser)), "minimiser long, name long, packed binary, least long, most long, places array<struct<id:long,start:long>>")
+    wanted = tx.stored(pairs.join(repeat, "minimiser").groupBy("id", "t").agg(F.collect_set("minimiser").alias("wanted")))
+    asked = tx.maybe_in(rows, wanted).where("maybe").select("id", "text", "t")
+    packed = asked.join(wanted.hint("shuffle_merge"), ["id", "t"]).select("id", "text", "wanted", "t").mapInArrow(tx.lean(_pack(window, minimiser)), "minimiser long, name long, packed binary, least long, most long, places array<struct<id:long,t:long,start:long>>")
     stored = tx.stored(packed)
 
     strings = stored.groupBy("minimiser", "name").agg(F.first("packed").alias("packed"), F.min("least").alias("least"), F.max("most").alias("most"))
@@ -269,9 +271,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     seen = seen.unionByName(rest.select("minimiser", "name", F.col("all.seen").alias("seen")))
 
     found = stored.select("minimiser", "name", "places").join(seen, ["minimiser", "name"]).select("places", "seen")
-    cuts = tx.stored(found.mapInArrow(tx.lean(_cuts), "id long, start long, marks array<int>").groupBy("id").agg(F.collect_list(F.struct("start", "marks")).alias("cuts")))
+    cuts = tx.stored(found.mapInArrow(tx.lean(_cuts), "id long, t long, start long, marks array<int>").groupBy("id", "t").agg(F.collect_list(F.struct("start", "marks")).alias("cuts")))
     asked = tx.maybe_in(rows, cuts)
     none = asked.where("not maybe").select("id", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
-    some = asked.where("maybe").select("id", "text").join(cuts.hint("shuffle_merge"), "id", "left").select("id", "text", "cuts")
+    some = asked.where("maybe").select("id", "text", "t").join(cuts.hint("shuffle_merge"), ["id", "t"], "left").select("id", "text", "cuts")
     out = [x.mapInArrow(tx.lean(_keep(window)), "id long, n_words long, n_removed long, kept_sha256 string, kept string") for x in (none, some)]
     return out[0].unionByName(out[1]).withColumnRenamed("id", key)
