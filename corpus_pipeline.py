@@ -24,16 +24,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
+def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The rows but those with the key and the text (its hash t) of a row of out; rows with equal keys and other texts stay."""
+    out = out.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    return docs.join(out, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_anti").select(*docs.columns)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the least key, of each group of near duplicates."""
-    out = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document, the one with the least key, of each group of near duplicates. Of linked texts with that key one stays."""
+    found = neardup.near_duplicates(docs, named=True)
+    heads = found.where(F.col("kept") & F.col("group").isNotNull() & F.col("doc_id").isNotNull())
+    several = heads.groupBy("group").agg(F.min("t").alias("_least"), F.max("t").alias("_most")).where("_least < _most")
+    more = heads.join(several, "group").where(F.col("t") > F.col("_least"))
+    return _without(docs, found.where("not kept").select("doc_id", "t").unionByName(more.select("doc_id", "t")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row").select("row").distinct()
+    return docs.join(found.withColumnRenamed("row", "_row"), F.xxhash64("doc_id", "text") == F.col("_row"), "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
