@@ -57,7 +57,7 @@ class Tree:
     """Cells from level 0 (edges of a unit) down, and leaves of any level, with counts and boxes; and the places of each leaf.
 
     A round parts crowded cells at half their edge, of which only leaves are kept, and what is crowded still at a quarter,
-    or at once at about a quarter of its widest box where that is smaller.
+    or at once at about half of its widest box where that is smaller.
     """
 
     def __init__(self, places: DataFrame, unit: float, keys: Sequence[str]):
@@ -77,7 +77,7 @@ class Tree:
                 break
             left = checkpoint(held.where("not leaf").select(*places.columns))
             if half:
-                level = min(level - 1, math.frexp(wide / unit)[1] - 2)
+                level = min(level - 1, math.frexp(wide / unit)[1] - 1)
             else:
                 parent, level = level, level - 1
         rows = leaves[0]
