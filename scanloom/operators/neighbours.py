@@ -61,7 +61,7 @@ class Tree:
     """
 
     def __init__(self, places: DataFrame, unit: float, keys: Sequence[str]):
-        self.keys, by = list(keys), [*keys, "cx", "cy", "cz"]
+        self.keys, self.unit, by = list(keys), unit, [*keys, "cx", "cy", "cz"]
         box = [f(c).alias(f"{c}{e}") for c in "xyz" for e, f in enumerate((F.min, F.max))]
         left, self.levels, leaves, level, parent = places, {}, [], 0, 0
         for turn in range(2 * ROUNDS):
@@ -103,6 +103,11 @@ class Tree:
         return self.levels[level]
 
 
+def plant(target: DataFrame, unit: float, keep: int = 1, key: str = "point_id", keys: Sequence[str] = ()) -> Tree:
+    """A tree that serves several searches; places keep so many ids."""
+    return Tree(checkpoint(_places(target, keys, key, keep)), unit, keys)
+
+
 def _at_level(level: int) -> dict[str, Column]:
     """The cell of a level that holds a leaf's cell."""
     return {c: F.expr(f"shiftright(q{c}, {level} - ql)") for c in ("cx", "cy", "cz")}
@@ -239,11 +244,12 @@ def _measure(need: int, names: list[str], result: pa.DataType):
     return emit
 
 
-def nearest(source: DataFrame, target: DataFrame, k: int, key: str = "point_id", gate: float | None = None, unit: float | None = None, keys: Sequence[str] = (), extra: int = 0) -> DataFrame:
+def nearest(source: DataFrame, target: DataFrame, k: int, key: str = "point_id", gate: float | None = None, unit: float | None = None, keys: Sequence[str] = (), extra: int = 0, tree: Tree | None = None) -> DataFrame:
     """keys, x, y, z of each place of the source, and near: its k + extra nearest target rows (d, id, x, y, z) by distance, then id.
 
     With a gate, only rows within it (included). The unit, by default the gate, is a guess of the distance at which enough is
     found: the tree begins with cells of four times that edge. It decides how many levels are built, not what is found.
+    A tree of the target (`plant`) can be used again, for gates up to its unit.
     Rows without three finite coordinates are left out. One place keeps its least k + extra ids. Repeated rows count each.
     """
     need, keys = k + extra, list(keys)
@@ -251,7 +257,10 @@ def nearest(source: DataFrame, target: DataFrame, k: int, key: str = "point_id",
     if need < 1 or not unit or unit <= 0:
         raise ValueError("at least one neighbour, and a gate or unit above 0")
     unit *= 4
-    target_tree = Tree(checkpoint(_places(target, keys, key, need)), unit, keys)
+    target_tree = tree or Tree(checkpoint(_places(target, keys, key, need)), unit, keys)
+    unit = target_tree.unit
+    if gate is not None and gate > unit:
+        raise ValueError("the tree's cells are smaller than the gate")
     source_tree = target_tree if source is target else Tree(checkpoint(_places(source, keys, key, 1)), unit, keys)
     q = [*keys, *[f"q{c}" for c in (*_CELL, *_BOX)]]
     asked = source_tree.nodes().where("leaf").select(*keys, *[F.col(c).alias(f"q{c}") for c in (*_CELL, *_BOX)])

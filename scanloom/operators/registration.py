@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scanloom.operators.lineage import checkpoint
 from scanloom.operators.quantiles import exact_percentiles
 from scanloom.operators.series import Series, small
+from scanloom.operators.solve import HELD, conjugate_gradient
 
 _S, _T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 
@@ -171,6 +172,102 @@ def icp(source: DataFrame, target: DataFrame, gates: Sequence[float] = (1.5, 0.7
     return rotation, shift, errors
 
 
+def scene_normals(target: DataFrame, k: int = 20, radius: float = 1.0, least: int = 200, weakest: float = 0.025, spread: float = 35.0) -> DataFrame:
+    """point_id and unit normal of the points whose surroundings are planar, of a scene that faces enough ways.
+
+    The mean outer product of the normals must have no eigenvalue below weakest, nor a ratio of eigenvalues above spread:
+    what only one plane (or one edge) shows can't hold a cloud in place. Raises ValueError otherwise.
+    """
+    from scanloom.operators.spatial import normals
+
+    out = checkpoint(normals(target, k, radius).where("planar").select("point_id", "nx", "ny", "nz"))
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    s = out.agg(F.count("*").alias("n"), *[F.avg(F.col(f"n{a}") * F.col(f"n{b}")).alias(a + b) for a, b in pairs]).first()
+    if s["n"] < least:
+        raise ValueError(f"only {s['n']} points with planar surroundings")
+    values = np.linalg.eigvalsh([[s["".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])
+    if values[0] < weakest or values[2] > spread * values[0]:
+        raise ValueError(f"the scene's normals are degenerate: {values.tolist()}")
+    return out
+
+
+def plane_step(pairs: DataFrame, conditioned: float = 1e4) -> tuple[np.ndarray, np.ndarray]:
+    """The small turn and shift that bring x, y, z nearest to the planes through tx, ty, tz with normals nx, ny, nz.
+
+    Linearised: one aggregation of 6 x 6 sums, with the turn scaled by the median distance from the origin and Huber weights
+    by the median residual. Raises ValueError where the planes leave a motion open.
+    """
+    n = [F.col(f"n{c}") for c in "xyz"]
+    rows = pairs.withColumn("_r", sum((n[k] * (F.col(c) - F.col(f"t{c}")) for k, c in enumerate("xyz")), F.lit(0.0)))
+    mid = exact_percentiles(rows, {"far": (F.sqrt(sum((F.col(c) * F.col(c) for c in "xyz"), F.lit(0.0))), 0.5), "off": (F.abs("_r"), 0.5)})
+    scale, cut = max(mid["far"], 1.0), max(2.5 * max(mid["off"] * 1.4826, 0.01), 0.03)
+    x, y, z = (F.col(c) for c in "xyz")
+    terms = [(y * n[2] - z * n[1]) / scale, (z * n[0] - x * n[2]) / scale, (x * n[1] - y * n[0]) / scale, *n]
+    rows = rows.select("_r", (F.least(F.lit(1.0), cut / F.greatest(F.abs("_r"), F.lit(1e-300)))).alias("_w"), *[t.alias(f"_d{k}") for k, t in enumerate(terms)])
+    both = [(i, j) for i in range(6) for j in range(i, 6)]
+    product = {ij: F.col(f"_d{ij[0]}") * F.col(f"_d{ij[1]}") for ij in both}
+    s = rows.agg(*[F.sum(v).alias(f"u{i}{j}") for (i, j), v in product.items()], *[F.sum(F.col("_w") * v).alias(f"w{i}{j}") for (i, j), v in product.items()], *[F.sum(F.col("_w") * F.col("_r") * F.col(f"_d{k}")).alias(f"y{k}") for k in range(6)]).first()
+    plain, weighed = (np.array([[s[f"{c}{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)]) for c in "uw")
+    values = np.linalg.eigvalsh(plain)
+    if values[0] <= 0 or values[5] > conditioned**2 * values[0]:
+        raise ValueError("the planes leave a motion open")
+    motion = -np.linalg.solve(weighed, [s[f"y{k}"] for k in range(6)])
+    return motion[:3] / scale, motion[3:]
+
+
+def _turn(vector: np.ndarray) -> np.ndarray:
+    """The rotation about a vector by its length."""
+    angle = np.linalg.norm(vector)
+    if angle < 1e-15:
+        return np.eye(3)
+    x, y, z = vector / angle
+    cross = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) + np.sin(angle) * cross + (1 - np.cos(angle)) * cross @ cross
+
+
+def plane_icp(source: DataFrame, target: DataFrame, rotation: np.ndarray | None = None, shift: np.ndarray | None = None, gates: Sequence[float] = (1.5, 0.7, 0.3), rounds: int = 35, k: int = 20, radius: float = 1.0, least: int = 200) -> dict:
+    """Point-to-plane registration by a gate schedule: rotation, shift, fitness, rms and plane_rms.
+
+    Each round is one neighbour search, in the same tree of the target, and one aggregation; only sums come to the driver. A gate's
+    rounds end when the motion is below 2e-5 radians and 0.2 mm. Raises ValueError where the scene is degenerate, too few
+    points (least, or a quarter) have a partner, or the result fails: half of the points within the last gate, at 0.25 m
+    root mean square, and 0.15 m off the planes.
+    """
+    from scanloom.functions.geometry import apply_rt
+    from scanloom.operators import neighbours
+
+    facing = scene_normals(target, k, radius, least)
+    tree = neighbours.plant(target, 4 * max(gates))
+    source = checkpoint(source.select("point_id", "x", "y", "z"))
+    total = source.count()
+    rotation, shift = np.eye(3) if rotation is None else np.array(rotation, float), np.zeros(3) if shift is None else np.array(shift, float)
+
+    def partners(gate: float) -> DataFrame:
+        x, y, z = apply_rt("x", "y", "z", rotation.ravel().tolist(), shift.tolist())
+        moved = source.select("point_id", x.alias("x"), y.alias("y"), z.alias("z"))
+        near = neighbours.nearest(moved, target, 1, gate=gate, tree=tree).select("x", "y", "z", F.get("near", F.lit(0)).alias("_n"))
+        met = moved.join(near, ["x", "y", "z"]).select("x", "y", "z", "_n.d", F.col("_n.id").alias("_id"), *[F.col(f"_n.{c}_b").alias(f"t{c}") for c in "xyz"])
+        met = checkpoint(met.join(facing.withColumnRenamed("point_id", "_id"), "_id"))
+        count = met.count()
+        if count < max(least, total / 4):
+            raise ValueError(f"only {count} of {total} points have a partner within {gate}")
+        return met
+
+    for gate in gates:
+        for _ in range(rounds):
+            turn, move = plane_step(partners(gate))
+            delta = _turn(turn)
+            rotation, shift = delta @ rotation, delta @ shift + move
+            if np.linalg.norm(turn) < 2e-5 and np.linalg.norm(move) < 2e-4:
+                break
+    off = sum((F.col(f"n{c}") * (F.col(c) - F.col(f"t{c}")) for c in "xyz"), F.lit(0.0))
+    s = partners(gates[-1]).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"), F.sqrt(F.avg(off * off)).alias("plane_rms")).first()
+    out = {"rotation": rotation, "shift": shift, "fitness": s["n"] / total, "rms": s["rms"], "plane_rms": s["plane_rms"]}
+    if out["fitness"] < 0.5 or out["rms"] >= 0.25 or out["plane_rms"] >= 0.15:
+        raise ValueError(f"the registration fails: {out}")
+    return out
+
+
 def blocked_cv(rows: DataFrame, folds: int = 5, purge: int = 5, keys: Sequence[str] = ("session",)) -> DataFrame:
     """Contiguous folds by time: a similarity fitted outside each fold (and its purged margins) is tested, untrimmed, inside.
 
@@ -220,33 +317,31 @@ def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     return label.select(F.col("u").alias("id"), F.col("m").alias("component"))
 
 
-def gauss_newton_step(nodes: DataFrame, edges: DataFrame, damping: float = 1e-6, keys: Sequence[str] = ("session",)) -> DataFrame:
+def gauss_newton_step(nodes: DataFrame, edges: DataFrame, damping: float = 1e-6, keys: Sequence[str] = ("session",), held: int = HELD) -> DataFrame:
     """Shift corrections of one damped step on the edges' position residuals, the first node of each session held.
 
-    Blocks are summed by Spark; the dense solve is of one session's nodes, in its own group.
+    All sessions are one sparse system, solved by conjugate gradients: no matrix of a session is ever dense. Nodes that no
+    edge names are left out.
     """
     left = edges.join(nodes.select(*keys, F.col("node").alias("i"), *[F.col(c).alias(f"a{c}") for c in ("px", "py", "pz")]), [*keys, "i"])
     both = left.join(nodes.select(*keys, F.col("node").alias("j"), *[F.col(c).alias(f"b{c}") for c in ("px", "py", "pz")]), [*keys, "j"])
     w = F.when(F.col("kind") == "loop", 1 / 0.02**2).otherwise(1 / 0.10**2)
     r = [F.col(f"b{c}") - F.col(f"a{c}") - F.col(c) for c in ("px", "py", "pz")]
-    blocks = both.groupBy(*keys, "i", "j").agg(F.sum(w).alias("w"), *[F.sum(w * v).alias(f"g{k}") for k, v in enumerate(r)])
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([rows["i"], rows["j"]]))
-        i, j = np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])
-        a, g = np.zeros((len(ids), len(ids))), np.zeros((len(ids), 3))
-        v, slope = rows["w"].to_numpy(), rows[["g0", "g1", "g2"]].to_numpy()
-        for x, y, sign in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
-            np.add.at(a, (x, y), sign * v)
-        np.add.at(g, i, slope)
-        np.add.at(g, j, -slope)
-        a[np.diag_indices(len(ids))] += damping
-        step = np.zeros((len(ids), 3))
-        step[1:] = np.linalg.solve(a[1:, 1:], g[1:])
-        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "node": ids, "dx": step[:, 0], "dy": step[:, 1], "dz": step[:, 2]})
-
-    head = ", ".join(f"`{k}` {dict(nodes.dtypes)[k]}" for k in keys)
-    return blocks.groupBy(*keys).applyInPandas(solve, f"{head}, node long, dx double, dy double, dz double")
+    first = nodes.groupBy(*keys).agg(F.min("node").alias("_first"))
+    name = lambda c, k: F.struct(*keys, F.col(c).alias("node"), F.lit(k).alias("axis"))
+    rows = both.join(first, list(keys)).withColumn("_w", w).withColumns({f"_r{k}": v for k, v in enumerate(r)})
+    entries, right = None, None
+    for k in range(3):
+        cells = F.array(*[F.struct(name(a, k).alias("i"), name(b, k).alias("j"), (F.col("_w") * sign).alias("a"), ((F.col(a) != F.col("_first")) & (F.col(b) != F.col("_first"))).alias("free")) for a, b, sign in (("i", "i", 1.0), ("j", "j", 1.0), ("i", "j", -1.0), ("j", "i", -1.0))])
+        sides = F.array(*[F.struct(name(a, k).alias("i"), (F.col("_w") * F.col(f"_r{k}") * sign).alias("b"), (F.col(a) != F.col("_first")).alias("free")) for a, sign in (("i", 1.0), ("j", -1.0))])
+        own = rows.select(F.explode(cells).alias("c")).where("c.free").select("c.i", "c.j", "c.a")
+        rest = rows.select(F.explode(sides).alias("c")).where("c.free").select("c.i", "c.b")
+        entries, right = (own, rest) if entries is None else (entries.unionByName(own), right.unionByName(rest))
+    entries = entries.groupBy("i", "j").agg(F.sum("a").alias("a")).withColumn("a", F.col("a") + F.when(F.col("i") == F.col("j"), damping).otherwise(0.0))
+    found = conjugate_gradient(entries, right, held=held)
+    found = found.groupBy(*[F.col(f"i.{c}").alias(c) for c in keys], F.col("i.node").alias("node")).agg(*[F.max(F.when(F.col("i.axis") == k, F.col("x"))).alias(c) for k, c in enumerate(("dx", "dy", "dz"))])
+    met = edges.select(*keys, F.col("i").alias("node")).unionByName(edges.select(*keys, F.col("j").alias("node"))).distinct()
+    return met.join(found, [*keys, "node"], "left").fillna(0.0, ["dx", "dy", "dz"])
 
 
 def accept_loop(before: DataFrame, after: DataFrame, overlap: float = 0.5, gain: float = 0.02) -> DataFrame:

@@ -250,8 +250,12 @@ def _las_bytes(p: pd.DataFrame, wide: bool, lit: bool, offset: tuple) -> bytes:
     """LAS 1.4, point format 7, millimetres."""
     kind = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("class", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")])
     rows, bounds = np.zeros(len(p), kind), []
+    offset = offset or tuple(float(np.floor(p[c].min() / 1000) * 1000) for c in "xyz")
     for k, c in enumerate("xyz"):
-        rows[c] = np.rint((p[c].to_numpy() - offset[k]) / 0.001)
+        units = np.rint((p[c].to_numpy() - offset[k]) / 0.001)
+        if len(units) and not (np.abs(units) < 2**31).all():
+            raise ValueError(f"{c} spans more than millimetres in 32 bits can tell")
+        rows[c] = units
         stored = rows[c] * 0.001 + offset[k]
         bounds += [stored.max(), stored.min()]
     for c in "rgb":
@@ -266,21 +270,26 @@ def write_cloud(points: DataFrame, path: str, kind: str, rows: int = PART_ROWS)
     """Points (colours 0 to 1) as pcd, ply or las files of so many points at most, by ranges of ids: path, n and first id of each.
 
     Every file is whole by itself, with its own header; a cloud that fits one file gives one. PCD coordinates are doubles
-    where any is beyond 100,000; LAS offsets are whole thousands below the least coordinates. A file appears under its name
+    where any is beyond 100,000; LAS offsets are whole thousands below the least coordinates (of each file, where the cloud is
+    too wide for one offset; a file that is too wide is an error). A file appears under its name
     when it is complete, so a task that runs again does no harm. A null intensity column is left out. Writes at once.
     """
     make = {"pcd": _pcd_bytes, "ply": _ply_bytes, "las": _las_bytes}[kind]
-    s = points.agg(F.count("*").alias("n"), F.max(F.greatest(*[F.abs(c) for c in "xyz"])).alias("most"), *[F.min(c).alias(c) for c in "xyz"], F.count("intensity").alias("lit") if "intensity" in points.columns else F.lit(0).alias("lit")).first()
+    s = points.agg(F.count("*").alias("n"), F.max(F.greatest(*[F.abs(c) for c in "xyz"])).alias("most"), *[F.min(c).alias(c) for c in "xyz"], *[F.max(c).alias(f"{c}_max") for c in "xyz"], F.count("intensity").alias("lit") if "intensity" in points.columns else F.lit(0).alias("lit")).first()
     if not s["n"]:
         raise ValueError("the cloud has no points")
     offset = tuple(float(np.floor(s[c] / 1000) * 1000) for c in "xyz")
+    if any(s[f"{c}_max"] - o >= 2**31 * 0.001 for c, o in zip("xyz", offset, strict=True)):
+        offset = ()
     wide, lit, parts = s["most"] > 100_000, s["lit"] > 0, -(-s["n"] // max(1, rows * 3 // 4))  # ranges are uneven by a part
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        held = pd.concat(list(batches))
-        task = TaskContext.get()
+        held = [b for b in batches if len(b)]
+        if not held:  # a range without rows
+            return
+        held, task = pd.concat(held), TaskContext.get()
         for k, low in enumerate(range(0, len(held), rows)):
             part = held.iloc[low : low + rows]
             where, at = file_system(f"{path}/part-{task.partitionId():05d}-{k:03d}.{kind}")
@@ -326,8 +335,9 @@ def write_seed_bin(points: DataFrame, path: str) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        held, task = pd.concat(list(batches)), TaskContext.get()
-        if len(held):
+        held, task = [b for b in batches if len(b)], TaskContext.get()
+        if held:  # a range may have no rows
+            held = pd.concat(held)
             rows = np.zeros(len(held), _SEED)
             for c in held.columns:
                 rows[c] = held[c]
