@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.operators.lineage import checkpoint
-from scanloom.operators.quantiles import exact_percentiles
+from scanloom.operators.quantiles import exact_percentiles, grouped_percentiles
 from scanloom.operators.series import Series, small
 from scanloom.operators.solve import HELD, conjugate_gradient
 
@@ -64,7 +64,8 @@ def pose_consensus(poses: DataFrame, keys: Sequence[str], share: float = 0.7, le
     median + 3 * 1.4826 * MAD of both (clamped, metres and degrees). accepted if enough of them are inliers."""
     pairs = [(i, j) for i in range(4) for j in range(i, 4)]
     q = ("qx", "qy", "qz", "qw")
-    sums = poses.groupBy(*keys).agg(*[F.avg(F.col(q[i]) * F.col(q[j])).alias(f"o{i}{j}") for i, j in pairs], *[F.median(c).alias(f"m{c}") for c in ("px", "py", "pz")], F.count("*").alias("n"))
+    sums = poses.groupBy(*keys).agg(*[F.avg(F.col(q[i]) * F.col(q[j])).alias(f"o{i}{j}") for i, j in pairs], F.count("*").alias("n"))
+    sums = sums.join(small(grouped_percentiles(poses, keys, {f"m{c}": (F.col(c), 0.5) for c in ("px", "py", "pz")})), list(keys))
 
     def solve(batches):
         for rows in batches:
@@ -79,12 +80,15 @@ def pose_consensus(poses: DataFrame, keys: Sequence[str], share: float = 0.7, le
     mean = sums.mapInPandas(solve, f"{schema}, n long, " + ", ".join(f"m{c} double" for c in ("px", "py", "pz", *q)))
     dot = F.abs(sum((F.col(c) * F.col(f"m{c}") for c in q), F.lit(0.0)))
     off = poses.join(mean, list(keys)).withColumns({"off_m": F.sqrt(sum((F.pow(F.col(c) - F.col(f"m{c}"), 2) for c in ("px", "py", "pz")), F.lit(0.0))), "off_deg": F.degrees(2 * F.acos(F.least(F.lit(1.0), dot)))})
-    mid = off.groupBy(*keys).agg(F.median("off_m").alias("_a"), F.median("off_deg").alias("_b"))
-    spread = off.join(mid, list(keys)).groupBy(*keys).agg(F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.median(F.abs(F.col("off_m") - F.col("_a"))).alias("_c"), F.median(F.abs(F.col("off_deg") - F.col("_b"))).alias("_d"))
+    off = checkpoint(off)
+    mid = small(grouped_percentiles(off, keys, {"_a": (F.col("off_m"), 0.5), "_b": (F.col("off_deg"), 0.5)}))
+    far = off.join(mid, list(keys))
+    spread = mid.join(grouped_percentiles(far, keys, {"_c": (F.abs(F.col("off_m") - F.col("_a")), 0.5), "_d": (F.abs(F.col("off_deg") - F.col("_b")), 0.5)}), list(keys))
     clamp = lambda v, k: F.greatest(F.lit(least[k]), F.least(F.lit(most[k]), v))
     gates = spread.select(*keys, clamp(F.col("_a") + 3 * 1.4826 * F.col("_c"), 0).alias("gate_m"), clamp(F.col("_b") + 3 * 1.4826 * F.col("_d"), 1).alias("gate_deg"))
     held = off.join(gates, list(keys)).withColumn("_in", (F.col("off_m") <= F.col("gate_m")) & (F.col("off_deg") <= F.col("gate_deg")))
-    out = held.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("_in").alias("inliers"), F.percentile("off_m", F.lit(0.9)).alias("p90_m"), F.percentile("off_deg", F.lit(0.9)).alias("p90_deg"), F.first("gate_m").alias("gate_m"), F.first("gate_deg").alias("gate_deg"), *[F.first(f"m{c}").alias(f"m{c}") for c in ("px", "py", "pz", *q)])
+    out = held.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("_in").alias("inliers"), F.first("gate_m").alias("gate_m"), F.first("gate_deg").alias("gate_deg"), *[F.first(f"m{c}").alias(f"m{c}") for c in ("px", "py", "pz", *q)])
+    out = out.join(small(grouped_percentiles(off, keys, {"p90_m": (F.col("off_m"), 0.9), "p90_deg": (F.col("off_deg"), 0.9)})), list(keys))
     return out.withColumn("accepted", F.col("inliers") >= share * F.col("n"))
 
 
@@ -281,7 +285,9 @@ def blocked_cv(rows: DataFrame, folds: int = 5, purge: int = 5, keys: Sequence[s
     fit = umeyama(train.select(*keys, "fold", *_S, *_T), [*keys, "fold"]).select(*keys, "fold", "s", "r", "t")
     miss = F.sqrt(sum((F.pow(_moved(k) - F.col(_T[k]), 2) for k in range(3)), F.lit(0.0)))
     held = ranked.select(*keys, "fold", *_S, *_T).join(fit, [*keys, "fold"]).withColumn("_e", miss)
-    return held.groupBy(*keys, "fold").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.median("_e").alias("median"), F.percentile("_e", F.lit(0.9)).alias("p90"))
+    held = checkpoint(held.select(*keys, "fold", "_e"))
+    sums = held.groupBy(*keys, "fold").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+    return sums.join(small(grouped_percentiles(held, [*keys, "fold"], {"median": (F.col("_e"), 0.5), "p90": (F.col("_e"), 0.9)})), [*keys, "fold"])
 
 
 def edge_residuals(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as geo
+from scanloom.operators.lineage import checkpoint
+from scanloom.operators.quantiles import grouped_percentiles
+from scanloom.operators.series import small
 from scanloom.operators.tracks import asof_interpolate
 
 #: A jump of offset times in milliseconds, and the step that takes its place.
@@ -54,7 +57,9 @@ def lens_mounts(images: DataFrame, trajectory: DataFrame, lens: str = "camera",
     x, y, z = geo.quat_rotate(F.col("_b"), F.col("cx") - F.col("px"), F.col("cy") - F.col("py"), F.col("cz") - F.col("pz"))
     at = at.withColumns({"_r": geo.quat_mul(F.col("_b"), F.col("_i")), "_x": x, "_y": y, "_z": z})
     outer = [F.sum(F.col(f"_r.{a}") * F.col(f"_r.{b}")).alias(f"_{a}{b}") for a in "xyzw" for b in "xyzw"]
-    sums = at.groupBy(lens).agg(F.count("*").alias("n"), *[F.median(f"_{c}").alias(f"t{c}") for c in "xyz"], *outer)
+    at = checkpoint(at.select(lens, "_r", "_x", "_y", "_z"))
+    sums = at.groupBy(lens).agg(F.count("*").alias("n"), *outer)
+    sums = sums.join(small(grouped_percentiles(at, [lens], {f"t{c}": (F.col(f"_{c}"), 0.5) for c in "xyz"})), lens)
 
     def axis(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import color
+from scanloom.operators.lineage import checkpoint
+from scanloom.operators.quantiles import grouped_percentiles
+from scanloom.operators.series import small
+from scanloom.operators.solve import conjugate_gradient
 
 # Tracks and features
 
@@ -135,7 +139,7 @@ def border_radius(cameras: DataFrame, percent: float = 2.0) -> DataFrame:
     """The radius whose circle leaves so many hundredths of each camera's pixels outside, from its pixel grid."""
     grid = cameras.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     far = F.sqrt(F.pow(F.col("_x") + 0.5 - F.col("width") / 2, 2) + F.pow(F.col("_y") + 0.5 - F.col("height") / 2, 2))
-    return grid.withColumn("_d", far).groupBy("camera").agg(F.percentile("_d", F.lit(1 - percent / 100)).alias("radius"))
+    return grouped_percentiles(grid, ["camera"], {"radius": (far, 1 - percent / 100)})
 
 
 def sample_gate(taps: Column) -> Column:
@@ -251,39 +255,100 @@ def sample_tracks(tracks: DataFrame, points: DataFrame, n: int, per_point: int)
     return ranked.where(hit).drop("_k", "_n")
 
 
-def fit_gains(obs: DataFrame, ridge: float = 0.03, rounds: int = 4, support: int = 12, limit: float = color.LIMIT) -> DataFrame:
-    """Log gain of each frame from cyclic pairs of observations: ridge and Huber weights, the median anchored at 0.
+def _powers(radius: str) -> list[Column]:
+    return [F.pow(F.col(radius), 2.0 * p) for p in (1, 2, 3)]
 
-    Each round sums weighted normal equations by frame pair in Spark; the dense solve is of the number of frames.
+
+def _falloff(lens: str, radius: str) -> Column:
+    """Log falloff at a radius, of the numbers in columns lens1, lens2 and lens3."""
+    return sum((F.coalesce(F.col(f"{lens}{p}"), F.lit(0.0)) * v for p, v in enumerate(_powers(radius), 1)), F.lit(0.0))
+
+
+def _fit_falloff(pairs: DataFrame, rounds: int, cut: float, ridge: float, stiff: float) -> DataFrame:
+    """k1, k2, k3 of each lens: log falloff by even powers of the radius, fitted with one gain a frame to the mean of the channels.
+
+    A round sums the products of the pairs' six powers by frames and lenses, so that the rows which unknowns are told apart
+    in are as few as pairs of frames.
+    """
+    powers = [*_powers("ri"), *[-v for v in _powers("rj")]]
+    product = [(m, n) for m in range(6) for n in range(m, 6)]
+    frames = lenses = None
+    for _ in range(rounds):
+        now = pairs.withColumn("_h", F.col("w"))
+        if frames is not None:
+            for end in "ij":
+                now = now.join(small(frames.select(F.col("frame_id").alias(end), F.col("x").alias(f"x{end}"))), end, "left")
+                now = now.join(small(lenses.select(F.col("lens_id").alias(f"l{end}"), *[F.col(f"k{p}").alias(f"{end}k{p}") for p in (1, 2, 3)])), f"l{end}", "left")
+            miss = F.coalesce("xi", F.lit(0.0)) - F.coalesce("xj", F.lit(0.0)) + _falloff("ik", "ri") - _falloff("jk", "rj") - F.col("y")
+            now = now.withColumn("_h", F.col("w") * F.least(F.lit(1.0), cut / F.greatest(F.abs(miss), F.lit(1e-8))))
+        h = F.col("_h")
+        sums = now.groupBy("i", "j", "li", "lj").agg(F.sum(h).alias("s"), F.sum(h * F.col("y")).alias("sy"), *[F.sum(h * v).alias(f"s{m}") for m, v in enumerate(powers)], *[F.sum(h * v * F.col("y")).alias(f"y{m}") for m, v in enumerate(powers)], *[F.sum(h * powers[m] * powers[n]).alias(f"p{m}{n}") for m, n in product])
+        frame, lens = (lambda c: F.concat(F.lit("f"), F.col(c))), (lambda m: F.concat(F.lit(f"k{m % 3 + 1}_"), F.col("li" if m < 3 else "lj")))
+        terms = [(frame("i"), None, 1.0), (frame("j"), None, -1.0), *[(lens(m), m, 1.0) for m in range(6)]]
+
+        def cell(one: tuple, other: tuple) -> Column:
+            (_, m, a), (_, n, b) = one, other
+            value = "s" if m is None and n is None else f"s{n if m is None else m}" if m is None or n is None else f"p{min(m, n)}{max(m, n)}"
+            return F.struct(one[0].alias("i"), other[0].alias("j"), (F.col(value) * (a * b)).alias("a"))
+
+        entries = sums.select(F.explode(F.array(*[cell(one, other) for one in terms for other in terms])).alias("c")).select("c.*")
+        right = sums.select(F.explode(F.array(*[F.struct(name.alias("i"), (F.col("sy" if m is None else f"y{m}") * sign).alias("b")) for name, m, sign in terms])).alias("c")).select("c.*")
+        stay = F.when(F.col("i").startswith("f"), ridge**2).otherwise(stiff**2)
+        entries = entries.unionByName(entries.select("i").distinct().select("i", F.col("i").alias("j"), stay.alias("a")))
+        x = conjugate_gradient(entries, right)
+        kind = dict(pairs.dtypes)
+        frames = checkpoint(x.where(F.col("i").startswith("f")).select(F.substring("i", 2, 99).cast(kind["i"]).alias("frame_id"), "x"))
+        named = x.where(F.col("i").startswith("k")).select(F.substring_index(F.substring("i", 2, 99), "_", 1).alias("p"), F.expr("substring(i, instr(i, '_') + 1)").cast(kind["li"]).alias("lens_id"), "x")
+        lenses = checkpoint(named.groupBy("lens_id").agg(*[F.max(F.when(F.col("p") == str(p), F.col("x"))).alias(f"k{p}") for p in (1, 2, 3)]))
+    return lenses.select("lens_id", *[F.greatest(F.lit(-0.5), F.least(F.lit(0.5), f"k{p}")).alias(f"k{p}") for p in (1, 2, 3)])
+
+
+def fit_gains(obs: DataFrame, ridge: float = 0.03, rounds: int = 4, support: int = 12, limit: float = color.LIMIT, vignette: bool = True, cut: float = 0.08, stiff: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(frame_id, gain_r, gain_g, gain_b, support, component) and (lens_id, k1, k2, k3), in logs of linear light.
+
+    From cyclic pairs of each point's observations: the lenses' falloff first, from the mean of the channels, then the gains
+    of each frame and channel; ridge and Huber weights. Frames that pairs connect are one component, whose median gain is 0
+    in each channel; frames with less support than the bound have no gain. All systems are sparse: sums by pairs of frames.
     """
+    from scanloom.operators.registration import components
     from scanloom.operators.tracks import cyclic_pairs
 
-    luma = sum((color.to_linear(c) * k for c, k in (("r", 0.2126), ("g", 0.7152), ("b", 0.0722))), F.lit(0.0))
-    rows = obs.withColumn("l", F.log(F.greatest(luma, F.lit(1e-4)))).select("point_id", "frame_id", "obs", "l", "weight")
-    pairs = cyclic_pairs(rows).where("a.frame_id <> b.frame_id").select(F.col("a.frame_id").alias("i"), F.col("b.frame_id").alias("j"), (F.col("b.l") - F.col("a.l")).alias("y"), F.sqrt(F.col("a.weight") * F.col("b.weight")).alias("w"))
-    frames = [r["frame_id"] for r in obs.groupBy("frame_id").count().where(F.col("count") >= support).orderBy("frame_id").collect()]  # frames of a model
-    at = {f: k for k, f in enumerate(frames)}
-    x = np.zeros(len(frames))
-    for turn in range(rounds):
-        table = F.create_map(*[v for f, k in at.items() for v in (F.lit(f), F.lit(float(x[k])))])
-        miss = F.col("y") - (F.element_at(table, F.col("i")) - F.element_at(table, F.col("j")))
-        huber = F.least(F.lit(1.0), 0.1 / F.greatest(F.abs(miss), F.lit(1e-9))) if turn else F.lit(1.0)
-        weight = F.col("w") * huber
-        held = pairs.where(F.col("i").isin(*frames) & F.col("j").isin(*frames)) if frames else pairs.limit(0)
-        sums = held.groupBy("i", "j").agg(F.sum(weight).alias("w"), F.sum(weight * F.col("y")).alias("wy")).collect()  # frames squared at most
-        a, b = np.zeros((len(frames),) * 2), np.zeros(len(frames))
-        for r in sums:
-            i, j = at[r["i"]], at[r["j"]]
-            a[i, i] += r["w"]
-            a[j, j] += r["w"]
-            a[i, j] -= r["w"]
-            a[j, i] -= r["w"]
-            b[i] += r["wy"]
-            b[j] -= r["wy"]
-        scale = max(np.trace(a) / max(len(frames), 1), 1e-12)
-        x = np.linalg.solve(a + ridge * scale * np.eye(len(frames)), b) if frames else x
-    x = np.clip(x - np.median(x), -limit, limit) if len(x) else x
-    return obs.sparkSession.createDataFrame([(int(f), float(v)) for f, v in zip(frames, x, strict=True)], "frame_id long, gain double")
+    rows = obs.select("point_id", "frame_id", "obs", "lens_id", "radius", "weight", *[F.log(F.greatest(color.to_linear(c), F.lit(1e-5))).alias(f"l{c}") for c in "rgb"])
+    both = cyclic_pairs(rows)
+    ends = [F.col(f"{at}.{c}").alias(f"{n}{end}") for at, end in (("a", "i"), ("b", "j")) for c, n in (("frame_id", ""), ("lens_id", "l"), ("radius", "r"))]
+    pairs = both.select(*ends, F.least("a.weight", "b.weight").alias("w"), *[(F.col(f"a.l{c}") - F.col(f"b.l{c}")).alias(f"y{c}") for c in "rgb"])
+    pairs = checkpoint(pairs.withColumn("y", (F.col("yr") + F.col("yg") + F.col("yb")) / 3))
+    spark = obs.sparkSession
+    if vignette:
+        lenses = checkpoint(_fit_falloff(pairs.select("i", "j", "li", "lj", "ri", "rj", "w", "y"), rounds, cut, ridge, stiff))
+    else:
+        lenses = spark.createDataFrame([], f"lens_id {dict(obs.dtypes)['lens_id']}, k1 double, k2 double, k3 double")
+    for end in "ij":
+        pairs = pairs.join(small(lenses.select(F.col("lens_id").alias(f"l{end}"), *[F.col(f"k{p}").alias(f"{end}k{p}") for p in (1, 2, 3)])), f"l{end}", "left")
+    off = _falloff("ik", "ri") - _falloff("jk", "rj")
+    pairs = checkpoint(pairs.where("i <> j").select("i", "j", "w", *[(F.col(f"y{c}") - off).alias(f"y{c}") for c in "rgb"]))
+    gains = None
+    for _ in range(rounds):
+        now = pairs.withColumns({f"h{c}": F.col("w") for c in "rgb"})
+        if gains is not None:
+            for end in "ij":
+                now = now.join(small(gains.select(F.col("frame_id").alias(end), *[F.col(c).alias(f"{end}{c}") for c in "rgb"])), end, "left")
+            now = now.withColumns({f"h{c}": F.col("w") * F.least(F.lit(1.0), cut / F.greatest(F.abs(F.col(f"i{c}") - F.col(f"j{c}") - F.col(f"y{c}")), F.lit(1e-8))) for c in "rgb"})
+        sums = now.groupBy("i", "j").agg(*[F.sum(f"h{c}").alias(f"h{c}") for c in "rgb"], *[F.sum(F.col(f"h{c}") * F.col(f"y{c}")).alias(f"y{c}") for c in "rgb"])
+        name = lambda c, end: F.struct(F.lit(c).alias("c"), F.col(end).alias("f"))
+        cells = [F.struct(name(c, a).alias("i"), name(c, b).alias("j"), (F.col(f"h{c}") * (1.0 if a == b else -1.0)).alias("a")) for c in "rgb" for a in "ij" for b in "ij"]
+        entries = sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        right = sums.select(F.explode(F.array(*[F.struct(name(c, a).alias("i"), (F.col(f"y{c}") * sign).alias("b")) for c in "rgb" for a, sign in (("i", 1.0), ("j", -1.0))])).alias("c")).select("c.*")
+        entries = entries.unionByName(entries.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(ridge**2).alias("a")))
+        x = conjugate_gradient(entries, right)
+        gains = checkpoint(x.groupBy(F.col("i.f").alias("frame_id")).agg(*[F.max(F.when(F.col("i.c") == c, F.col("x"))).alias(c) for c in "rgb"]))
+    held = obs.groupBy("frame_id").agg(F.count("*").alias("support")).join(gains, "frame_id", "left")
+    joined = components(pairs.select("i", "j").distinct()).select(F.col("id").alias("frame_id"), "component")
+    held = checkpoint(held.join(joined, "frame_id", "left").withColumn("component", F.coalesce("component", "frame_id")))
+    mid = held.where(F.col("support") >= support).groupBy("component").agg(*[F.median(c).alias(f"_{c}") for c in "rgb"])  # a row a frame
+    out = held.join(mid, "component", "left")
+    fixed = lambda c: F.when(F.col("support") >= support, F.greatest(F.lit(-limit), F.least(F.lit(limit), F.coalesce(F.col(c) - F.col(f"_{c}"), F.lit(0.0))))).otherwise(0.0)
+    return out.select("frame_id", *[fixed(c).alias(f"gain_{c}") for c in "rgb"], "support", "component"), lenses
 
 
 def fit_chroma(obs: DataFrame, ridge: float = 0.1, passes: int = 3) -> DataFrame:
@@ -328,41 +393,59 @@ def fit_chroma(obs: DataFrame, ridge: float = 0.1, passes: int = 3) -> DataFrame
     return h
 
 
-def fit_grids(obs: DataFrame, shape: tuple[int, int, int] = (3, 3, 4), smooth: float = 0.5) -> DataFrame:
-    """A bilateral grid of log gains for each lens (u by radius, v by green, luma), smooth and of mean zero.
+def fit_grids(obs: DataFrame, smooth: float = 2.0, least: float = 0.15, anchor: float = 16.0) -> DataFrame:
+    """For each lens a grid over the image (u and v from 0 to 1: 3 x 3) and luma (4) of log gains of the three channels: 108 numbers,
+    by luma, then v, u and channel.
 
-    The eight corners of each observation are summed by pairs of cells in Spark: at most cells squared rows a lens.
+    Trilinear towards the leave-one-out targets in linear light, smooth, small, and of mean zero, first over the cells and then
+    over the observations: exposure is the gains' matter. One aggregation by lens and inner cell (12 of them) of the products
+    of its eight corners; a lens is solved from those rows. Obs: point_id, lens_id, weight, u, v, r, g, b.
     """
-    rows = loo_targets(obs).where("target_g is not null").withColumn("y", F.log(F.greatest(F.col("target_g"), F.lit(1e-3)) / F.greatest(F.col("g"), F.lit(1e-3))))
-    cells = []
-    for value, n in zip((F.col("radius"), F.col("r"), F.col("g")), shape, strict=True):
+    shape = (3, 3, 4)  # u, v, luma
+    rows = loo_targets(obs.withColumns({c: color.to_linear(c) for c in "rgb"})).where("target_r is not null and target_g is not null and target_b is not null")
+    luma = sum((F.col(c) * k for c, k in (("r", 0.2126), ("g", 0.7152), ("b", 0.0722))), F.lit(0.0))
+    base, parts = [], []
+    for value, n in zip((F.col("u"), F.col("v"), luma), shape, strict=True):
         at = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * (n - 1)
         low = F.least(F.floor(at), F.lit(n - 2)).cast("int")
-        cells.append((low, at - low))
-    corners = []
-    for corner in range(8):
-        weight, index = F.lit(1.0), []
-        for k, (low, part) in enumerate(cells):
-            up = corner >> k & 1
-            weight, index = weight * (part if up else 1 - part), [*index, low + up]
-        corners.append(F.struct(((index[2] * shape[1] + index[1]) * shape[0] + index[0]).alias("c"), weight.alias("w")))
-    both = rows.withColumn("_a", F.array(*corners)).withColumn("a", F.explode("_a")).withColumn("b", F.explode("_a"))
-    sums = both.groupBy("lens_id", F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("weight") * F.col("a.w") * F.col("b.w")).alias("w"), F.sum(F.col("weight") * F.col("a.w") * F.col("b.w") * F.col("y")).alias("wy"))
+        base.append(low)
+        parts.append(at - low)
+    corner = []
+    for k in range(8):
+        weight = F.lit(1.0)
+        for axis, part in enumerate(parts):
+            weight = weight * (part if k >> axis & 1 else 1 - part)
+        corner.append(weight)
+    log = lambda c: F.log(F.greatest(c, F.lit(1e-5)))
+    rows = rows.select("lens_id", F.greatest("weight", F.lit(0.02)).alias("w"), *[b.alias(f"b{k}") for k, b in enumerate(base)], *[c.alias(f"c{k}") for k, c in enumerate(corner)], *[(log(F.col(f"target_{c}")) - log(F.col(c))).alias(f"y{c}") for c in "rgb"])
+    both = [(i, j) for i in range(8) for j in range(i, 8)]
+    sums = rows.groupBy("lens_id", "b0", "b1", "b2").agg(
+        F.count("*").alias("n"), *[F.sum(f"c{i}").alias(f"m{i}") for i in range(8)], *[F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"a{i}{j}") for i, j in both],
+        *[F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"y{c}")).alias(f"y{i}{c}") for i in range(8) for c in "rgb"],
+    )
     size = shape[0] * shape[1] * shape[2]
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        a, y = np.zeros((size, size)), np.zeros(size)
-        np.add.at(a, (rows["i"].to_numpy(), rows["j"].to_numpy()), rows["w"].to_numpy())
-        np.add.at(y, rows["i"].to_numpy(), rows["wy"].to_numpy())
-        place = np.arange(size).reshape(shape[2], shape[1], shape[0])
+    def solve(cells: pd.DataFrame) -> pd.DataFrame:
+        a, y, mean = np.zeros((size, size)), np.zeros((size, 3)), np.zeros(size)
+        for cell in cells.to_dict("records"):  # 12 at most
+            place = [((cell["b2"] + (k >> 2)) * shape[1] + cell["b1"] + (k >> 1 & 1)) * shape[0] + cell["b0"] + (k & 1) for k in range(8)]
+            for i, j in both:
+                a[place[i], place[j]] += cell[f"a{i}{j}"]
+                if i != j:
+                    a[place[j], place[i]] += cell[f"a{i}{j}"]
+            for i in range(8):
+                y[place[i]] += [cell[f"y{i}{c}"] for c in "rgb"]
+                mean[place[i]] += cell[f"m{i}"]
+        grid = np.arange(size).reshape(shape[::-1])
         for axis in range(3):
-            p, q = (np.take(place, range(lo, lo + place.shape[axis] - 1), axis).ravel() for lo in (0, 1))
+            p, q = (np.take(grid, range(lo, lo + grid.shape[axis] - 1), axis).ravel() for lo in (0, 1))
             for x, z, s in ((p, p, 1), (q, q, 1), (p, q, -1), (q, p, -1)):
-                np.add.at(a, (x, z), s * smooth)
-        g = np.linalg.solve(a + 1e-3 * np.eye(size), y)
-        return pd.DataFrame({"lens_id": [rows["lens_id"].iloc[0]], "grid": [(g - g.mean()).tolist()]})
+                np.add.at(a, (x, z), s * smooth**2)
+        g = np.linalg.solve(a + least**2 * np.eye(size) + (anchor / size) ** 2, y)
+        g -= mean @ g / cells["n"].sum()
+        return pd.DataFrame({"lens_id": [cells["lens_id"].iloc[0]], "grid": [g.ravel().tolist()]})
 
-    return sums.groupBy("lens_id").applyInPandas(solve, "lens_id long, grid array<double>")
+    return sums.groupBy("lens_id").applyInPandas(solve, f"lens_id {dict(obs.dtypes)['lens_id']}, grid array<double>")
 
 
 def pair_metrics(obs: DataFrame, models: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -375,4 +458,9 @@ def pair_metrics(obs: DataFrame, models: dict[str, Callable[[DataFrame], DataFra
     rows = out.withColumns({f"l_{k}": v for k, v in lin.items()})
     err = sum((F.pow(F.col(f"l_{c}") - F.col(f"l_target_{c}"), 2) for c in "rgb"), F.lit(0.0)) / 3
     de = color.delta_e76([F.col(f"l_{c}") for c in "rgb"], [F.col(f"l_target_{c}") for c in "rgb"])
-    return rows.withColumns({"_e": err, "_d": de}).cube("split", "model").agg(F.count("*").alias("n"), F.sqrt(F.avg("_e")).alias("rmse"), F.avg("_d").alias("delta_e"), F.percentile("_d", F.lit(0.9)).alias("p90"))
+    none = F.lit(None).cast("string")
+    each = F.array(*[F.struct(s.alias("split"), m.alias("model")) for s in (F.col("split"), none) for m in (F.col("model"), none)])
+    rows = checkpoint(rows.select(F.explode(each).alias("_g"), err.alias("_e"), de.alias("_d")).select("_g.*", "_e", "_d"))
+    sums = rows.groupBy("split", "model").agg(F.count("*").alias("n"), F.sqrt(F.avg("_e")).alias("rmse"), F.avg("_d").alias("delta_e"))
+    high = grouped_percentiles(rows, ["split", "model"], {"p90": (F.col("_d"), 0.9)})
+    return sums.join(small(high), sums["split"].eqNullSafe(high["split"]) & sums["model"].eqNullSafe(high["model"])).select(sums["split"], sums["model"], "n", "rmse", "delta_e", "p90")

@@ -96,7 +96,7 @@ add("a39_loo_targets", lambda t: rounded(op.loo_targets(t("observations")).selec
     "SELECT obs, point_id, " + ", ".join(r(f"(sum(weight * {c}) OVER w - weight * {c}) / nullif(CASE WHEN count(*) OVER w > 1 THEN sum(weight) OVER w - weight ELSE 0 END, 0)", f"target_{c}") for c in "rgb") + " FROM observations WINDOW w AS (PARTITION BY point_id)", "observations")
 add("a43_split_points", lambda t: op.split_points(t("observations")).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("point_id").alias("points")),
     "WITH s AS (SELECT point_id, ((point_id * 48271 + 17) % 2147483647 * 69621) % 2147483647 % 5 AS k FROM observations) SELECT CASE WHEN k < 3 THEN 'train' WHEN k = 3 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT point_id) AS points FROM s GROUP BY 1", "observations")
-add("a37_fit_gains", lambda t: rounded(op.fit_gains(t("observations")), "gain", digits=5))
+add("a37_fit_gains", lambda t: rounded(op.fit_gains(t("observations"))[0], "gain_r", "gain_g", "gain_b", digits=5))
 add("a40_fit_chroma", lambda t: op.fit_chroma(t("observations")).select("frame_id", "n", F.posexplode("h").alias("term", "value")).withColumn("value", F.round("value", 5)))
 add("a41_fit_grids", lambda t: op.fit_grids(t("observations")).select("lens_id", F.posexplode("grid").alias("cell", "value")).withColumn("value", F.round("value", 5)))
 add("a42_pair_metrics", lambda t: rounded(op.pair_metrics(t("observations"), {"off": lambda o: o, "half": lambda o: o.withColumns({c: F.col(c) * 0.5 for c in "rgb"})}), "rmse", "delta_e", "p90", digits=5))

@@ -39,7 +39,7 @@ SQL: dict[str, str] = {
         FROM (SELECT e.*, c.copy FROM events AS e CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1 AS copy) AS c
           WHERE event_type = 'purchase' AND (c.copy = 0 OR event_id % 5 = 0)) AS e""",
     "observations": """
-        SELECT l_partkey AS point_id, l_suppkey % 12 AS frame_id, l_suppkey % 2 AS lens_id, l_quantity / 51 AS radius, 1 / (1 + l_tax) AS weight,
+        SELECT l_partkey AS point_id, l_suppkey % 12 AS frame_id, l_suppkey % 2 AS lens_id, l_quantity / 51 AS radius, l_quantity / 51 AS u, l_discount * 10 AS v, 1 / (1 + l_tax) AS weight,
           (30 + CAST(floor(l_extendedprice) AS BIGINT) % 200) / 255.0E0 AS r, (30 + CAST(floor(l_extendedprice) AS BIGINT) * 3 % 200) / 255.0E0 AS g,
           (30 + CAST(floor(l_extendedprice) AS BIGINT) * 7 % 200) / 255.0E0 AS b, (((l_orderkey * 8 + l_linenumber) * 200000 + l_partkey) * 10000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS obs
         FROM lineitem""",
