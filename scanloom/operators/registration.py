@@ -92,9 +92,13 @@ def pose_consensus(poses: DataFrame, keys: Sequence[str], share: float = 0.7, le
     return out.withColumn("accepted", F.col("inliers") >= share * F.col("n"))
 
 
-def lag_join(a: DataFrame, b: DataFrame, lags: Sequence[int], keys: Sequence[str] = ("session",)) -> DataFrame:
-    """Values of both signals at grid places that differ by each lag (b's place = a's place + lag): an equi-join on the place."""
-    left = a.select(*keys, F.col("k").alias("_ka"), F.col("value").alias("va")).withColumn("lag", F.explode(F.array(*[F.lit(int(x)) for x in lags])))
+def lag_join(a: DataFrame, b: DataFrame, lags: Sequence[int] | DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """Values of both signals at grid places that differ by each lag (b's place = a's place + lag): an equi-join on the place.
+
+    Lags are the same for all series, or rows of keys and lag.
+    """
+    left = a.select(*keys, F.col("k").alias("_ka"), F.col("value").alias("va"))
+    left = left.join(small(lags), list(keys)) if isinstance(lags, DataFrame) else left.withColumn("lag", F.explode(F.array(*[F.lit(int(x)) for x in lags])))
     return left.withColumn("k", F.col("_ka") + F.col("lag")).join(b.select(*keys, "k", F.col("value").alias("vb")), [*keys, "k"]).drop("_ka")
 
 
@@ -115,14 +119,73 @@ def lag_correlation(a: DataFrame, b: DataFrame, lags: Sequence[int], keys: Seque
     return out.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ok")
 
 
-def search_offset(views: DataFrame, trajectory: DataFrame, offsets: Sequence[float], keys: Sequence[str] = ("session",)) -> DataFrame:
+def sync_clocks(a: DataFrame, b: DataFrame, reach: float, rates: Sequence[int] = (1, 10, 100), value: str = "w", keys: Sequence[str] = ("session",), seconds: float = 5.0, share: float = 0.5, score: float = 0.55, margin: float = 0.03, apart: float = 2.0) -> DataFrame:
+    """The offset of two clocks (time in b less time in a) from a signal that both recorded, from coarse to fine grids.
+
+    All lags within the reach are correlated at the first rate, where the peak must stand out from all that are so many
+    seconds apart; each further rate, a multiple of the one before, tries the lags within a step of the best. Per series:
+    offset (null unless accepted), score, overlap in samples, runner_up, margin, reason and accepted. The work of a rate
+    grows with samples times lags, which are few but at the coarsest.
+    """
+    from scanloom.operators.tracks import resample
+
+    if any(later % rate for rate, later in zip(rates, rates[1:], strict=False)) or list(rates) != sorted(set(rates)):
+        raise ValueError("each rate must be a multiple of the one before")
+    starts = [rows.groupBy(*keys).agg(F.min("t").alias(n)) for rows, n in ((a, "_ta"), (b, "_tb"))]
+    first = rates[0]
+    steps = int(np.ceil(reach * first))
+    grids = [checkpoint(resample(rows, first, value, keys)) for rows in (a, b)]
+    found = checkpoint(lag_correlation(*grids, range(-steps, steps + 1), keys, int(np.ceil(seconds * first)), share, score, margin, max(1, int(np.ceil(apart * first)))))
+    best = found.where("best_lag is not null").select(*keys, F.col("best_lag").cast("long").alias("lag"), "score", "overlap")
+    for rate, later in zip(rates, rates[1:], strict=False):
+        ratio = later // rate
+        near = best.select(*keys, F.explode(F.sequence(F.col("lag") * ratio - ratio, F.col("lag") * ratio + ratio)).alias("lag"))
+        by_lag = lag_join(*[resample(rows, later, value, keys) for rows in (a, b)], near, keys).groupBy(*keys, "lag").agg(F.corr("va", "vb").alias("r"), F.count("*").alias("n"))
+        top = by_lag.where("r is not null and not isnan(r)").groupBy(*keys).agg(F.max(F.struct("r", (-F.col("lag")).alias("_l"), "n")).alias("_b"))
+        best = checkpoint(top.select(*keys, (-F.col("_b._l")).alias("lag"), F.col("_b.r").alias("score"), F.col("_b.n").alias("overlap")))
+    out = found.select(*keys, "runner_up", "margin", "reason", "accepted").join(best, list(keys), "left")
+    for start in starts:
+        out = out.join(start, list(keys), "left")
+    offset = F.col("_tb") - F.col("_ta") + F.col("lag") / rates[-1]
+    return out.select(*keys, F.when(F.col("accepted"), offset).alias("offset"), "score", "overlap", "runner_up", "margin", "reason", "accepted")
+
+
+def refine_offset(views: DataFrame, trajectory: DataFrame, low: float, high: float, step: float, levels: int = 2, finer: int = 10, margin: float = 0.05, least: int = 6, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """The clock offset between low and high at which the views fit the trajectory best, on grids from coarse to fine.
+
+    Only offsets with at least so many views inside the trajectory, and half of the most that any has, are compared. The best of the
+    first grid must be better by the margin than all that are two steps or more away (unique); each further level parts
+    two steps about the best. Per series: dt, s, rmse, n, rival (the other's rmse, null if there is none) and unique.
+    """
+    if not low < high or step <= 0:
+        raise ValueError("a span and a step above 0")
+    count = int(np.floor((high - low) / step + 1e-9)) + 1
+    offsets, best, first, width = [low + k * step for k in range(count)], None, None, step
+    for level in range(levels):
+        tried = checkpoint(search_offset(views, trajectory, offsets, keys).drop("rank"))
+        full = tried.groupBy(*keys).agg(F.max("n").alias("_most"))
+        held = tried.join(small(full), list(keys)).where((F.col("n") >= least) & (2 * F.col("n") >= F.col("_most")) & F.col("rmse").isNotNull())
+        best = checkpoint(held.groupBy(*keys).agg(F.min(F.struct("rmse", F.abs("dt").alias("_a"), "dt", "s", "n")).alias("_b")).select(*keys, "_b.dt", "_b.s", "_b.rmse", "_b.n"))
+        if level == 0:
+            other = held.select(*keys, F.col("dt").alias("_d"), F.col("rmse").alias("_r")).join(small(best), list(keys)).where(F.abs(F.col("_d") - F.col("dt")) >= 2 * step * (1 - 1e-9))
+            first = checkpoint(best.select(*keys, F.col("rmse").alias("_first")).join(other.groupBy(*keys).agg(F.min("_r").alias("rival")), list(keys), "left"))
+        steps = F.sequence(F.lit(-finer), F.lit(finer))
+        width /= finer
+        offsets = best.select(*keys, "dt", F.explode(steps).alias("_k")).select(*keys, (F.col("dt") + F.col("_k") * width).alias("dt"))
+    unique = F.col("rival").isNull() | (F.col("_first") * (1 + margin) < F.col("rival"))
+    return best.join(first, list(keys)).withColumn("unique", unique).drop("_first")
+
+
+def search_offset(views: DataFrame, trajectory: DataFrame, offsets: Sequence[float] | DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """For each candidate clock offset, how well the views' centres fit the trajectory at their shifted times; best has the least error.
 
-    views: t, cx, cy, cz. Candidates are exploded and interpolated in one as-of pass, then fitted group by group.
+    views: t, cx, cy, cz. Candidates, the same for all series or rows of keys and dt, are interpolated in one as-of pass,
+    then fitted group by group.
     """
     from scanloom.operators.tracks import asof_interpolate
 
-    tried = views.withColumn("dt", F.explode(F.array(*[F.lit(float(x)) for x in offsets]))).withColumn("t", F.col("t") + F.col("dt"))
+    tried = views.join(small(offsets), list(keys)) if isinstance(offsets, DataFrame) else views.withColumn("dt", F.explode(F.array(*[F.lit(float(x)) for x in offsets])))
+    tried = tried.withColumn("t", F.col("t") + F.col("dt"))
     at = asof_interpolate(tried, trajectory, "drop", keys)
     pairs = at.select(*keys, "dt", F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("cz").alias("sz"), F.col("px").alias("tx"), F.col("py").alias("ty"), F.col("pz").alias("tz"))
     fit = umeyama(pairs, [*keys, "dt"])
