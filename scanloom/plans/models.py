@@ -123,6 +123,9 @@ add("a26_lag_correlation", lambda t: rounded(reg.lag_correlation(_hourly(t, "vie
     f"""WITH {_H}, ok AS (SELECT * FROM lg WHERE n >= 20 AND n >= 0.5 * (SELECT count(*) FROM ha)), b AS (SELECT arg_max(lag, r) AS best, max(r) AS score, arg_max(n, r) AS n FROM ok) SELECT CAST(0 AS BIGINT) AS session, best AS best_lag, any_value(b.n) AS overlap, {r('any_value(score)', 'score')}, {r('max(r) FILTER (abs(lag - best) >= 2)', 'runner_up')}, 'ok' AS reason, TRUE AS accepted FROM ok, b GROUP BY best""")
 add("a27_search_offset", lambda t: reg.search_offset(t("trajectory").select("session", (F.col("t") - 600).alias("t"), (F.col("px") * 2).alias("cx"), (F.col("py") * 2).alias("cy"), (F.col("pz") * 2).alias("cz")), t("trajectory"), [0.0, 300.0, 600.0, 900.0]).where("rank = 1").select("session", "dt", F.round("s", 4).alias("s")),
     "SELECT session, 600.0::DOUBLE AS dt, 0.5::DOUBLE AS s FROM (SELECT DISTINCT session FROM trajectory)", "trajectory")
+add("a27_refine_offset", lambda t: reg.refine_offset(t("trajectory").select("session", (F.col("t") - 300 - 30 * F.col("session")).alias("t"), (F.col("px") * 2).alias("cx"), (F.col("py") * 2).alias("cy"), (F.col("pz") * 2).alias("cz")), t("trajectory"), 0.0, 1200.0, 300.0).select("session", F.round("dt", 3).alias("dt"), F.round("s", 4).alias("s"), "n"),
+    """WITH e AS (SELECT session, min(t) AS a, max(t) AS b FROM trajectory GROUP BY 1)
+    SELECT session, (300 + 30 * session)::DOUBLE AS dt, 0.5::DOUBLE AS s, count(*) FILTER (t BETWEEN a AND b) AS n FROM trajectory JOIN e USING (session) GROUP BY 1""", "trajectory")
 add("a46_blocked_cv", lambda t: rounded(reg.blocked_cv(t("trajectory").select("session", "t", F.col("px").alias("sx"), F.col("py").alias("sy"), F.col("pz").alias("sz"), (2 * F.col("px") + 1).alias("tx"), (2 * F.col("py")).alias("ty"), (2 * F.col("pz") + F.col("px") % 3 / 10).alias("tz"), F.col("t").alias("id"))).select("session", "fold", "n", "rmse"), "rmse", digits=4))
 _EDGE = "ed AS (SELECT session, node AS i, lead(node) OVER (PARTITION BY session ORDER BY node) AS j FROM nodes)"
 
