@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.operators import neighbours
 from scanloom.operators.lineage import checkpoint
@@ -89,14 +91,11 @@ def cov_sums(*values: Column | str) -> list[Column]:
 def plane_fit(rows: DataFrame, keys: Sequence[str], names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Centroid, eigenvalues l0 <= l1 <= l2 of the covariance (over n) and the normal of each group.
 
-    Nine sums in one aggregation, taken about the group's first point, so that map coordinates cost no precision.
+    One aggregation: Spark's covariances update and merge about running means, so that map coordinates cost no precision.
     """
-    origin = rows.groupBy(*keys).agg(*[F.min(c).alias(f"_o{c}") for c in names])
-    near = rows.join(origin, list(keys))
-    sums = near.groupBy(*keys).agg(*cov_sums(*[F.col(c) - F.col(f"_o{c}") for c in names]), *[F.first(f"_o{c}").alias(f"_o{c}") for c in names])
-    m = [F.col(f"s{c}") / F.col("n") for c in "xyz"]
-    cov = [F.col(f"s{'xyz'[i]}{'xyz'[j]}") / F.col("n") - m[i] * m[j] for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]
-    named = sums.select(*keys, "n", *[(v + F.col(f"_o{c}")).alias(f"c{k}") for v, c, k in zip(m, names, "xyz", strict=True)], *[c.alias(f"_{k}") for c, k in zip(cov, "abcdef", strict=True)])
+    moments = [F.covar_pop(names[i], names[j]).alias(f"_{k}") for k, (i, j) in zip("abcdef", ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)), strict=True)]
+    held = rows.where(" and ".join(f"`{c}` is not null" for c in names))
+    named = held.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"c{k}") for c, k in zip(names, "xyz", strict=True)], *moments)
     kinds = dict(named.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "n", "cx", "cy", "cz")) + ", " + ", ".join(f"{c} double" for c in ("l0", "l1", "l2", "nx", "ny", "nz"))
     return named.mapInPandas(_eigen, schema)
@@ -246,23 +245,53 @@ def loop_candidates(nodes: DataFrame, seconds: float = 25.0, distance: float = 1
     return pairs.where((F.col("node_b") > F.col("node")) & (F.col("t_b") - F.col("t") >= seconds)).select(*keys, F.col("node").alias("i"), F.col("node_b").alias("j"), F.col("d").alias("distance"), (F.col("t_b") - F.col("t")).alias("dt"))
 
 
-def greedy_cap(pairs: DataFrame, cap: int, keys: Sequence[str] = ("session",)) -> DataFrame:
+#: Open pairs of a series that are decided in order in one task (some 100 bytes each); longer series are thinned by rounds first.
+IN_ORDER = 50_000
+
+
+def greedy_cap(pairs: DataFrame, cap: int, keys: Sequence[str] = ("session",), in_order: int = IN_ORDER) -> DataFrame:
     """Pairs of two nodes in order of distance, then longest apart in time; one is accepted while both its nodes have fewer than cap.
 
-    By rounds: a pair is accepted once, at both nodes, no more pairs before it are open than the node has room for;
-    then nothing that is still open can stop it. Open pairs of full nodes are not accepted. The first open pair is
-    always decided. Each round ranks the pairs of one node, never those of a whole session.
+    A series with at most in_order open pairs is walked in that order by one task, so chains of pairs that wait for each
+    other cost no rounds. Of longer series, a round accepts a pair once, at both nodes, no more pairs before it are open
+    than the node has room for; then nothing that is still open can stop it. Open pairs of full nodes are not accepted.
+    The first open pair is always decided. Each round ranks the pairs of one node, never those of a whole series.
     """
     order = ["distance", "_l", "i", "j", "_id"]
     left = checkpoint(pairs.withColumns({"_id": F.monotonically_increasing_id(), "_l": -F.col("dt"), "_ri": F.lit(cap), "_rj": F.lit(cap)}))
+    group, names = list(keys) or [F.lit(0).alias("_all")], pairs.columns
     out = None
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        room: dict = {}
+        for end in "ij":
+            room |= dict(zip(rows[end].tolist(), rows[f"_r{end}"].tolist(), strict=True))
+        taken = []
+        for i, j in zip(rows["i"].tolist(), rows["j"].tolist(), strict=True):
+            good = room[i] > 0 and room[j] > 0
+            if good:
+                room[i] -= 1
+                room[j] -= 1
+            taken.append(good)
+        return rows[names].assign(accepted=taken)
+
     while not left.isEmpty():
+        few = left.groupBy(*group).agg(F.count("*").alias("_few")).where(F.col("_few") <= in_order)
+        if keys:
+            now = left.join(few, list(keys), "left_semi")
+        else:
+            now = left.crossJoin(F.broadcast(few.select("_few"))).drop("_few")  # one row, or none
+        done = checkpoint(now.groupBy(*group).applyInPandas(walk, T.StructType([*pairs.schema.fields, T.StructField("accepted", T.BooleanType())])))
+        out = done if out is None else out.unionByName(done)
+        left = left.join(few, list(keys), "left_anti") if keys else (left if few.isEmpty() else left.limit(0))
+        if left.isEmpty():
+            break
         ends = left.select(*keys, *order, F.explode(F.array(F.struct(F.col("i").alias("node"), F.col("_ri").alias("room")), F.struct(F.col("j").alias("node"), F.col("_rj").alias("room")))).alias("_e")).select(*keys, *order, "_e.*")
         place = F.row_number().over(Window.partitionBy(*keys, "node").orderBy(*order))
         free = ends.withColumn("_ok", place <= F.col("room")).groupBy("_id").agg(F.min("_ok").alias("_free"), F.min("room").alias("_room"))
         now = checkpoint(left.join(free, "_id").withColumn("accepted", F.when(F.col("_room") <= 0, False).when(F.col("_free"), True)))
-        done = now.where("accepted is not null").select(*pairs.columns, "accepted")
-        out = done if out is None else out.unionByName(done)
+        out = out.unionByName(now.where("accepted is not null").select(*pairs.columns, "accepted"))
         taken = now.where("accepted").select(*keys, F.explode(F.array("i", "j")).alias("_n")).groupBy(*keys, "_n").agg(F.count("*").alias("_t"))
         left = now.where("accepted is null").drop("accepted", "_free", "_room")
         for end in "ij":

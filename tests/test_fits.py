@@ -5,7 +5,9 @@ import glob
 import numpy as np
 import pytest
 
-from scanloom.operators import registration, solve
+from pyspark.sql import functions as F
+
+from scanloom.operators import registration, solve, spatial
 from scanloom.sources import pointfiles
 
 
@@ -104,3 +106,17 @@ def test_las_that_is_too_wide(spark, tmp_path):
     assert done.count() == 2
     back = pointfiles.read_points(spark, f"{tmp_path}/two/*.las").orderBy("x").collect()
     assert [(round(b["x"], 3), round(b["y"], 3)) for b in back] == [(0.0, 0.0), (5e6, 7e6)]
+
+
+def test_mergeable_moments_equal_numpy(spark):
+    xyz = np.random.default_rng(6).normal(size=(90, 3))
+    s = _frame(spark, xyz).agg(*spatial.cov_sums("x", "y", "z")).first()
+    assert s["n"] == 90 and np.allclose([s["sx"], s["sy"], s["sz"]], xyz.sum(0))
+    assert np.allclose([s["sxx"], s["sxy"], s["sxz"], s["syy"], s["syz"], s["szz"]], (xyz.T @ xyz)[np.triu_indices(3)])
+
+
+def test_planes_at_map_coordinates(spark):
+    r = np.random.default_rng(7)
+    flat = np.c_[r.uniform(0, 3, (200, 2)), r.normal(0, 1e-3, 200)] + [4.5e5, 5.2e6, 300]
+    fit = spatial.plane_fit(_frame(spark, flat).withColumn("k", F.lit(1)), ("k",)).first()
+    assert fit["l0"] == pytest.approx(np.linalg.eigvalsh(np.cov(flat.T, bias=True))[0], rel=1e-3) and fit["nz"] > 0.999
