@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,22 @@ TEMPLATES = {
     ),
     "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"),
     "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
+    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"),
+    "cc-by-nd": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Licensed under CC BY-ND 4.0"),
+    "cc-by-nc-sa": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Licensed under CC BY-NC-SA 4.0"),
+    "cc-by-nc-nd": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Licensed under CC BY-NC-ND 4.0"),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, Version 2.0",
+    ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
@@ -53,6 +69,8 @@ TEMPLATES = {
 MIN_MATCH, MIN_SPAN, MIN_SHARE = 3, 5, 0.6
 #: Words that a chain may skip on either side between two matches.
 MAX_GAP = 8
+#: Words that tell one licence's wording from another's. No chain skips one, and part of a passage is none beside one.
+TELLING = ("affero", "apache", "artistic", "boost", "bsd", "eclipse", "isc", "lesser", "library", "mit", "mozilla", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike", "zlib")
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -114,11 +132,12 @@ class SuffixAutomaton:
         return (self.next[state][word], matched + 1) if word in self.next[state] else (0, 0)
 
 
-def chain(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+def chain(matches: list[tuple[int, int, int]], gap: int, clear: Callable[[int, int, int, int], bool] | None = None) -> list[tuple[int, int, int]]:
     """(start, end, covered words) of chains of matches (text end, template end, length) of one passage, the best first.
 
     A match may follow another that ends before it on both sides, over at most gap words of each; where they overlap, words
-    count once. The best chain to each match follows from those that end within its reach, which is bounded by the passage's
+    count once. clear says whether the words between two places of the text and two of the passage (ends exclusive) may be
+    skipped; without it, all may. The best chain to each match follows from those that end within its reach, which is bounded by the passage's
     length: so the work grows with the matches. A match is in one chain only.
     """
     matches = sorted(set(matches))
@@ -131,7 +150,7 @@ def chain(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int,
                 if skipped > gap:
                     break
                 overlap = max(0, -skipped, -apart)
-                if matches[j][0] < end and overlap < length and best[j] + length - overlap > best[k]:
+                if matches[j][0] < end and overlap < length and best[j] + length - overlap > best[k] and (clear is None or clear(matches[j][0] + 1, end - length + 1, place + 1, template - length + 1)):
                     best[k], came[k] = best[j] + length - overlap, j
         by_place.setdefault(template, []).append(k)
     used, out = [False] * len(matches), []
@@ -147,13 +166,13 @@ def chain(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int,
 class Scanner:
     """Vocabulary, automaton and phrases of a set of templates; small, and sent to the tasks with their code."""
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, tuple[str, ...]], min_match: int, min_span: int, min_share: float, gap: int):
+    def __init__(self, phrases: dict[str, str], templates: dict[str, tuple[str, ...]], min_match: int, min_span: int, min_share: float, gap: int, telling: Sequence[str] = ()):
         self.min_match, self.min_span, self.min_share, self.gap = min_match, min_span, min_share, gap
         said = [(template_words(p), label) for p, label in phrases.items()] + [(template_words(t), label) for label, parts in templates.items() for t in parts]
         said = [x for x in said if x[0]]
         self.labels, self.lengths = [label for _, label in said], [len(x) for x, _ in said]
         self.n_phrases = len(phrases)
-        vocabulary = sorted({w for x, _ in said for w in x})
+        vocabulary = sorted({w for x, _ in said for w in x} | set(telling))
         raw = "".join(vocabulary).encode()
         ends = np.cumsum([len(w.encode()) for w in vocabulary])
         hashes = tx.Hashes(np.frombuffer(raw, np.uint8)).of(np.concatenate([[0], ends[:-1]]), ends)
@@ -161,6 +180,9 @@ class Scanner:
         self.known, number = hashes[order], {vocabulary[k]: i for i, k in enumerate(order)}
         sequences = [[number[w] for w in x] for x, _ in said]
         self.automaton = SuffixAutomaton(sequences)
+        self.telling = np.zeros(len(vocabulary) + 1, bool)
+        self.telling[[number[w] for w in telling]] = True
+        self.told = [np.concatenate([[0], np.cumsum(self.telling[x])]).tolist() for x in sequences]
         own: dict[int, list[int]] = {}
         for k, x in enumerate(sequences[: self.n_phrases]):
             state = 0
@@ -204,12 +226,19 @@ class Scanner:
                 if number >= self.n_phrases:
                     found.setdefault(number, []).append((at, last, matched))
 
-    def spans(self, found: dict) -> list[tuple[str, int, int, float]]:
-        """(label, start, end, share of the passage that is covered); spans don't overlap, the larger cover goes first."""
+    def spans(self, found: dict, told: np.ndarray, low: int, high: int) -> list[tuple[str, int, int, float]]:
+        """(label, start, end, share of the passage that is covered); spans don't overlap, the larger cover goes first.
+
+        told counts the telling words before each word of a slice; low and high bound the text's own.
+        """
         held = []
         for number, matches in found.items():
-            for start, end, covered in chain(matches, self.gap):
-                if covered >= self.min_span and covered >= self.min_share * self.lengths[number]:
+            own = self.told[number]
+            clear = lambda a, b, c, d: (a >= b or told[a] == told[b]) and (c >= d or own[c] == own[d])  # noqa: B023, E731
+            for start, end, covered in chain(matches, self.gap, clear):
+                whole = covered >= self.lengths[number]
+                beside = not whole and told[max(start - 1, low)] != told[start] or not whole and told[end] != told[min(end + 1, high)]
+                if covered >= self.min_span and covered >= self.min_share * self.lengths[number] and not beside:
                     held.append((-covered, -covered / self.lengths[number], end - start, self.labels[number], start))
         out: list[tuple[int, int, str, float]] = []
         for _, share, width, label, start in sorted(held):
@@ -227,6 +256,7 @@ def scan_licenses(
     min_span: int = MIN_SPAN,
     min_share: float = MIN_SHARE,
     max_gap: int = MAX_GAP,
+    telling: Sequence[str] = TELLING,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -236,9 +266,10 @@ def scan_licenses(
     and no places; ties between templates over one place go to the larger cover, then the first label.
     Repeated rows are scanned each on their own, an empty table gives an empty one, and further columns
     (whatever their names) are not read. coverage is the share of a passage's words that a span covers, min_share
-    at least; score is the best of them, 1 where a phrase stands whole.
+    at least; score is the best of them, 1 where a phrase stands whole. No span skips a word of telling, on either side, nor
+    is a part of a passage one that stops at such a word.
     """
-    scanner = Scanner(phrases, templates, min_match, min_span, min_share, max_gap)
+    scanner = Scanner(phrases, templates, min_match, min_span, min_share, max_gap, telling)
     schema = "key long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,coverage:double>>"
     names = [x.split(" ")[0] for x in schema.split(", ")]
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
@@ -251,6 +282,7 @@ def scan_licenses(
                 starts, ends, first = tx.words(data, offsets, tx.ALNUM)
                 owner = tx.owners(first)
                 word, begins, closes = scanner.runs(tx.Hashes(data).of(starts, ends), owner)
+                told = np.concatenate([[0], np.cumsum(scanner.telling[word])])
                 base: dict[int, list] = {}
                 found: dict[int, dict] = {}
                 for begin, close in zip(begins.tolist(), closes.tolist(), strict=True):
@@ -262,7 +294,7 @@ def scan_licenses(
                 n = np.diff(first)
                 out = []
                 for row in range(high - low):
-                    places, spans = base.get(row, []), scanner.spans(found.get(row, {}))
+                    places, spans = base.get(row, []), scanner.spans(found.get(row, {}), told, int(first[row]), int(first[row + 1]))
                     shift = int(first[row])
                     own = {scanner.labels[k] for _, k in places}
                     at = [x - shift for x, _ in places]

@@ -69,3 +69,25 @@ def test_many_notices_in_one_text(spark):
         took.append(time.time() - began)
         assert row["labels"] == "isc" and len(row["spans"]) == n
     assert took[1] < 8 * took[0] + 2
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "spans"),
+    [
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa", ["cc-by-sa"]),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd", ["cc-by-nd"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa", ["cc-by-nc-sa"]),
+        ("This work is licensed under a Creative Commons Attribution-Zlib 4.0 International License.", "", []),
+        ("Licensed under CC BY-NC-ND 4.0", "cc-by-nc-nd", ["cc-by-nc-nd"]),
+        ("Licensed under the Eclipse Public License, Version 2.0", "epl", ["epl"]),
+        ("Licensed under the Boost Public License, Version 2.0", "", []),
+        (licenses.TEMPLATES["lgpl"][0], "gpl,lgpl", ["lgpl"]),  # the contract's phrase "general public license" stands in it
+        (licenses.TEMPLATES["lgpl"][1].replace("library", "program"), "gpl,lgpl", ["lgpl"]),
+        (" ".join(licenses.TEMPLATES["agpl"]), "agpl,gpl", ["agpl", "agpl"]),
+        (licenses.TEMPLATES["gpl"][0], "gpl", ["gpl"]),
+        ("Released under the MIT License, Apache tools excepted", "mit", ["mit"]),
+    ],
+)
+def test_words_that_tell_licences_apart(spark, text, labels, spans):
+    row = _labels(spark, [f"see below {text} thank you"])[0]
+    assert row["labels"] == labels and [x["label"] for x in row["spans"]] == spans
