@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as geo
-from scanloom.operators import registration as reg, tracks as tk, vision as op
+from scanloom.operators import posegraph, registration as reg, tracks as tk, vision as op
 from scanloom.plans.registry import Registry, r, rounded
 from scanloom.plans.spatial import _NODES, nodes
 
@@ -143,6 +143,9 @@ def _posed(t):
 add("a32_edge_residuals", lambda t: rounded(reg.edge_residuals(_posed(t), _edges(t)).select("session", "i", "j", "off_m", "cost"), "off_m", "cost", digits=3),
     f"WITH {_NODES}, {_EDGE}, o AS (SELECT ed.session, i, j, sqrt((b.x - a.x - 1) ** 2 + (b.y - a.y - 0.5) ** 2 + (b.z - a.z) ** 2) AS off FROM ed JOIN nodes AS a ON a.session = ed.session AND a.node = i JOIN nodes AS b ON b.session = ed.session AND b.node = j) SELECT session, i, j, {r('off', 'off_m', 3)}, {r('(off / 0.1) ** 2', 'cost', 3)} FROM o", "trajectory")
 add("a33_gauss_newton_step", lambda t: rounded(reg.gauss_newton_step(_posed(t), _edges(t)), "dx", "dy", "dz", digits=3))
+add("a33_graph_step", lambda t: rounded(posegraph.graph_step(_posed(t), _edges(t)), "w0", "w1", "w2", "u0", "u1", "u2", digits=3))
+add("a33_graph_cost", lambda t: rounded(posegraph.graph_cost(_posed(t), _edges(t)), "cost", digits=1),
+    f"WITH {_NODES}, {_EDGE} SELECT ed.session, {r('sum((b.x - a.x - 1) ** 2 + (b.y - a.y - 0.5) ** 2 + (b.z - a.z) ** 2) * 100', 'cost', 1)} FROM ed JOIN nodes AS a ON a.session = ed.session AND a.node = i JOIN nodes AS b ON b.session = ed.session AND b.node = j GROUP BY 1", "trajectory")
 add("a38_components", lambda t: reg.components(t("observations").select((F.col("point_id") % 500).alias("i"), (F.col("point_id") % 500 + F.col("frame_id") % 2 * 10).alias("j")).where("i <> j")),
     """WITH RECURSIVE e0 AS (SELECT DISTINCT point_id % 500 AS i, point_id % 500 + 10 AS j FROM observations WHERE frame_id % 2 = 1), e AS (SELECT i, j FROM e0 UNION SELECT j, i FROM e0), re AS (SELECT i, j FROM e UNION SELECT re.i, e.j FROM re JOIN e ON re.j = e.i) SELECT i AS id, least(i, min(j)) AS component FROM re GROUP BY i""", "observations")
 add("j21_synthesize_poses", lambda t: rounded(reg.synthesize_poses(t("frames"), t("trajectory"), (0, 0, 0, 1), (0.1, 0.0, 0.2)).select("session", "name", "cx", "cz"), "cx", "cz", digits=4))
