@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as geo, naming
-from scanloom.operators import tracks as op
+from scanloom.operators import scanlines, tracks as op
 from scanloom.plans.registry import Registry, r, rounded
 
 REG = Registry()
@@ -81,6 +81,16 @@ add("w14_ring_times", lambda t: rounded(op.ring_times(scan(t)).select("point_id"
     SELECT point_id, {r('ms + sum(w) OVER (PARTITION BY scan_id, ring ORDER BY idx) * 360 / 3.61', 'rel_ms', 4)} FROM w""", "points")
 add("w16_running_valid", lambda t: op.running_valid(scan(t).withColumn("valid", F.col("x") > 0), 5).select("point_id"),
     f"WITH {_SCAN}, c AS (SELECT point_id, x, sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY scan_id ORDER BY idx) AS n FROM sc) SELECT point_id FROM c WHERE x > 0 AND n % 5 = 0", "points")
+
+
+def lines(t):
+    """The points of 160 orders in a row (some 640) as a line, so that more points are more lines."""
+    order = F.floor(F.col("point_id") / 1024000000000)
+    return t("points").select("point_id", F.floor(order / 800).alias("scan_id"), (F.floor(order / 160) % 5).alias("ring"), F.col("point_id").alias("idx"), (F.col("x") - 45).alias("x"), (F.col("y") - 25).alias("y"), "z")
+
+
+add("w18_line_features", lambda t: scanlines.line_features(lines(t), 4.0).select("point_id", "feature"))
+add("w18_thin_surfaces", lambda t: rounded(scanlines.thin_surfaces(scanlines.line_features(lines(t), 4.0)).select("idx", "n", "x", "y"), "x", "y", digits=5))
 _IDS = "pt AS (SELECT user_id % 10 AS session, event_id % 1500 AS point_id, event_id, value AS x FROM events)"
 
 
