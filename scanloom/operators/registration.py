@@ -353,6 +353,22 @@ def blocked_cv(rows: DataFrame, folds: int = 5, purge: int = 5, keys: Sequence[s
     return sums.join(small(grouped_percentiles(held, [*keys, "fold"], {"median": (F.col("_e"), 0.5), "p90": (F.col("_e"), 0.9)})), [*keys, "fold"])
 
 
+def judge_cv(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str] = ("session",), gain: float = 0.03, losses: int = 1) -> DataFrame:
+    """Whether a candidate's fit holds against a baseline's, fold by fold (tables of blocked_cv).
+
+    Root mean squares are pooled over all held-out rows. The candidate is accepted where both were tested on as many rows of the
+    same folds, its pooled error is less by the share gain at least, and it loses (or ties) losses folds at most.
+    A fold that only one of both has counts as untested.
+    """
+    a = baseline.select(*keys, "fold", F.col("n").alias("_na"), F.col("rmse").alias("_a"))
+    b = candidate.select(*keys, "fold", F.col("n").alias("_nb"), F.col("rmse").alias("_b"))
+    both = a.join(b, [*keys, "fold"], "full")
+    pooled = lambda e, n: F.sqrt(F.sum(F.col(e) * F.col(e) * F.col(n)) / F.sum(n))
+    out = both.groupBy(*keys).agg(F.count("*").alias("folds"), F.count_if(F.col("_b") < F.col("_a")).alias("wins"), F.bool_and(F.col("_na").eqNullSafe(F.col("_nb"))).alias("same_rows"), pooled("_a", "_na").alias("baseline_rmse"), pooled("_b", "_nb").alias("candidate_rmse"))
+    good = F.col("same_rows") & (F.col("candidate_rmse") <= F.col("baseline_rmse") * (1 - gain)) & (F.col("wins") >= F.col("folds") - losses)
+    return out.withColumn("accepted", F.coalesce(good, F.lit(False)))
+
+
 def edge_residuals(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """Weighted shift and angle left of each edge of a pose graph (sigma 0.10 m and 0.8 degrees; loops 0.02 m and 0.2)."""
     from scanloom.functions import geometry as geo

@@ -126,6 +126,12 @@ add("a27_search_offset", lambda t: reg.search_offset(t("trajectory").select("ses
 add("a27_refine_offset", lambda t: reg.refine_offset(t("trajectory").select("session", (F.col("t") - 300 - 30 * F.col("session")).alias("t"), (F.col("px") * 2).alias("cx"), (F.col("py") * 2).alias("cy"), (F.col("pz") * 2).alias("cz")), t("trajectory"), 0.0, 1200.0, 300.0).select("session", F.round("dt", 3).alias("dt"), F.round("s", 4).alias("s"), "n"),
     """WITH e AS (SELECT session, min(t) AS a, max(t) AS b FROM trajectory GROUP BY 1)
     SELECT session, (300 + 30 * session)::DOUBLE AS dt, 0.5::DOUBLE AS s, count(*) FILTER (t BETWEEN a AND b) AS n FROM trajectory JOIN e USING (session) GROUP BY 1""", "trajectory")
+def _warped(t, bend):
+    """The trajectory against a scaled copy of itself, bent by a share of 0.3 m along x."""
+    return t("trajectory").select("session", "t", F.col("px").alias("sx"), F.col("py").alias("sy"), F.col("pz").alias("sz"), (2 * F.col("px") + 1).alias("tx"), (2 * F.col("py")).alias("ty"), (2 * F.col("pz") + bend * (F.col("px") % 3) / 10).alias("tz"), F.col("t").alias("id"))
+
+
+add("a46_judge_cv", lambda t: rounded(reg.judge_cv(reg.blocked_cv(_warped(t, 1.0)), reg.blocked_cv(_warped(t, 0.5))), "baseline_rmse", "candidate_rmse", digits=4))
 add("a46_blocked_cv", lambda t: rounded(reg.blocked_cv(t("trajectory").select("session", "t", F.col("px").alias("sx"), F.col("py").alias("sy"), F.col("pz").alias("sz"), (2 * F.col("px") + 1).alias("tx"), (2 * F.col("py")).alias("ty"), (2 * F.col("pz") + F.col("px") % 3 / 10).alias("tz"), F.col("t").alias("id"))).select("session", "fold", "n", "rmse"), "rmse", digits=4))
 _EDGE = "ed AS (SELECT session, node AS i, lead(node) OVER (PARTITION BY session ORDER BY node) AS j FROM nodes)"
 
