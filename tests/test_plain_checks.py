@@ -58,3 +58,22 @@ def test_poses_of_a_mounted_camera(spark):
     for name, t in (("a", 0.25), ("b", 3.5)):
         g = got[name]
         assert np.allclose((g["cx"], g["cy"], g["cz"]), (2 * t - 0.3, -t + 0.1, 0.7)) and np.allclose(np.abs((g["x"], g["y"], g["z"], g["w"])), (0, 0, 1, 0), atol=1e-9)
+
+
+def test_paired_patches_by_orientation(spark):
+    kind = "patch long, rmse_mm double, p90_mm double, nx double, ny double, nz double"
+    up, side, lean = (0.0, 0.0, 1.0), (1.0, 0.0, 0.0), (0.0, 0.8, 0.6)
+    before = [(k, 10.0 + k, 15.0 + k, *n) for k, n in enumerate([up] * 4 + [side] * 3 + [lean] * 2)]
+    after = [(k, (10.0 + k) * (0.5 if k != 1 else 1.5), (15.0 + k) * 0.5, *(up if k == 8 else tuple(-c for c in n) if k == 0 else n)) for k, (_, _, _, *n) in enumerate(before) if k != 5]
+    got = {g["orientation"]: g for g in spatial.summarize_pairs(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect()}
+    a, b = ({x[0]: x for x in rows} for rows in (before, after))
+    for name, keys in (("horizontal", range(4)), ("vertical", range(4, 7)), ("oblique", range(7, 9)), (None, range(9))):
+        met = [k for k in keys if k in b]
+        ra, rb = (np.sqrt(np.mean([x[k][1] ** 2 for k in met])) for x in (a, b))
+        same = np.mean([abs(np.dot(a[k][3:], b[k][3:])) >= np.cos(np.radians(15)) for k in met])
+        wins = np.mean([b[k][1] < a[k][1] for k in met])
+        g = got[name]
+        assert g["patches"] == len(keys) and np.isclose(g["coverage"], len(met) / len(keys)) and np.isclose(g["rmse_before"], ra) and np.isclose(g["rmse_after"], rb)
+        assert np.isclose(g["p90_before"], np.percentile([a[k][2] for k in met], 90)) and np.isclose(g["wins"], wins) and np.isclose(g["consistent"], same)
+        assert g["improved"] == bool(len(met) / len(keys) >= 0.9 and rb < ra and wins > 0.5 and same >= 0.9)
+    assert got["horizontal"]["improved"] and not got["vertical"]["improved"] and not got["oblique"]["improved"]
