@@ -70,22 +70,24 @@ _SCAN = "sc AS (SELECT point_id, point_id % 40 AS scan_id, (point_id // 64) % 5
 
 
 def scan(t):
-    return t("points").select("point_id", (F.col("point_id") % 40).alias("scan_id"), (F.floor(F.col("point_id") / 64) % 5).alias("ring"), F.col("point_id").alias("idx"), (F.col("x") - 45).alias("x"), (F.col("y") - 25).alias("y"), "z")
+    return t("points").select("point_id", (F.col("point_id") % 40).alias("scan_id"), F.expr("point_id div 64 % 5").alias("ring"), F.col("point_id").alias("idx"), (F.col("x") - 45).alias("x"), (F.col("y") - 25).alias("y"), "z")
 
 
 add("w13_line_diffs", lambda t: rounded(op.line_diffs(scan(t)).select("point_id", "range", "d2_next"), "range", "d2_next"),
     f"WITH {_SCAN} SELECT point_id, {r('sqrt(x * x + y * y)', 'range')}, {r('pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2) + pow(lead(z) OVER w - z, 2)', 'd2_next')} FROM sc WINDOW w AS (PARTITION BY scan_id, ring ORDER BY idx)", "points")
-add("w14_ring_times", lambda t: rounded(op.ring_times(scan(t)).select("point_id", "rel_ms"), "rel_ms", digits=4),
+# Times are rounded within their turn: a sum of many turns lies so close to the edges of rounding that engines differ.
+add("w14_ring_times", lambda t: rounded(op.ring_times(scan(t)), "turn_ms", digits=4).select("point_id", (F.col("turn_ms") + F.col("turn") * 360 / 3.61).alias("rel_ms")),
     f"""WITH {_SCAN}, d AS (SELECT *, first(degrees(atan2(y, x))) OVER (PARTITION BY scan_id, ring ORDER BY idx) - degrees(atan2(y, x)) AS d FROM sc),
     m AS (SELECT *, CASE WHEN d >= 0 THEN d / 3.61 ELSE (d + 360) / 3.61 END AS ms FROM d), w AS (SELECT *, CASE WHEN ms < lag(ms) OVER (PARTITION BY scan_id, ring ORDER BY idx) THEN 1 ELSE 0 END AS w FROM m)
-    SELECT point_id, {r('ms + sum(w) OVER (PARTITION BY scan_id, ring ORDER BY idx) * 360 / 3.61', 'rel_ms', 4)} FROM w""", "points")
+    , v AS (SELECT point_id, {r('ms', 'ms', 4)}, sum(w) OVER (PARTITION BY scan_id, ring ORDER BY idx) AS turn FROM w)
+    SELECT point_id, ms + turn * 360 / 3.61E0 AS rel_ms FROM v""", "points")
 add("w16_running_valid", lambda t: op.running_valid(scan(t).withColumn("valid", F.col("x") > 0), 5).select("point_id"),
     f"WITH {_SCAN}, c AS (SELECT point_id, x, sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY scan_id ORDER BY idx) AS n FROM sc) SELECT point_id FROM c WHERE x > 0 AND n % 5 = 0", "points")
 
 
 def lines(t):
     """The points of 160 orders in a row (some 640) as a line, so that more points are more lines."""
-    order = F.floor(F.col("point_id") / 1024000000000)
+    order = F.expr("point_id div 1024000000000")
     return t("points").select("point_id", F.floor(order / 800).alias("scan_id"), (F.floor(order / 160) % 5).alias("ring"), F.col("point_id").alias("idx"), (F.col("x") - 45).alias("x"), (F.col("y") - 25).alias("y"), "z")
 
 
