@@ -36,3 +36,14 @@ def copies(spark, sf, tmp_path_factory):
 def test_lines_follow_whole_ids(spark, copies, name):
     """Ids beyond 2 ** 53 are not divided as doubles."""
     same_as_sql(spark, copies, name)
+
+
+def test_cloud_maxima_shuffle_no_points(spark, sf):
+    """Two or three clouds must not become as many tasks that read all points."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()["f2_resolve_color"](spark, sf)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
