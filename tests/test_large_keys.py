@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from scanloom.operators import spatial
 from scanloom.plans import catalog
 from tests.test_oracle import _plain
 
@@ -47,3 +48,42 @@ def test_cloud_maxima_shuffle_no_points(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_few_rows_go_to_the_points(spark):
+    """A radius join with few rows on its left reads the other side where it lies, also where cells are crowded."""
+    points = spark.range(3000).select(F.col("id").alias("point_id"), (F.col("id") % 30 / 10).alias("x"), (F.col("id") % 7 / 10).alias("y"), F.lit(0.0).alias("z"))
+    centres = points.where("point_id < 4")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = spatial.radius_join(centres, points, 0.55, crowd=50)
+        plan = met._jdf.queryExecution().toString()
+        got = sorted((r["point_id"], r["point_id_b"]) for r in met.select("point_id", "point_id_b").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    places = [(i % 30 / 10, i % 7 / 10) for i in range(3000)]
+    assert got == [(i, j) for i in range(4) for j in range(3000) if (places[i][0] - places[j][0]) ** 2 + (places[i][1] - places[j][1]) ** 2 <= 0.55**2]
+
+
+def test_copies_are_compared_once(spark):
+    """Sums over neighbours, and normals, of 40 copies of each place: no row a pair of copies, none a neighbour."""
+    points = spark.range(1200).select((F.col("id") * 3).alias("point_id"), (F.col("id") % 30 / 10).alias("x"), (F.col("id") % 30 % 4 / 2).alias("y"), F.lit(0.0).alias("z"))
+    got = {r["point_id"]: (r["n"], r["first"], round(r["total"], 6)) for r in spatial.radius_sums(points, points, 0.7).collect()}
+    places = [(i / 10, i % 4 / 2) for i in range(30)]
+    for p in range(30):
+        d = {q: ((places[p][0] - places[q][0]) ** 2 + (places[p][1] - places[q][1]) ** 2) ** 0.5 for q in range(30)}
+        near = [q for q in d if d[q] <= 0.7]
+        want = (40 * len(near), 3 * min(near), round(40 * sum(d[q] for q in near), 6))
+        assert all(got[3 * (p + 30 * k)] == want for k in (0, 1, 39))
+    fit = spatial.normals(points, 45, 1.0)
+    assert "Generate" not in fit._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    rows = {r["point_id"]: r for r in fit.collect()}
+    assert len(rows) == 1200 and all(r["n"] == 46 for r in rows.values())
+    for i in (0, 10, 29):
+        d = sorted(((places[i][0] - places[j % 30][0]) ** 2 + (places[i][1] - places[j % 30][1]) ** 2, j) for j in range(1200) if j != i)[:45]
+        around = [places[i], *[places[j % 30] for _, j in d]]
+        mean = [sum(p[c] for p in around) / 46 for c in (0, 1)]
+        assert abs(rows[3 * i]["cx"] - mean[0]) < 1e-9 and abs(rows[3 * i]["cy"] - mean[1]) < 1e-9
+        assert abs(rows[3 * i]["l1"] + rows[3 * i]["l2"] - sum((p[c] - mean[c]) ** 2 for p in around for c in (0, 1)) / 46) < 1e-9
