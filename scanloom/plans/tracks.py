@@ -106,8 +106,9 @@ add("w10_submaps", lambda t: rounded(op.submaps(id_points(t), ranges(t), 50000.0
     f"""WITH {_RANGES}, {_IDS}, j AS (SELECT pt.session, x, t FROM pt JOIN rg ON pt.session = rg.session AND pt.point_id >= point_start AND pt.point_id < point_start + point_count),
     f AS (SELECT session, min(t) AS f FROM rg GROUP BY 1), g AS (SELECT session, CAST(floor((t - f) / 50000) AS BIGINT) AS node, min(t) AS t0, max(t) AS t1, count(*) AS n, avg(x) AS x FROM j JOIN f USING (session) GROUP BY 1, 2)
     SELECT session, node, t0, t1, n, {r('x', 'x', 3)}, {r('(t0 + t1) / 2', 't', 3)} FROM g WHERE n >= 20""", "frames")
-_ASOF = """lo AS (SELECT f.session, f.name, f.t, a.t AS ta, a.px AS ax, a.qz AS az, a.qw AS aw FROM frames AS f ASOF JOIN trajectory AS a ON f.session = a.session AND f.t >= a.t),
-    hi AS (SELECT lo.*, b.t AS tb, b.px AS bx, b.qz AS bz, b.qw AS bw FROM lo ASOF JOIN trajectory AS b ON lo.session = b.session AND lo.t <= b.t),
+_ASOF = """pose AS (SELECT * FROM trajectory QUALIFY row_number() OVER (PARTITION BY session, t ORDER BY px NULLS FIRST, py, pz, qx, qy, qz, qw) = 1),
+    lo AS (SELECT f.session, f.name, f.t, a.t AS ta, a.px AS ax, a.qz AS az, a.qw AS aw FROM frames AS f ASOF JOIN pose AS a ON f.session = a.session AND f.t >= a.t),
+    hi AS (SELECT lo.*, b.t AS tb, b.px AS bx, b.qz AS bz, b.qw AS bw FROM lo ASOF JOIN pose AS b ON lo.session = b.session AND lo.t <= b.t),
     u AS (SELECT *, CASE WHEN tb > ta THEN (t - ta) / (tb - ta) ELSE 0 END AS u, az * bz + aw * bw AS dot FROM hi),
     w AS (SELECT *, acos(least(abs(dot), 1.0)) AS an, CASE WHEN dot < 0 THEN -1 ELSE 1 END AS sg FROM u),
     s AS (SELECT *, CASE WHEN abs(dot) > 0.9995 THEN 1 - u ELSE sin((1 - u) * an) / sin(an) END AS wa, CASE WHEN abs(dot) > 0.9995 THEN u ELSE sin(u * an) / sin(an) END * sg AS wb FROM w),

@@ -87,3 +87,8 @@ def test_copies_are_compared_once(spark):
         mean = [sum(p[c] for p in around) / 46 for c in (0, 1)]
         assert abs(rows[3 * i]["cx"] - mean[0]) < 1e-9 and abs(rows[3 * i]["cy"] - mean[1]) < 1e-9
         assert abs(rows[3 * i]["l1"] + rows[3 * i]["l2"] - sum((p[c] - mean[c]) ** 2 for p in around for c in (0, 1)) / 46) < 1e-9
+
+
+def test_poses_at_one_time(spark, copies):
+    """Of several poses at one time the least counts, in the query and in its SQL."""
+    same_as_sql(spark, copies, "j1_m4_asof_interpolate")
