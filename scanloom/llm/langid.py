@@ -26,6 +26,8 @@ LEAST_DOCS = 40
 SEQUENCE, BATCH, STEPS = 48, 64, 240
 #: Bytes of text whose features are held at once.
 SLICE = 1 << 19
+#: Words whose n-grams are placed at once.
+WORDS = 1 << 15
 #: Words that the lexicon holds for each language, at most.
 LEXICON = 400
 
@@ -49,8 +51,13 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: np
     for n in (2, 3):
         count = np.maximum(ends - starts - n + 1, 0)
         bound = np.concatenate([[0], np.cumsum(count)])
-        place = np.arange(bound[-1]) + np.repeat(starts - bound[:-1], count)
-        grams.append((((h.of(place, place + n) ^ np.uint64(n * 0xC2B2AE3D27D4EB4F & tx._MASK)) % np.uint64(TABLE - 1)).astype(np.int32), bound))
+        rows = np.empty(bound[-1], np.int32)
+        for low in range(0, len(count), WORDS):  # places take far more room than rows
+            own, some = slice(low, low + WORDS), count[low : low + WORDS]
+            a, b = bound[low], bound[low + len(some)]
+            place = np.arange(a, b) + np.repeat((starts - bound[:-1])[own], some)
+            rows[a:b] = (h.of(place, place + n) ^ np.uint64(n * 0xC2B2AE3D27D4EB4F & tx._MASK)) % np.uint64(TABLE - 1)
+        grams.append((rows, bound))
     return single, grams
 
 
@@ -252,7 +259,9 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, n: int = TRAIN_DOCS,
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_at_most: int = TRAIN_DOCS, steps: int = STEPS) -> Model:
     """A model of all languages that label documents which may be learned from."""
     rows = sample(docs, key, text, lang, docs_at_most)
-    return Model(sorted({x for _, x in rows})).fit([t for t, _ in rows], [x for _, x in rows], steps)
+    out = Model(sorted({x for _, x in rows})).fit([t for t, _ in rows], [x for _, x in rows], steps)
+    tx.trim()
+    return out
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:

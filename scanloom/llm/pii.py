@@ -413,7 +413,9 @@ def labelled_windows(docs: DataFrame, key: str, text: str, at_most: int) -> tupl
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", windows: int = TRAIN_WINDOWS, steps: int = STEPS) -> Tagger:
     """A tagger of the labelled spans in a bounded sample of windows."""
-    return Tagger().fit(*labelled_windows(docs, key, text, windows), steps)
+    out = Tagger().fit(*labelled_windows(docs, key, text, windows), steps)
+    tx.trim()
+    return out
 
 
 def _spans_of(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str, bool]]]:

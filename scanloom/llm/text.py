@@ -234,11 +234,11 @@ def with_row(schema: str, df: DataFrame, carry: bool) -> T.StructType:
     return out.add("row", df.schema, False) if carry else out
 
 
-def _trim() -> None:
-    """Gives freed memory back to the system, which a worker that is used again would otherwise keep."""
+def trim() -> None:
+    """Gives freed memory back to the system, which a worker that is used again, or the driver, would otherwise keep."""
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
 
 
 def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -246,7 +246,7 @@ def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        _trim()
+        trim()
 
     return run
 
