@@ -86,3 +86,13 @@ def test_grids_equal_a_dense_fit(spark):
         want = np.linalg.lstsq(full, np.vstack([y * np.sqrt(w)[:, None], np.zeros((len(full) - len(own), 3))]), rcond=None)[0]
         want -= (design @ want).mean(0)
         assert np.allclose(got[lens].reshape(36, 3), want, atol=1e-6)
+
+
+def test_a_round_of_gains_reads_the_pairs_once(spark, monkeypatch):
+    """The sums of a round are made once for both sides of its system, not once for each side that asks for them."""
+    r = np.random.default_rng(2)
+    rows = [(p, f, 4 * p + f, f % 2, float(x), float(x), 0.5, 1.0, *map(float, r.uniform(0.2, 0.8, 3))) for p in range(40) for f, x in enumerate(r.uniform(0, 1, 4))]
+    own, plans = vision.conjugate_gradient, []
+    monkeypatch.setattr(vision, "conjugate_gradient", lambda entries, right: plans.append(right._jdf.queryExecution().analyzed().toString()) or own(entries, right))
+    gains, _ = vision.fit_gains(spark.createDataFrame(rows, NAMES), rounds=2, support=1)
+    assert gains.count() == 4 and len(plans) == 4 and not any("Aggregate" in p for p in plans)
