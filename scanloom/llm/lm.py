@@ -35,6 +35,8 @@ BLOCK = 1024
 MICRO = 1e6
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 600_000
+#: Bytes of text that are worked on at once: few enough for the hashes of their words to stay in a core's cache.
+SLICE = 1 << 18
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,26 +48,31 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tx.signed(h.of(starts, ends)), ending, first
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, ending, n) of every distinct word of all texts; words are named by their hash."""
+def _distinct(word: np.ndarray, ending: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word once, in order, with the sum of its n."""
+    by = np.argsort(word)
+    word = word[by]
+    begin = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+    return word[begin], ending[by[begin]], np.add.reduceat(n[by], begin) if len(begin) else n
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, ending, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(ending), pa.array(n)], ["word", "ending", "n"])
+def count_words(docs: DataFrame, text: str = "text", flush: int = FLUSH) -> DataFrame:
+    """(word, ending, n) of every distinct word of all texts; words are named by their hash."""
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        waiting = 0
         for batch in batches:
-            for _, _, data, offsets in tx.slices(batch.column(0)):
-                w, e, _ = _words(data, offsets)
-                w, at, count = np.unique(w, return_index=True, return_counts=True)
-                both, e, count = np.concatenate([word, w]), np.concatenate([ending, e[at]]), np.concatenate([n, count])
-                word, at, back = np.unique(both, return_index=True, return_inverse=True)
-                ending, n = e[at], np.bincount(back, count, len(word)).astype(np.int64)
-                if len(word) > FLUSH:
-                    yield batch_of()
-                    word = ending = n = np.zeros(0, np.int64)
-        yield batch_of()
+            for _, _, data, offsets in tx.slices(batch.column(0), SLICE):
+                word, ending, _ = _words(data, offsets)
+                held.append(_distinct(word, ending, np.ones(len(word), np.int64)))
+                waiting += len(held[-1][0])
+                if waiting > flush:  # only now are the slices' words brought together
+                    held, waiting = [_distinct(*map(np.concatenate, zip(*held, strict=True)))], 0
+                    if len(held[0][0]) > flush:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["word", "ending", "n"])
+                        held = [(np.zeros(0, np.int64),) * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _distinct(*map(np.concatenate, zip(*held, strict=True)))], ["word", "ending", "n"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(tx.lean(emit), "word long, ending long, n long")
     return found.groupBy("word", "ending").agg(F.sum("n").alias("n"))
@@ -92,11 +99,13 @@ class Network:
         """All weights and their sums of squared slopes in one row."""
         return np.concatenate([x.ravel() for x in (*self.weights(), *self.seen)])
 
-    def put(self, flat: np.ndarray) -> None:
-        at = 0
-        for x in (*self.weights(), *self.seen):
-            x[...] = flat[at : at + x.size].reshape(x.shape)
-            at += x.size
+    def put(self, flat: np.ndarray) -> np.ndarray:
+        """Takes a copy of such a row, of which all weights and sums are views from now on. The copy."""
+        flat, shapes = np.array(flat, np.float32), [w.shape for w in self.weights()]
+        views = _views(flat, shapes * 2)
+        self.embed, self.hidden, self.branch, self.branch_bias, self.leaf, self.leaf_bias = views[: len(shapes)]
+        self.seen = views[len(shapes) :]
+        return flat
 
     def classes(self, word: np.ndarray, ending: np.ndarray) -> np.ndarray:
         if not len(self.frequent):
@@ -122,64 +131,88 @@ class Network:
         x += self.hidden
         return np.tanh(x, out=x)
 
-    def _leaves(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _leaves(self, h: np.ndarray, branch: np.ndarray, bounds: list[int]) -> np.ndarray:
         """Leaf logits of rows that come in the order of their branches."""
         out = np.empty((len(h), LEAVES), np.float32)
         for g in range(BRANCHES):
             a, b = bounds[g], bounds[g + 1]
             if a < b:
                 np.matmul(h[a:b], self.leaf[g], out=out[a:b])
-                out[a:b] += self.leaf_bias[g]
+        out += np.take(self.leaf_bias, branch, axis=0)
         return out
 
     def fit(self, context: np.ndarray, target: np.ndarray, seed: int = 4, rate: float = 0.15) -> Network:
         """One pass of Adagrad on the conditional log-likelihood, on from the present weights."""
         order, place = np.random.default_rng(seed).permutation(len(target)), np.arange(2 * REACH, dtype=np.uint16)[:, None] * (EDGE + 1)
+        target, flat = target.astype(np.uint8, copy=False), self.put(self.flat())
+        value, seen = np.split(flat, 2)
+        slope = np.empty_like(value)
+        embed, hidden, above, above_bias, below, below_bias = _views(slope, [w.shape for w in self.weights()])
+        embed = embed.reshape(-1, HIDDEN).view(np.complex64)  # of two units each
         for low in range(0, len(order), BATCH):
             at = order[low : low + BATCH]
-            at = at[np.argsort(target[at], kind="stable")]
-            near, own, rows = context[at], target[at], np.arange(len(at))
-            branch, leaf = own // LEAVES, own % LEAVES
-            bounds = np.searchsorted(branch, np.arange(BRANCHES + 1))
+            own = target[at]
+            by = np.argsort(own, kind="stable")
+            near, own, rows, ones = np.take(context, at[by], axis=0), own[by], np.arange(len(at)), np.ones(len(at), np.float32)
+            branch, leaf, bounds = _of_branches(own)
             h = self._units(near)
             p = _softmax(h @ self.branch + self.branch_bias)
-            q = _softmax(self._leaves(h, bounds))
-            p[rows, branch] -= 1
-            q[rows, leaf] -= 1
-            into = p @ self.branch.T
-            slopes = [np.zeros_like(w) for w in self.weights()]
+            q = _softmax(self._leaves(h, branch, bounds))
+            p.ravel()[rows * BRANCHES + branch] -= 1
+            q.ravel()[rows * LEAVES + leaf] -= 1
+            slope[:] = 0
+            back = np.empty_like(h)
             for g in range(BRANCHES):
                 a, b = bounds[g], bounds[g + 1]
                 if a < b:
-                    into[a:b] += q[a:b] @ self.leaf[g].T
-                    slopes[4][g], slopes[5][g] = h[a:b].T @ q[a:b], q[a:b].sum(0)
-            into *= 1 - h * h
-            slopes[1], slopes[2], slopes[3] = into.sum(0), h.T @ p, p.sum(0)
+                    np.matmul(q[a:b], self.leaf[g].T, out=back[a:b])
+                    np.matmul(h[a:b].T, q[a:b], out=below[g])
+                    np.matmul(ones[a:b], q[a:b], out=below_bias[g])
+            np.matmul(h.T, p, out=above)
+            np.matmul(ones, p, out=above_bias)
+            back += p @ self.branch.T
+            h *= h
+            back *= np.subtract(1, h, out=h)
+            np.matmul(ones, back, out=hidden)
             key = (near.T + place).ravel()
             by = np.argsort(key, kind="stable")
             key = key[by]
             begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            slopes[0].reshape(-1, HIDDEN)[key[begins]] = np.add.reduceat(into[by % len(at)], begins, axis=0)
-            for w, total, g in zip(self.weights(), self.seen, slopes, strict=True):
-                g /= len(at)
-                total += g * g
-                w -= rate * g / np.sqrt(total)
+            pairs = np.take(np.ascontiguousarray(back.view(np.complex64).T), np.tile(rows, 2 * REACH)[by], axis=1)
+            embed[key[begins]] = np.add.reduceat(pairs, begins, axis=1).T
+            slope /= len(at)
+            seen += slope * slope
+            slope *= rate
+            value -= np.divide(slope, np.sqrt(seen), out=slope)
         return self
 
     def log_probs(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log p(class | both sides) of every word, and for classes by ending what log p(word | class) has besides the word's count."""
-        context, out = self.contexts(classes, first), np.empty(len(classes))
-        for low in range(0, len(classes), 8192):
-            own = classes[low : low + 8192]
+        context, out, classes = self.contexts(classes, first), np.empty(len(classes)), classes.astype(np.uint8)
+        for low in range(0, len(classes), 4096):
+            own = classes[low : low + 4096]
             by = np.argsort(own, kind="stable")
-            own = own[by]
-            branch, rows = own // LEAVES, np.arange(len(own))
-            h = self._units(context[low : low + 8192][by])
-            z, y = h @ self.branch + self.branch_bias, self._leaves(h, np.searchsorted(branch, np.arange(BRANCHES + 1)))
-            out[low + by] = z[rows, branch] - _log_sum(z) + y[rows, own % LEAVES] - _log_sum(y) + self.log_mass[own]
+            own, rows = own[by], np.arange(len(own))
+            branch, leaf, bounds = _of_branches(own)
+            h = self._units(np.take(context[low : low + 4096], by, axis=0))
+            z, y = h @ self.branch + self.branch_bias, self._leaves(h, branch, bounds)
+            own_z, own_y = z.ravel()[rows * BRANCHES + branch], y.ravel()[rows * LEAVES + leaf]
+            out[low + by] = own_z - _log_sum(z) + own_y - _log_sum(y) + self.log_mass[own]
         return out
 
 
+def _views(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    """The row cut into arrays of these shapes, which share its memory."""
+    ends = np.cumsum([int(np.prod(shape)) for shape in shapes])
+    return [x.reshape(shape) for x, shape in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+
+
+def _of_branches(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Branch and leaf of each of these classes, which come in order; where each branch's rows begin."""
+    branch = own // LEAVES
+    return branch, own - branch * np.uint8(LEAVES), np.cumsum(np.append(0, np.bincount(branch, minlength=BRANCHES))).tolist()
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     np.exp(np.minimum(z, 60, out=z), out=z)
     z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
@@ -187,7 +220,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    return np.log(np.exp(np.minimum(z, 60)) @ np.ones(z.shape[1], np.float32))
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    return np.log(z @ np.ones(z.shape[1], np.float32))
+
+
+def _begins(words: np.ndarray) -> np.ndarray:
+    """Where the words with each value of the first 18 bits begin among words in order."""
+    return np.searchsorted(words >> 46, np.arange(-(1 << 17), (1 << 17) + 1)).astype(np.int32)
+
+
+def _find(asked: np.ndarray, words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The place of each word among words in order, -1 for what is not among them."""
+    at, part = np.full(len(asked), -1, np.int64), (asked >> 46) + (1 << 17)
+    place, end = begins[part], begins[part + 1]
+    left = np.flatnonzero(place < end)
+    while len(left):  # the words of a part are few, since they are hashes
+        hit = words[place[left]] == asked[left]
+        at[left[hit]] = place[left[hit]]
+        left = left[~hit]
+        place[left] += 1
+        left = left[place[left] < end[left]]
+    return at
 
 
 class Trained(NamedTuple):
@@ -226,7 +279,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", passes: int
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in tx.slices(batch.column(1)):
+            for low, high, data, offsets in tx.slices(batch.column(1), SLICE):
                 word, ending, first = _words(data, offsets)
                 held = model.classes(word, ending).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array([held[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], ["turn", "classes"])
@@ -272,21 +325,20 @@ def score(docs: DataFrame, model: Trained, key: str = "doc_id", text: str = "tex
     hold that of count 0; counts beyond the CARRIED most frequent words are joined in Spark. A null text or one without words has log_prob 0 and a null mean.
     Rows with equal texts score alike; an empty table gives an empty one; further columns are not read.
     """
-    network, carried, micro = model.network, model.carried, model.micro
+    network, carried, micro, begins = model.network, model.carried, model.micro, _begins(model.carried)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            for low, high, data, offsets in tx.slices(batch.column(1)):
+            for low, high, data, offsets in tx.slices(batch.column(1), SLICE):
                 word, ending, first = _words(data, offsets)
                 classes = network.classes(word, ending)
                 value = np.rint(network.log_probs(classes, first) * MICRO).astype(np.int64)
-                other = classes >= FREQUENT
-                if len(carried):
-                    place = np.minimum(np.searchsorted(carried, word), len(carried) - 1)
-                    known = other & (carried[place] == word)
-                    value[known] += micro[place[known]]
-                    other &= ~known
+                other = np.flatnonzero(classes >= FREQUENT)
+                place = _find(word[other], carried, begins)
+                known = place >= 0
+                value[other[known]] += micro[place[known]]
+                rare = other[~known]
                 sums = np.concatenate([[0], np.cumsum(value)])
                 n, total = np.diff(first), sums[first[1:]] - sums[first[:-1]]
                 rows = task + done + np.arange(high - low)
@@ -294,7 +346,6 @@ def score(docs: DataFrame, model: Trained, key: str = "doc_id", text: str = "tex
                 # One row a text under a name that no word has but by chance, and then adds nothing to it (times is 0).
                 names, none = tx.signed(tx.mix(rows.astype(np.uint64))), np.zeros(high - low, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(names), pa.array(none), batch.column(0)[low:high], pa.array(n), pa.array(total)], _PARTS)
-                rare = np.flatnonzero(other)
                 owner, said = tx.owners(first)[rare], word[rare]
                 order = np.lexsort((said, owner))
                 owner, said = owner[order], said[order]
